@@ -73,6 +73,12 @@ CTES: dict[str, str] = {
     "exposure": "SELECT p.person_id, CAST(p.person_type AS STRING) AS person_type, "
     "COALESCE(d.finalweight, p.finalweight) AS w FROM day d JOIN per p USING (person_id)",
 }
+CTES |= {
+    name: f"SELECT {columns(exprs)} FROM {source}"
+    for name, (source, exprs) in star.VALIDATION.items()
+}
+CTES["counts"] = f"SELECT {columns(star.COUNTS)} FROM supplier"
+CTES["volumes"] = f"SELECT {columns(star.VOLUMES)} FROM supplier"
 
 
 def with_query(body: str, extra: dict[str, str] | None = None) -> str:

@@ -151,7 +151,8 @@ TOURS = {
     "num_tot_stops": "CAST(k % 5 + (k * 3) % 4 AS INT)",
     "NUMBER_HH": "CASE WHEN category <> 'joint' THEN 1 WHEN k % 17 = 0 THEN 995 ELSE party END",
     "joint_tour_id": "CASE WHEN category <> 'joint' OR k % 5 = 1 THEN NULL "
-    "WHEN k % 5 = 2 THEN 995 ELSE 1 + household_id END",
+    "WHEN k % 5 = 2 THEN 995 "
+    "ELSE 1 + household_id * 2 + CASE WHEN household_id % 2 = 0 THEN k % 2 ELSE 0 END END",
     "composition": "CASE WHEN category = 'joint' AND k % 11 <> 0 THEN CASE k % 4 "
     "WHEN 0 THEN 'adults' WHEN 1 THEN 'children' ELSE 'mixed' END END",
     "AUTOSUFF": "CASE WHEN k % 31 = 0 THEN NULL WHEN HHVEH = 0 THEN 0 "
@@ -251,6 +252,75 @@ LAND_USE_ENROLLMENT = {
     "WHEN zone % 4 <> 0 THEN CAST(zone * 4 AS DOUBLE) END",
 }
 
+# Count, screenline, transit, commercial and bicycle tables.
+_DIRECTION = "CASE WHEN l_linestatus = 'O' THEN 'NB' ELSE 'SB' END"
+_PERIOD = "CASE l_linenumber % 3 WHEN 0 THEN 'AM' WHEN 1 THEN 'MD' ELSE 'PM' END"
+VALIDATION = {
+    "observed_traffic_counts": ("lineitem", {
+        "count_location_id": "l_suppkey % 40",
+        "direction": _DIRECTION,
+        "count_period": _PERIOD,
+        "count": "l_quantity",
+    }),
+    "modeled_traffic_counts": ("lineitem", {
+        "count_location_id": "l_suppkey % 45 - 2",
+        "direction": _DIRECTION,
+        "count_period": _PERIOD,
+        "count": "l_quantity + l_partkey % 3",
+    }),
+    "observed_screenline_flows": ("lineitem", {
+        "screenline_id": "'S' || CAST(l_partkey % 12 AS STRING)",
+        "direction": _DIRECTION,
+        "count_period": _PERIOD,
+        "volume": "CASE WHEN l_suppkey % 13 <> 0 THEN l_quantity END",
+        "facility_type": "CASE WHEN l_partkey % 4 <> 0 THEN 'F' || CAST(l_partkey % 4 AS STRING) "
+        "END",
+    }),
+    "modeled_screenline_flows": ("lineitem", {
+        "screenline_id": "'S' || CAST(l_partkey % 14 AS STRING)",
+        "direction": _DIRECTION,
+        "count_period": _PERIOD,
+        "volume": "l_quantity * 1.25",
+        "FACTYPE": "CASE WHEN l_partkey % 14 < 5 THEN l_partkey % 14 END",
+    }),
+    "transit_boardings": ("orders", {
+        "operator_name": "'Op' || CAST(o_custkey % 4 AS STRING)",
+        "transit_mode": "CASE WHEN o_orderkey % 3 = 0 THEN 'rail' ELSE 'bus' END",
+        "first_mode": "CASE o_orderkey % 4 WHEN 0 THEN 'walk' WHEN 1 THEN 'pnr' WHEN 2 THEN 'knr' "
+        "END",
+        "boarding_count": "CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END",
+        "linked_trips": "CAST(o_orderkey % 32 AS DOUBLE)",
+    }),
+    "commercial_vehicle_trips": ("lineitem", {
+        "truck_type": "l_returnflag",
+        "trip_class": "CASE l_linenumber % 3 WHEN 0 THEN 'External' WHEN 1 THEN 'ee' "
+        "ELSE 'internal' END",
+        "miles": "l_quantity",
+    }),
+    "bicycle_assignment_links": ("part", {
+        "facility": "p_type",
+        "bike_volume": "p_size",
+        "length": "CAST(p_size AS DOUBLE) / 4",
+    }),
+}
+# Count locations: one per supplier, volumes linear in counts within a facility type.
+COUNTS = {
+    "id": "s_suppkey",
+    "FACTYPE": "s_suppkey % 4",
+    "am_vol": "CAST((s_suppkey * 37) % 500 AS DOUBLE)",
+    "md_vol": "CASE WHEN s_suppkey % 9 <> 0 THEN CAST((s_suppkey * 53) % 400 AS DOUBLE) END",
+    "pm_vol": "CAST(100 AS DOUBLE)",
+    "day_vol": "CAST((s_suppkey * 37) % 500 + (s_suppkey * 53) % 400 AS DOUBLE)",
+}
+VOLUMES = {
+    "id": "s_suppkey + s_suppkey % 11",
+    "FACTYPE": "(s_suppkey + s_suppkey % 11) % 4",
+    "am_vol": "CAST((s_suppkey * 41) % 600 AS DOUBLE)",
+    "md_vol": "CAST((s_suppkey * 59) % 300 AS DOUBLE)",
+    "pm_vol": "CAST((s_suppkey * 7) % 250 AS DOUBLE)",
+    "day_vol": "CAST(120 AS DOUBLE)",
+}
+
 
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} AS `{name}`" for name, expr in columns.items()])
@@ -365,5 +435,19 @@ def build_run(tables: dict[str, DataFrame], config: Config = CONFIG, label: str
     )
 
 
+def add_validation_tables(run: Run, tables: dict[str, DataFrame]) -> Run:
+    """The run with count, screenline, transit, commercial and bicycle tables."""
+    extra = {
+        name: _select(tables[source], exprs) for name, (source, exprs) in VALIDATION.items()
+    }
+    return run.with_tables(**extra, transit_assignment=extra["transit_boardings"])
+
+
+def count_tables(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Observed counts and modelled volumes, one row per location."""
+    supplier = tables["supplier"]
+    return _select(supplier, COUNTS), _select(supplier, VOLUMES)
+
+
 def star_run(spark: SparkSession, directory: str, config: Config = CONFIG) -> Run:
     return build_run(load(spark, directory), config)
