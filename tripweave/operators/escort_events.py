@@ -96,8 +96,8 @@ def _linked_targets(
         return None
     links = tours.filter(F.trim(F.col(ids).cast("string")) != "").select(
         "tour_id",
-        F.explode(F.split(F.col(ids).cast("string"), "_")).try_cast("bigint").alias("_child"),
-    )
+        F.explode(F.split(F.col(ids).cast("string"), "_")).alias("_child"),
+    ).withColumn("_child", F.col("_child").try_cast("bigint"))
     child_trips = trips.filter(
         (is_outbound() == F.lit(outbound)) & (lowered("trip_purpose") == purpose)
     ).select(F.col("tour_id").alias("_child"), F.col(target).cast("bigint").alias("_target"))

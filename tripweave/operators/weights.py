@@ -134,45 +134,45 @@ def column_weights(run: Run, columns: dict[str, str]) -> Run:
     household, person, trip = (columns.get(k) for k in ("households", "persons", "trips"))
     changed_hh, changed_per = household is not None, bool(person or household)
 
-    def keep(df: DataFrame, source: DataFrame | None, key: str) -> DataFrame | None:
-        if not (_has(df, key) and _has(source, key, WEIGHT)):
-            return None
+    def linked(df: DataFrame | None, source: DataFrame | None, key: str) -> bool:
+        return _has(df, key) and _has(source, key, WEIGHT)
+
+    def follow(df: DataFrame | None, source: DataFrame | None, key: str) -> DataFrame | None:
+        """Take the related weight, else keep the present one; unrelated tables stay."""
+        if not linked(df, source, key):
+            return df
         previous = (F.col(WEIGHT),) if WEIGHT in df.columns else ()
         return inherited(df, source, key, *previous)
 
     def follow_person(df: DataFrame | None) -> DataFrame | None:
-        if df is None or not changed_per:
+        if not changed_per:
             return df
-        result = keep(df, tables["per"], "person_id")
-        if result is None and changed_hh:
-            result = keep(df, tables["hh"], "household_id")
-        return df if result is None else result
+        if linked(df, tables["per"], "person_id"):
+            return follow(df, tables["per"], "person_id")
+        return follow(df, tables["hh"], "household_id") if changed_hh else df
 
     if household:
         tables["hh"] = own_weight(tables["hh"], household)
     if person:
         tables["per"] = own_weight(tables["per"], person)
     elif changed_hh:
-        tables["per"] = keep(tables["per"], tables["hh"], "household_id") or tables["per"]
+        tables["per"] = follow(tables["per"], tables["hh"], "household_id")
     if trip:
         tables["trips"] = own_weight(tables["trips"], trip)
     else:
         tables["trips"] = follow_person(tables.get("trips"))
     if trip and _has(tables["trips"], "tour_id"):
         means = mean_trip_weight(tables["trips"])
-        tables["tours"] = keep(tables["tours"], means, "tour_id") or tables["tours"]
+        tables["tours"] = follow(tables.get("tours"), means, "tour_id")
     else:
         tables["tours"] = follow_person(tables.get("tours"))
     tables["day"] = follow_person(tables.get("day"))
-    if changed_hh and tables.get("vehicles") is not None:
-        tables["vehicles"] = (
-            keep(tables["vehicles"], tables["hh"], "household_id") or tables["vehicles"]
-        )
+    if changed_hh:
+        tables["vehicles"] = follow(tables.get("vehicles"), tables["hh"], "household_id")
     if trip or changed_per:
         for name, owner, key in (
             ("trip_hypothetical_skims", "trips", "trip_id"),
             ("tour_hypothetical_skims", "tours", "tour_id"),
         ):
-            if tables.get(name) is not None:
-                tables[name] = keep(tables[name], tables[owner], key) or tables[name]
+            tables[name] = follow(tables.get(name), tables[owner], key)
     return run.with_tables(**tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,14 @@ class Skim:
     values: DataFrame
     size: int
     zone_map: DataFrame | None = None
+    offset: int | None = None
+
+    def for_zones(self, zones: DataFrame, column: str) -> "Skim":
+        """Fix the index rule once from the zone system, instead of per looked-up table."""
+        if self.zone_map is not None or self.offset is not None:
+            return self
+        row = index_offset(zones, column, column, self.size).first()
+        return replace(self, offset=int(row["offset"]))
 
     def by_zone(self) -> DataFrame:
         """(o_zone, d_zone, value) through the zone map."""
@@ -125,7 +133,11 @@ def add_skim_value(
             F.col("d_idx").cast("bigint").alias("d_zone"),
             "value",
         )
-        offset = index_offset(df, origin, destination, skim.size).scalar()
+        offset = (
+            index_offset(df, origin, destination, skim.size).scalar()
+            if skim.offset is None
+            else F.lit(skim.offset)
+        )
         keyed = df.withColumn("_o", o - offset).withColumn("_d", d - offset)
     value = F.col("value").cast("double")
     looked_up = table.select(
