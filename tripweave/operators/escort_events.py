@@ -85,7 +85,7 @@ def events_by_participants(run: Run) -> DataFrame:
     blank = {name: F.lit(None).cast(kind) for name, kind in EVENT_COLUMNS.items()}
     others = sided.filter("NOT _adult").withColumns(blank).drop(*helpers)
     rest = trips.filter(~named).withColumns(blank)
-    return events.unionByName(others).unionByName(rest).select(trips.columns)
+    return events.unionByName(others).unionByName(rest).select(*[F.col(f"`{c}`") for c in trips.columns])
 
 
 def _linked_targets(
@@ -177,4 +177,4 @@ def events_by_tour_links(run: Run) -> DataFrame:
     # Rows that already had an event keep it only when links pick nothing for them.
     return picked.withColumns(
         {name: expr.cast(EVENT_COLUMNS[name]) for name, expr in values.items()}
-    ).drop("_role", "_status").select(trips.columns)
+    ).drop("_role", "_status").select(*[F.col(f"`{c}`") for c in trips.columns])

@@ -311,7 +311,8 @@ def tour_context(tours: DataFrame) -> DataFrame:
         ]
     )
     kept = [c for c in tours.columns if c not in {*ends, "outbound", "depart", TOUR_DIRECTION}]
-    return tours.select(*kept, F.explode(legs).alias("_leg")).select(*kept, "_leg.*")
+    quoted = [F.col(f"`{c}`") for c in kept]
+    return tours.select(*quoted, F.explode(legs).alias("_leg")).select(*quoted, "_leg.*")
 
 
 def demanded_pairs(inputs: list[tuple[DataFrame, list[Rule]]]) -> DataFrame:
