@@ -159,16 +159,15 @@ def executed_steps(
     """Steps with ``value``, ``valid`` and, when not valid, the reason."""
     catalogue = sources.catalogue()
     located = steps.join(catalogue, "matrix_name", "left")
-    offsets = matrix_offsets(located)
-    keyed = (
-        located.join(offsets, "source_id", "left")
-        .withColumn("_o", F.col("origin") - F.coalesce("_offset", F.lit(0.0)))
-        .withColumn(
-            "_d",
-            F.when(F.col("source_kind") == KEYED, NO_DESTINATION).otherwise(
-                F.col("destination") - F.coalesce("_offset", F.lit(0.0))
-            ),
-        )
+    shift: Column = F.lit(0.0)
+    if any(m.zone_map is None for m in sources.matrices):
+        located = located.join(matrix_offsets(located), "source_id", "left")
+        shift = F.coalesce("_offset", F.lit(0.0))
+    keyed = located.withColumn("_o", F.col("origin") - shift).withColumn(
+        "_d",
+        F.when(F.col("source_kind") == KEYED, NO_DESTINATION).otherwise(
+            F.col("destination") - shift
+        ),
     )
     values = sources.values(demand).select(
         "source_id", F.col("o").alias("_o"), F.col("d").alias("_d"), F.col("value").alias("_raw")

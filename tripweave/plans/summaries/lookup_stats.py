@@ -9,6 +9,7 @@ from pyspark.sql.types import NumericType
 from tripweave.model import Config, Run
 from tripweave.operators.weighted_stats import weighted_ecdf, weighted_statistics
 from tripweave.plans.registry import summary
+from tripweave.sources.lineage import cut_lineage
 
 ALL_MODES = "All Modes"
 CHOSEN = "chosen_mode"
@@ -51,6 +52,8 @@ def chosen_frequencies(df: DataFrame | None, mode: str) -> DataFrame | None:
         .groupBy("mode", F.col("_v.component").alias("component"), F.col("_v.value").alias("value"))
         .agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     )
+    # Everything below reads this aggregate several times; the records are scanned once.
+    detail = cut_lineage(detail)
     pertinent = (
         detail.filter(F.col("value").isNotNull()).select("mode", "component").distinct()
     )
@@ -80,7 +83,7 @@ def sidecar_frequencies(sidecar: DataFrame | None) -> DataFrame | None:
     needed = {"hypothetical_mode", "component", "value", "finalweight"}
     if sidecar is None or not needed <= set(sidecar.columns):
         return None
-    return (
+    return cut_lineage(
         sidecar.groupBy(
             F.col("hypothetical_mode").cast("string").alias("mode"),
             F.col("component").cast("string").alias("component"),
