@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tripweave.model import Config, Run
+from tripweave.schemas import schema_of
 
 
 class SummaryContractError(ValueError):
@@ -79,7 +80,7 @@ def summary(
     def decorate(builder):
         definition = SummaryDefinition(
             summary_id=summary_id,
-            schema=StructType.fromDDL(schema),
+            schema=schema_of(schema),
             required={t: tuple(c.split()) for t, c in (requires or {}).items()},
             builder=builder,
             build_by_default=build_by_default,

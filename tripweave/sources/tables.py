@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from tripweave.schemas import schema_of
 
 from tripweave.model import TABLES, Run
 from tripweave.plans.registry import SummaryContractError, column_problems, get_summary
@@ -251,4 +251,4 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], StructType.fromDDL(schema))
+    return spark.createDataFrame([], schema_of(schema))

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from tripweave.schemas import schema_of
 
 from oracle.star_sql import with_query
 from tripweave.sources import star, star_raw
@@ -42,7 +42,7 @@ class Query:
 
     def run(self, spark: SparkSession, directory: str) -> DataFrame:
         df = self.build(Context(spark, directory))
-        fields = StructType.fromDDL(self.schema)
+        fields = schema_of(self.schema)
         return rounded(
             df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
         )

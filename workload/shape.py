@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from tripweave.schemas import schema_of
+
 DIGITS = 6
 SQL_TYPES = {
     "string": "VARCHAR",
@@ -31,7 +33,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def shaped_sql(body: str, schema: StructType | str) -> str:
     """The same columns, types and rounding in SQL."""
     if isinstance(schema, str):
-        schema = StructType.fromDDL(schema)
+        schema = schema_of(schema)
     columns = []
     for f in schema:
         name = f'"{f.name}"'
