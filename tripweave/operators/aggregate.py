@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions.expressions import total, zero
@@ -88,6 +88,20 @@ def ensure_zero_bin(
     )
 
 
+def smallest_values(values: DataFrame, group: str, column: str, n: int) -> DataFrame:
+    """The ``n`` smallest texts per group as a sorted array, from distinct (group, value) rows.
+
+    Ranked per hash bucket first, so no task orders all values of a group.
+    """
+    bucket = F.pmod(F.hash(column), F.lit(64))
+    present = values.filter(F.col(column).isNotNull()).withColumn("_b", bucket)
+    inside = Window.partitionBy(group, "_b").orderBy(column)
+    overall = Window.partitionBy(group).orderBy(column)
+    near = present.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= n)
+    best = near.withColumn("_r", F.row_number().over(overall)).filter(F.col("_r") <= n)
+    return best.groupBy(group).agg(F.sort_array(F.collect_list(column)).alias("smallest"))
+
+
 # --- geographies -----------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tripweave.functions.expressions import clock_to_period
 from tripweave.model import Config, Run
+from tripweave.operators.aggregate import smallest_values
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -212,7 +213,7 @@ UNMATCHED_SHOWN = 20
 def category_mapping_report(df: DataFrame, specs: Sequence[CategoryMapping]) -> DataFrame:
     """Totals, unmatched counts and the first unmatched values of each mapping.
 
-    Counts are per distinct value first, so the listed values come from a bounded domain.
+    Values are counted first; only the twenty smallest unmatched ones are collected.
     """
     present = [s for s in specs if s.source in df.columns]
     values = F.array(
@@ -232,12 +233,13 @@ def category_mapping_report(df: DataFrame, specs: Sequence[CategoryMapping]) ->
         .agg(F.count(F.lit(1)).alias("n"))
     )
     unknown = ~F.col("known")
-    return counts.groupBy("target").agg(
+    totals = counts.groupBy("target").agg(
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(unknown, F.col("n"))), F.lit(0)).alias("unresolved"),
-        F.slice(
-            F.sort_array(F.collect_set(F.when(unknown, F.col("value")))), 1, UNMATCHED_SHOWN
-        ).alias("unmatched_values"),
+    )
+    shown = smallest_values(counts.filter(unknown), "target", "value", UNMATCHED_SHOWN)
+    return totals.join(
+        shown.withColumnRenamed("smallest", "unmatched_values"), "target", "left"
     )
 
 

@@ -23,20 +23,20 @@ ROUNDING = 1e-9
 def running_weight(frequencies: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Valid values with the cumulative weight ``cum`` in value order and the total ``total``.
 
-    Values are cut into equal-width ranges per key; ``base`` is the weight of earlier ranges,
-    so the ordered window runs inside one range only.
+    Values are cut into ranges of about equally many distinct values per key; ``_base`` is the
+    weight of earlier ranges, so the ordered window runs inside one range only. The cut points
+    are approximate, which moves work between tasks but never changes a result.
     """
     keys = list(keys)
     valid = frequencies.filter(F.col("value").isNotNull())
+    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     spans = valid.groupBy(*keys).agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("w").alias("total")
+        F.max("value").alias("_hi"),
+        F.sum("w").alias("total"),
+        F.percentile_approx("value", cuts, F.lit(1000)).alias("_cuts"),
     )
-    width = F.col("_hi") - F.col("_lo")
-    position = F.when(
-        width > 0, F.floor((F.col("value") - F.col("_lo")) / width * RANGES)
-    ).otherwise(0)
     ranged = valid.join(spans, keys).withColumn(
-        "_range", F.least(position, F.lit(RANGES - 1)).cast("int")
+        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))
     )
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("w").alias("_rw"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(

@@ -136,8 +136,8 @@ MATRICES = {
 
 def matrix_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """(matrix, o_idx, values) rows of every matrix, one matrix row per coarse zone."""
-    origins = tables["nation"].filter(f"n_nationkey < {COARSE_ZONES}").selectExpr(
-        "CAST(n_nationkey AS INT) AS o"
+    origins = (
+        tables["nation"].selectExpr(f"CAST(n_nationkey % {COARSE_ZONES} AS INT) AS o").distinct()
     )
     return origins.selectExpr(
         "o AS o_idx",
@@ -149,9 +149,11 @@ def matrix_rows(tables: dict[str, DataFrame]) -> DataFrame:
 
 def zone_map(tables: dict[str, DataFrame]) -> DataFrame:
     """Coarse zone number to matrix index, in reverse order."""
-    return tables["nation"].filter(f"n_nationkey < {COARSE_ZONES}").selectExpr(
-        "CAST(n_nationkey AS BIGINT) AS zone",
-        f"CAST({COARSE_ZONES - 1} - n_nationkey AS INT) AS idx",
+    return (
+        tables["nation"]
+        .selectExpr(f"CAST(n_nationkey % {COARSE_ZONES} AS BIGINT) AS zone")
+        .distinct()
+        .selectExpr("zone", f"CAST({COARSE_ZONES - 1} - zone AS INT) AS idx")
     )
 
 

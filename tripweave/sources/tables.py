@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripweave.schemas import schema_of
 
 from tripweave.model import TABLES, Run
+from tripweave.operators.aggregate import smallest_values
 from tripweave.plans.registry import SummaryContractError, column_problems, get_summary
 
 AVAILABLE, EMPTY, UNAVAILABLE, FAILED = "available", "empty", "unavailable", "failed"
@@ -172,7 +173,7 @@ def write_summary(
         f"segment_id={segment}/weighting_mode={mode}"
     )
     keys = [f.name for f in df.schema if f.dataType.simpleString() != "double"]
-    writer = df.orderBy(*keys).coalesce(1).write.mode("overwrite")
+    writer = df.orderBy(*keys).write.mode("overwrite")
     if file_format == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -218,28 +219,13 @@ def table_profile(df: DataFrame) -> DataFrame:
         ]
     )
     values = df.select(F.explode(entries).alias("_e")).select("_e.*").distinct()
-    ranked = values.groupBy("column", "type").agg(
-        F.count("value").alias("distinct_values"),
-        F.min("value").alias("_least"),
-    )
-    shown = _smallest_values(values)
-    return ranked.join(shown, "column", "left").select(
-        "column", "type", "distinct_values", "first_values"
-    )
-
-
-def _smallest_values(values: DataFrame) -> DataFrame:
-    """Five smallest texts per column: smallest per hash bucket first, then over buckets."""
-    from pyspark.sql import Window
-
-    bucket = F.pmod(F.hash("value"), F.lit(64))
-    present = values.filter(F.col("value").isNotNull()).withColumn("_b", bucket)
-    inside = Window.partitionBy("column", "_b").orderBy("value")
-    overall = Window.partitionBy("column").orderBy("value")
-    top = present.withColumn("_r", F.row_number().over(inside)).filter(f"_r <= {FIRST_VALUES}")
-    best = top.withColumn("_r", F.row_number().over(overall)).filter(f"_r <= {FIRST_VALUES}")
-    return best.groupBy("column").agg(
-        F.array_join(F.sort_array(F.collect_list("value")), "|").alias("first_values")
+    counts = values.groupBy("column", "type").agg(F.count("value").alias("distinct_values"))
+    shown = smallest_values(values, "column", "value", FIRST_VALUES)
+    return counts.join(shown, "column", "left").select(
+        "column",
+        "type",
+        "distinct_values",
+        F.array_join("smallest", "|").alias("first_values"),
     )
 
 
