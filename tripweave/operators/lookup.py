@@ -61,8 +61,12 @@ def _matrix_name(rule: Rule) -> Column:
     return F.concat(*pieces)
 
 
-def _step(df: DataFrame, rule: Rule, order: int) -> Column:
-    """One planned step as a struct; ``reason`` says why it cannot be looked up."""
+def _step(df: DataFrame, rule: Rule, index: int, order: int) -> Column:
+    """One planned step as a struct; ``reason`` says why it cannot be looked up.
+
+    Only numbers and the matrix name travel with the rows; the rule's texts are joined to the
+    reports through ``rule_index``.
+    """
     missing = sorted(rule.needed_columns() - set(df.columns))
     nothing = F.lit(None)
     if missing:
@@ -82,20 +86,30 @@ def _step(df: DataFrame, rule: Rule, order: int) -> Column:
         return (F.col(column) if known else nothing).cast("double")
 
     return F.struct(
-        F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.mode).alias("mode"),
-        F.lit(rule.component).alias("component"),
-        F.lit(rule.output).alias("output"),
-        F.lit(rule.combine).alias("combine"),
-        F.lit(rule.chain).alias("chain"),
+        F.lit(index).alias("rule_index"),
         F.lit(order).alias("chain_order"),
         F.lit(rule.step).alias("step"),
-        F.lit(rule.direction).cast("string").alias("direction"),
         zone(rule.origin_column).alias("origin"),
         zone(rule.destination_column).alias("destination"),
         matrix.cast("string").alias("matrix_name"),
         reason.cast("string").alias("reason"),
-        F.array(*[F.lit(float(s)) for s in rule.sentinels]).cast("array<double>").alias("sentinels"),
+    )
+
+
+def chain_orders(rules: list[Rule]) -> dict[str, int]:
+    """Position of every chain, in order of first appearance."""
+    return {chain: i for i, chain in enumerate(dict.fromkeys(r.chain for r in rules))}
+
+
+def rule_texts(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Names, mode, component, output, direction and combination of each rule (small)."""
+    return df.sparkSession.createDataFrame(
+        [
+            (i, r.name, r.mode, r.component, r.output, r.direction, r.combine)
+            for i, r in enumerate(rules)
+        ],
+        "rule_index int, rule_name string, mode string, component string, output string, "
+        "direction string, combine string",
     )
 
 
@@ -107,22 +121,19 @@ def planned_steps(
     The steps of a mode are built only for rows of that mode; with ``any_mode`` every row gets
     the steps of all modes.
     """
-    by_mode: dict[str, list[Rule]] = defaultdict(list)
-    orders: dict[str, int] = {}
-    for rule in rules:
-        by_mode[rule.mode].append(rule)
-        orders.setdefault(rule.chain, len(orders))
-
-    def steps(members: list[Rule]) -> Column:
-        return F.array(
-            *[F.when(_condition(df, r), _step(df, r, orders[r.chain])) for r in members]
-        )
-
+    orders = chain_orders(rules)
+    by_mode: dict[str, list[Column]] = defaultdict(list)
+    for index, rule in enumerate(rules):
+        step = F.when(_condition(df, rule), _step(df, rule, index, orders[rule.chain]))
+        by_mode[rule.mode].append(step)
     if any_mode:
-        all_steps = steps(rules)
+        all_steps = F.array(*[step for steps in by_mode.values() for step in steps])
     else:
         all_steps = F.coalesce(
-            *[F.when(F.col(mode).cast("string") == m, steps(rs)) for m, rs in by_mode.items()]
+            *[
+                F.when(F.col(mode).cast("string") == m, F.array(*steps))
+                for m, steps in by_mode.items()
+            ]
         )
     return (
         df.select(F.col(row_id).cast("bigint").alias("row_id"), F.explode(all_steps).alias("_s"))
@@ -153,12 +164,36 @@ def close_to_any(value: Column, targets: Column) -> Column:
     return F.exists(targets, lambda s: F.abs(value - s) <= 1e-8 + 1e-5 * F.abs(s))
 
 
+STEP_COLUMNS = (
+    "row_id",
+    "rule_index",
+    "chain_order",
+    "step",
+    "origin",
+    "destination",
+    "matrix_name",
+)
+
+
+def _sentinel_hit(value: Column, rules: list[Rule]) -> Column:
+    """Whether a value is one of the sentinels of its rule."""
+    by_values: dict[tuple[float, ...], list[int]] = defaultdict(list)
+    for index, rule in enumerate(rules):
+        if rule.sentinels:
+            by_values[rule.sentinels].append(index)
+    hit = F.lit(False)
+    for sentinels, indices in by_values.items():
+        targets = F.array(*[F.lit(float(v)) for v in sentinels])
+        hit = hit | (F.col("rule_index").isin(*indices) & close_to_any(value, targets))
+    return hit
+
+
 def executed_steps(
-    steps: DataFrame, sources: LookupSources, demand: DataFrame | None = None
+    steps: DataFrame, rules: list[Rule], sources: LookupSources, demand: DataFrame | None = None
 ) -> DataFrame:
     """Steps with ``value``, ``valid`` and, when not valid, the reason."""
-    catalogue = sources.catalogue()
-    located = steps.join(catalogue, "matrix_name", "left")
+    sources = sources.referenced_by([r.matrix for r in rules])
+    located = steps.join(sources.catalogue(), "matrix_name", "left")
     shift: Column = F.lit(0.0)
     if any(m.zone_map is None for m in sources.matrices):
         located = located.join(matrix_offsets(located), "source_id", "left")
@@ -174,7 +209,7 @@ def executed_steps(
     )
     found = keyed.join(values, ["source_id", "_o", "_d"], "left")
     raw = F.col("_raw")
-    sentinel = raw.isNotNull() & ~F.isnan(raw) & close_to_any(raw, F.col("sentinels"))
+    sentinel = raw.isNotNull() & ~F.isnan(raw) & _sentinel_hit(raw, rules)
     valid = raw.isNotNull() & ~sentinel & F.col("reason").isNull()
     outcome = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
@@ -184,7 +219,7 @@ def executed_steps(
     )
     planned = F.col("reason").isNull()
     return found.select(
-        *steps.columns[: steps.columns.index("matrix_name") + 1],
+        *STEP_COLUMNS,
         F.when(valid, raw).alias("value"),
         valid.alias("valid"),
         outcome.alias("reason"),
@@ -207,30 +242,35 @@ def check_ambiguous(rules: list[Rule], sources: LookupSources) -> None:
                 )
 
 
-CHAIN_KEYS = ("row_id", "mode", "chain")
+CHAIN_KEYS = ("row_id", "chain_order")
 
 
 def resolved_values(attempts: DataFrame) -> DataFrame:
-    """First valid step of every chain: one row per (row, mode, chain)."""
+    """First valid step of every chain: one row per (row, chain).
+
+    Rows are placed by row id once; picking, combining and pivoting then stay in place.
+    """
     return (
         attempts.filter("valid")
-        .groupBy(*CHAIN_KEYS, "output", "combine", "chain_order")
+        .select(*CHAIN_KEYS, "rule_index", "step", "value")
+        .repartition("row_id")
+        .groupBy(*CHAIN_KEYS)
         .agg(
-            F.min("step").alias("step"),
             F.min_by("value", "step").alias("value"),
-            F.min_by("matrix_name", "step").alias("matrix_name"),
-            F.min_by("rule_name", "step").alias("rule_name"),
+            F.min_by("rule_index", "step").alias("rule_index"),
         )
     )
 
 
-def combined_values(resolved: DataFrame) -> DataFrame:
+def combined_values(resolved: DataFrame, rules: list[Rule]) -> DataFrame:
     """One value per (row, mode, output): the sum of its chains, or the first chain's."""
-    summed = F.sum("value")
-    first = F.min_by("value", "chain_order")
-    value = F.when(F.min("combine") == "sum", summed).otherwise(first)
+    texts = rule_texts(resolved, rules).select("rule_index", "mode", "output", "combine")
+    value = F.when(F.min("combine") == "sum", F.sum("value")).otherwise(
+        F.min_by("value", "chain_order")
+    )
     return (
-        resolved.groupBy("row_id", "mode", "output")
+        resolved.join(texts, "rule_index")
+        .groupBy("row_id", "mode", "output")
         .agg(value.alias("value"))
         .withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     )
@@ -259,12 +299,14 @@ def annotate(
 ) -> Annotated:
     """The base table with lookup outputs, and the attempts for reports."""
     check_ambiguous(rules, sources)
-    attempts = executed_steps(planned_steps(context, rules, mode, row_id), sources, demand)
+    steps = planned_steps(context, rules, mode, row_id)
+    attempts = executed_steps(steps, rules, sources, demand)
     resolved = resolved_values(attempts)
     outputs = list(dict.fromkeys(r.output for r in rules))
-    wide = output_columns(combined_values(resolved), outputs).withColumnRenamed("row_id", row_id)
+    wide = output_columns(combined_values(resolved, rules), outputs).withColumnRenamed("row_id", row_id)
     kept = base.drop(*[o for o in outputs if o in base.columns])
-    return Annotated(kept.join(wide, row_id, "left"), attempts, resolved)
+    named = attempts.join(rule_texts(attempts, rules), "rule_index")
+    return Annotated(kept.join(wide, row_id, "left"), named, resolved)
 
 
 def annotate_trips(trips, rules: RuleSet, sources, mode="trip_mode", row_id="trip_id"):
@@ -353,10 +395,9 @@ def hypothetical_values(
     row_id: str,
 ) -> DataFrame:
     """Every row under every rule mode, in long form, with its observed mode and weight."""
-    attempts = executed_steps(
-        planned_steps(context, rules, mode, row_id, any_mode=True), sources
-    )
-    values = combined_values(resolved_values(attempts))
+    steps = planned_steps(context, rules, mode, row_id, any_mode=True)
+    attempts = executed_steps(steps, rules, sources)
+    values = combined_values(resolved_values(attempts), rules)
     pairs = sorted({(r.mode, r.output) for r in rules})
     available = values.select("mode", "output").distinct()
     grid = F.array(
@@ -401,7 +442,7 @@ def tour_hypotheticals(tours, rules: RuleSet, sources, mode="tour_mode") -> Data
 
 def used_attempts(attempts: DataFrame) -> DataFrame:
     """Attempts up to the step that resolved the chain, with that step (null if none did)."""
-    chain = Window.partitionBy(*CHAIN_KEYS, "direction")
+    chain = Window.partitionBy(*CHAIN_KEYS)
     solved = F.min(F.when(F.col("valid"), F.col("step"))).over(chain)
     return attempts.withColumn("resolved_step", solved)
 
@@ -432,9 +473,9 @@ def final_failures(attempts: DataFrame) -> DataFrame:
         F.struct(*FAILURE), F.struct(F.col("planned").cast("int"), F.col("step"))
     )
     return (
-        unresolved.groupBy(*CHAIN_KEYS, "direction")
+        unresolved.groupBy(*CHAIN_KEYS)
         .agg(last.alias("_f"))
-        .select(*CHAIN_KEYS, "direction", "_f.*")
+        .select(*CHAIN_KEYS, "_f.*")
     )
 
 
@@ -456,8 +497,9 @@ def skipped_rules(missing: DataFrame) -> DataFrame:
 
 def fallback_report(attempts: DataFrame, rules: list[Rule], table_name: str) -> DataFrame:
     """Rows a fallback step resolved, and rows that exhausted all steps of a fallback chain."""
-    eligible = sorted({r.chain for r in rules if r.step > 0})
-    scoped = used_attempts(attempts).filter(F.col("chain").isin(*eligible))
+    orders = chain_orders(rules)
+    eligible = sorted({orders[r.chain] for r in rules if r.step > 0})
+    scoped = used_attempts(attempts).filter(F.col("chain_order").isin(*eligible))
     step, solved = F.col("step"), F.col("resolved_step")
     earlier = ~F.col("valid") & (solved.isNull() | (step < solved))
     history = scoped.groupBy(*CHAIN_KEYS, "direction", "output", "resolved_step").agg(

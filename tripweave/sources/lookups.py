@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.types import NumericType
 
 KEYED, OD_TABLE, OD_MATRIX, AMBIGUOUS = "keyed_column", "od_table", "od_matrix", "ambiguous"
 NO_DESTINATION = -1.0
+TOKEN = re.compile(r"\{(\w+)\}")
 
 # Header pairs that mark an origin-destination table.
 OD_HEADERS = {
@@ -96,6 +98,7 @@ class TableSource:
     file: str
     df: DataFrame
     order: str = "_order"
+    only: tuple[str, ...] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -115,7 +118,7 @@ class TableSource:
         values = [c for c in self.columns if c in numeric and c not in self.key_columns]
         if not values:
             raise ValueError(f"{self.file}: no numeric value column")
-        return values
+        return values if self.only is None else [c for c in values if c in self.only]
 
     def matrix_name(self, column: str) -> str:
         return f"{os.path.splitext(self.file)[0]}__{column}"
@@ -166,6 +169,30 @@ class LookupSources:
     tables: tuple[TableSource, ...] = ()
     matrices: tuple[MatrixSource, ...] = ()
 
+    def referenced_by(self, templates: Sequence[str]) -> "LookupSources":
+        """Only the value columns and matrices a matrix template can name."""
+        patterns = [
+            re.compile(".+".join(map(re.escape, TOKEN.split(t)[::2]))) for t in templates
+        ]
+
+        def used(file: str, name: str) -> bool:
+            return any(p.fullmatch(name) or p.fullmatch(f"{file}::{name}") for p in patterns)
+
+        tables = [
+            replace(
+                t, only=tuple(c for c in t.value_columns if used(t.file, t.matrix_name(c)))
+            )
+            for t in self.tables
+        ]
+        matrices = [
+            replace(m, names=tuple(n for n in m.names if used(m.file, n))) for m in self.matrices
+        ]
+        return replace(
+            self,
+            tables=tuple(t for t in tables if t.only),
+            matrices=tuple(m for m in matrices if m.names),
+        )
+
     def records(self) -> list[tuple[str, str, str, int]]:
         """(name, qualified name, kind, size) of every value column and matrix."""
         rows = [
@@ -211,7 +238,7 @@ class LookupSources:
                 )
             )
         for m in self.matrices:
-            cells = m.long.select(
+            cells = m.long.filter(F.col("matrix").isin(*m.names)).select(
                 F.concat(F.lit(f"{m.file}::"), "matrix").alias("source_id"),
                 "o_idx",
                 "d_idx",
@@ -231,4 +258,8 @@ class LookupSources:
                     "source_id", o.cast("double").alias("o"), d.cast("double").alias("d"), "value"
                 )
             )
+        if not parts:
+            return self.spark.createDataFrame(
+                [], "source_id string, o double, d double, value double"
+            )
         return reduce(DataFrame.unionByName, parts)

@@ -226,7 +226,8 @@ def catalogue(ctx):
 )
 def rules_used(ctx):
     """The rule table joined with the rows each rule plans."""
-    planned = lookup.planned_steps(trips(ctx), RULES.trips, "trip_mode", "trip_id")
+    steps = lookup.planned_steps(trips(ctx), RULES.trips, "trip_mode", "trip_id")
+    planned = steps.join(lookup.rule_texts(steps, RULES.trips), "rule_index")
     table = rules_table(ctx.spark, RULES.trips)
     counts = planned.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
     return table.join(counts, "rule_name")
