@@ -102,8 +102,11 @@ def chain_orders(rules: list[Rule]) -> dict[str, int]:
 
 
 def rule_texts(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Names, mode, component, output, direction and combination of each rule (small)."""
-    return df.sparkSession.createDataFrame(
+    """Names, mode, component, output, direction and combination of each rule.
+
+    One row per configured rule, so it is broadcast.
+    """
+    table = df.sparkSession.createDataFrame(
         [
             (i, r.name, r.mode, r.component, r.output, r.direction, r.combine)
             for i, r in enumerate(rules)
@@ -111,6 +114,7 @@ def rule_texts(df: DataFrame, rules: list[Rule]) -> DataFrame:
         "rule_index int, rule_name string, mode string, component string, output string, "
         "direction string, combine string",
     )
+    return F.broadcast(table)
 
 
 def planned_steps(
@@ -193,10 +197,11 @@ def executed_steps(
 ) -> DataFrame:
     """Steps with ``value``, ``valid`` and, when not valid, the reason."""
     sources = sources.referenced_by([r.matrix for r in rules])
-    located = steps.join(sources.catalogue(), "matrix_name", "left")
+    # The catalogue and the offsets have one row per lookup source: both are broadcast.
+    located = steps.join(F.broadcast(sources.catalogue()), "matrix_name", "left")
     shift: Column = F.lit(0.0)
     if any(m.zone_map is None for m in sources.matrices):
-        located = located.join(matrix_offsets(located), "source_id", "left")
+        located = located.join(F.broadcast(matrix_offsets(located)), "source_id", "left")
         shift = F.coalesce("_offset", F.lit(0.0))
     keyed = located.withColumn("_o", F.col("origin") - shift).withColumn(
         "_d",
@@ -399,6 +404,7 @@ def hypothetical_values(
     attempts = executed_steps(steps, rules, sources)
     values = combined_values(resolved_values(attempts), rules)
     pairs = sorted({(r.mode, r.output) for r in rules})
+    # At most one row per configured mode and output: broadcast.
     available = values.select("mode", "output").distinct()
     grid = F.array(
         *[F.struct(F.lit(m).alias("mode"), F.lit(o).alias("output")) for m, o in pairs]
@@ -411,7 +417,7 @@ def hypothetical_values(
             F.explode(grid).alias("_g"),
         )
         .select("row_id", "observed_mode", "finalweight", "_g.mode", "_g.output")
-        .join(available, ["mode", "output"], "left_semi")
+        .join(F.broadcast(available), ["mode", "output"], "left_semi")
     )
     return rows.join(values, ["row_id", "mode", "output"], "left").select(
         F.col("row_id").alias(row_id),
@@ -566,9 +572,8 @@ def uncovered_segments(df: DataFrame, mode: str, rules: RuleSet) -> DataFrame:
 
 def zones_out_of_bounds(attempts: DataFrame, sources: LookupSources) -> DataFrame:
     """Looked-up rows per matrix whose zones lie outside it."""
-    sized = attempts.join(
-        sources.catalogue().filter(F.col("source_kind") == OD_MATRIX), "matrix_name"
-    )
+    matrices = sources.catalogue().filter(F.col("source_kind") == OD_MATRIX)
+    sized = attempts.join(F.broadcast(matrices), "matrix_name")
     outside = F.lit(False)
     for column in ("origin", "destination"):
         outside = outside | (F.col(column) < 0) | (F.col(column) > F.col("size"))

@@ -293,12 +293,12 @@ def enrich_tours(run: Run, config: Config, skim: Skim | None = None) -> Run:
 
 
 def add_period(df: DataFrame, periods: DataFrame, source: str, output: str) -> DataFrame:
-    """Label of a period number from the (period, label) table."""
+    """Label of a period number from the (period, label) table (one row per period of a day)."""
     if source not in df.columns:
         return df
     table = periods.select(F.col("period").alias("_period"), F.col("label").alias(output))
     keyed = df.drop(output).withColumn("_period", F.col(source).try_cast("bigint"))
-    return keyed.join(table, "_period", "left").drop("_period")
+    return keyed.join(F.broadcast(table), "_period", "left").drop("_period")
 
 
 def add_time_periods(run: Run, periods: DataFrame) -> Run:
