@@ -25,8 +25,11 @@ CTES: dict[str, str] = {
     "AS n) t",
     "per_keys": "SELECT household_id, home_zone_id, home_county, home_geo__district, "
     f"finalweight, {columns(star.PER_KEYS)} FROM members",
-    "per": f"SELECT {columns(star.PER).replace('work_district', 'w.district').replace('school_district', 's.district')} "
-    "FROM per_keys LEFT JOIN zones w ON w.zone = workplace_zone_id "
+    "per": "SELECT "
+    + columns(star.PER)
+    .replace("work_district", "w.district")
+    .replace("school_district", "s.district")
+    + " FROM per_keys LEFT JOIN zones w ON w.zone = workplace_zone_id "
     "LEFT JOIN zones s ON s.zone = school_zone_id",
     "day_keys": "SELECT household_id, household_id * 10 + n AS person_id, t.d FROM members, "
     "LATERAL (SELECT UNNEST(generate_series(1, CASE WHEN household_id % 2 = 0 THEN 2 ELSE 1 END)) "
@@ -37,7 +40,9 @@ CTES: dict[str, str] = {
     "tours_raw": f"SELECT {columns(star.TOURS).replace('destination_district', 'z.district')} "
     "FROM tour_keys LEFT JOIN zones z ON z.zone = tour_destination",
     "tours": f"SELECT *, {PURPOSE} FROM tours_raw",
-    "trips_raw": f"SELECT {columns(star.TRIPS)} FROM lineitem JOIN (SELECT tour_id, household_id, "
+    "lines": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY "
+    f"{', '.join(star.LINE_COLUMNS)}) AS line_no FROM lineitem",
+    "trips_raw": f"SELECT {columns(star.TRIPS)} FROM lines JOIN (SELECT tour_id, household_id, "
     "person_id, tour_mode, tour_purpose, tour_category, NUMBER_HH FROM tours) "
     "ON l_orderkey = tour_id",
     "trips": f"SELECT *, {PURPOSE} FROM trips_raw",

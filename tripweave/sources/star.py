@@ -7,7 +7,7 @@ household, tours from orders, trips from line items, zones from nations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions.expressions import summary_purpose
@@ -175,9 +175,35 @@ TOURS = {
     "finalweight": "1 + CAST(k % 8 AS DOUBLE) / 8",
 }
 
-# Trips: line item columns plus t_ columns of the tour.
+# Lines of an order are numbered over all other columns, as no shorter key is unique.
+LINE_COLUMNS = (
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+)
+# A total order of lines as text, for lookups that keep the last row.
+LINE_ORDER = " || '_' || ".join(
+    f"CAST({c} AS STRING)"
+    for c in (
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "CAST(l_quantity AS BIGINT)",
+        "CAST(l_extendedprice * 100 AS BIGINT)",
+    )
+)
+
+# Trips: line item columns (with line_no) plus columns of the tour.
 TRIPS = {
-    "trip_id": "((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber",
+    "trip_id": "l_orderkey * 100 + line_no",
     "tour_id": "l_orderkey",
     "household_id": "household_id",
     "person_id": "person_id",
@@ -396,8 +422,10 @@ def build_run(tables: dict[str, DataFrame], config: Config = CONFIG, label: str
         "tour_category",
         "NUMBER_HH",
     )
+    numbering = Window.partitionBy("l_orderkey").orderBy(*LINE_COLUMNS)
+    lines = tables["lineitem"].withColumn("line_no", F.row_number().over(numbering))
     trips = _select(
-        tables["lineitem"].join(of_tour, F.col("l_orderkey") == F.col("tour_id")), TRIPS
+        lines.join(of_tour, F.col("l_orderkey") == F.col("tour_id")), TRIPS
     )
     trips = trips.withColumn("summary_tour_purpose", summary_purpose(trips.columns, config))
 

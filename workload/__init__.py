@@ -2,7 +2,14 @@
 
 from importlib import import_module
 
-MODULE_NAMES = ("summary_queries", "prepare_queries", "lookup_queries", "quality_queries", "compare_queries", "external_queries")
+MODULE_NAMES = (
+    "summary_queries",
+    "prepare_queries",
+    "lookup_queries",
+    "quality_queries",
+    "compare_queries",
+    "external_queries",
+)
 
 
 def modules() -> list:

@@ -70,7 +70,7 @@ OD = {
     "DISTWALK": "CASE WHEN (l_suppkey + l_partkey) % 25 < 5 OR l_linenumber = 7 THEN NULL WHEN "
     "l_suppkey % 25 = 7 THEN 9999 ELSE l_quantity END",
     "actual": "l_linenumber",
-    "_order": star.TRIPS["trip_id"],
+    "_order": star.LINE_ORDER,
 }
 
 CTES = {

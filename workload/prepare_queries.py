@@ -594,15 +594,14 @@ def escort_by_links(ctx):
     "prepare_walk_distance",
     "trip_id bigint, prepared_non_motorized_distance double",
     "SELECT trip_id, w AS prepared_non_motorized_distance FROM trips LEFT JOIN (SELECT l_suppkey % 25 "
-    "AS o, l_partkey % 25 AS d, ARG_MAX(l_quantity, ((l_orderkey * 1000000 + l_partkey) * 10000 + "
-    "l_suppkey) * 8 + l_linenumber) AS w FROM lineitem GROUP BY ALL) ON o = "
-    "origin AND d = destination",
+    f"AS o, l_partkey % 25 AS d, ARG_MAX(l_quantity, {star.LINE_ORDER}) AS w FROM lineitem GROUP BY "
+    "ALL) ON o = origin AND d = destination",
 )
 def walk_distance(ctx):
     """The lookup has several rows per zone pair; the last by source order counts."""
     lookup = ctx.tables["lineitem"].groupBy(
         F.expr("l_suppkey % 25").alias("o"), F.expr("l_partkey % 25").alias("d")
-    ).agg(F.max_by("l_quantity", F.expr(star.TRIPS["trip_id"])).alias("value"))
+    ).agg(F.max_by("l_quantity", F.expr(star.LINE_ORDER)).alias("value"))
     zoned = ctx.run.trips.withColumns(
         {"o_maz": F.col("origin"), "d_maz": F.col("destination")}
     )
