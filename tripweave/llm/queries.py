@@ -63,7 +63,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_jump_sharding, op7_chat_formatting, op9_exact_dedup)
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tripweave.llm.bpe import encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return encode(table(spark, sf_dir, "documents"), path).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = (op2_jump_sharding, op7_chat_formatting, op9_exact_dedup, op10_bpe)
 
 
 def queries() -> dict:
