@@ -18,6 +18,12 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.chat import format_chats, learned_text, parsed
 
@@ -77,7 +83,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op2_jump_sharding, op7_chat_formatting, op9_exact_dedup, op10_bpe)
+QUERIES = (
+    op2_jump_sharding,
+    op4_simhash_near_dedup,
+    op7_chat_formatting,
+    op9_exact_dedup,
+    op10_bpe,
+)
 
 
 def queries() -> dict:
