@@ -34,4 +34,23 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM normal WINDOW same AS (PARTITION BY text)
 """
 
-SQL = {"op7_chat_formatting": CHATS, "op9_exact_dedup": EXACT}
+LEAKS = r"""
+WITH split AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+        UNION ALL SELECT 'item', item_id, text FROM benchmark)
+), shingles AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN []
+      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+  FROM split
+), sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'item' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n AS item_shingles, count(*) AS shared_shingles,
+  round(count(*) / n, 6) AS containment
+FROM shingles d JOIN shingles i ON d.kind = 'doc' AND i.kind = 'item' AND d.s = i.s
+JOIN sizes ON sizes.id = i.id
+GROUP BY d.id, i.id, n HAVING count(*) >= 0.8 * n
+"""
+
+SQL = {"op1_benchmark_decontamination": LEAKS, "op7_chat_formatting": CHATS, "op9_exact_dedup": EXACT}

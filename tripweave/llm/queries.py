@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.decontamination import contained_items
+
+    documents, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = contained_items(documents, items)
+    return found.withColumn("containment", F.round("containment", 6))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.sharding import assign_shards
 
@@ -84,6 +92,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_benchmark_decontamination,
     op2_jump_sharding,
     op4_simhash_near_dedup,
     op7_chat_formatting,
