@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ def write_table(df: DataFrame, name: str) -> str:
     return folder
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose result has been written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a written Parquet table: lineage ends there and lost executors reread it."""
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))

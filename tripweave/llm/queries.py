@@ -26,6 +26,14 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.substring_dedup import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.simhash import near_duplicates
 
@@ -94,6 +102,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_benchmark_decontamination,
     op2_jump_sharding,
+    op3_substring_dedup,
     op4_simhash_near_dedup,
     op7_chat_formatting,
     op9_exact_dedup,
