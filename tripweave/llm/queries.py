@@ -40,6 +40,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.language_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.chat import format_chats, learned_text, parsed
 
@@ -104,6 +112,7 @@ QUERIES = (
     op2_jump_sharding,
     op3_substring_dedup,
     op4_simhash_near_dedup,
+    op6_language_id,
     op7_chat_formatting,
     op9_exact_dedup,
     op10_bpe,
