@@ -87,6 +87,18 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.url_filter import judge_urls
+
+    rules = (
+        ("block", "net", "/"),
+        ("allow", "example.net", "/en/"),
+        ("block", "example.com", "/de/"),
+        ("allow", "org", "/fr/"),
+    )
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.exact_dedup import exact_duplicates
 
@@ -114,6 +126,7 @@ QUERIES = (
     op4_simhash_near_dedup,
     op6_language_id,
     op7_chat_formatting,
+    op8_url_filters,
     op9_exact_dedup,
     op10_bpe,
 )
