@@ -40,6 +40,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.language_id import held_out
+    from tripweave.llm.maxent_lm import score_corpus
+
+    kept_back = held_out(parts=10)
+    found = score_corpus(table(spark, sf_dir, "documents"), kept_back)
+    return found.withColumn("held_out", kept_back)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripweave.llm.language_id import held_out, identify, learn
 
@@ -124,6 +133,7 @@ QUERIES = (
     op2_jump_sharding,
     op3_substring_dedup,
     op4_simhash_near_dedup,
+    op5_lm_scoring,
     op6_language_id,
     op7_chat_formatting,
     op8_url_filters,
