@@ -128,6 +128,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = (
     op1_benchmark_decontamination,
     op2_jump_sharding,
@@ -139,6 +145,7 @@ QUERIES = (
     op8_url_filters,
     op9_exact_dedup,
     op10_bpe,
+    pipeline,
 )
 
 
