@@ -11,7 +11,7 @@ The class softmax sums weights of hashed features: the word before, the skipped
 back, and the pair of the two words before. It is trained by gradient updates on the executors: in
 each round every task takes steps over its part of the training texts (each text serves in one
 round), and the changes are averaged by row over the tasks that touched it. The unit softmax is fit
-to the summed counts of (word before, unit) by scaled gradient steps with a penalty. Inside a unit
+to the summed counts of (word before, unit) by iterative scaling with a penalty. Inside a unit
 the count of the token decides, with 0.1 added, as in the unigram base score. Units are dealt to
 classes by clustering their contexts. Counts grow with the corpus and stay in Spark; the driver and
 the broadcasts hold `lookup` frequent tokens and tables of fixed size only. Tokens beyond them are
@@ -48,10 +48,10 @@ class Settings:
     lookup: int = 65_536
     classes: int = 32
     columns: int = 128
-    rows: int = 1 << 14
+    rows: int = 1 << 14  # at most 1 << 16
     rounds: int = 3
     rate: float = 0.3
-    penalty: float = 20.0
+    penalty: float = 100.0
 
 
 @dataclass
@@ -276,29 +276,27 @@ def cluster(pairs: np.ndarray, classes: int, seed: int = 11) -> np.ndarray:
     return label
 
 
-def fit_units(pairs: np.ndarray, classes: np.ndarray, v: Vocabulary, steps: int = 30) -> np.ndarray:
-    """log P(unit | class, column): scaled gradient steps from the unigram inside each class."""
-    prior = np.log(v.unit_total + ADDED)
-    weights = np.zeros_like(pairs)
+def fit_units(pairs: np.ndarray, classes: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """log P(unit | class, column): expected counts scaled to the seen ones, with a penalty.
+
+    A weight for each (column, unit) scales the unigram inside the class. With `penalty` counts of
+    the unigram added, one step of iterative scaling is the optimum.
+    """
+    out = np.zeros_like(pairs)
     for c in np.unique(classes):
         own = np.flatnonzero(classes == c)
-        seen = pairs[:, own]
-        count = seen.sum(axis=1, keepdims=True)
-        w = np.zeros_like(seen)
-        for _ in range(steps):
-            p = np.exp(log_softmax(prior[own] + w))
-            w += (seen - count * p - v.settings.penalty * p * w) / (
-                count * p + v.settings.penalty * p + 1.0
-            ).clip(1.0)
-        weights[:, own] = log_softmax(prior[own] + w)
-    return weights.astype(np.float32)
+        prior = (v.unit_total[own] + ADDED) / (v.unit_total[own] + ADDED).sum()
+        seen, added = pairs[:, own], v.settings.penalty * prior
+        weights = np.log((seen + added) / (seen.sum(axis=1, keepdims=True) * prior + added))
+        out[:, own] = log_softmax(np.log(prior) + weights)
+    return out.astype(np.float32)
 
 
 def local_steps(model: Model, v: Vocabulary, batches: Iterator[pa.RecordBatch]):
     """Gradient steps over a task's texts: touched rows and their changes, by the class softmax."""
     weights = model.weights.copy()
     own = Model(model.classes, model.bias.copy(), weights, model.units)
-    squares = np.full(len(weights), 1e-2, np.float32)
+    squares = np.full(len(weights), 1.0, np.float32)  # rare rows move little
     touched = np.zeros(len(weights), bool)
     for batch in batches:
         words, found, ends = v.numbers(batch.column(1).to_pylist())
@@ -311,7 +309,7 @@ def local_steps(model: Model, v: Vocabulary, batches: Iterator[pa.RecordBatch]):
             error = np.exp(log_softmax(class_logits(own, part)))
             error[np.arange(len(y)), y] -= 1
             for r in part:
-                order = np.argsort(r, kind="stable")
+                order = np.argsort(r.astype(np.uint16), kind="stable")
                 first = np.flatnonzero(np.r_[True, r[order][1:] != r[order][:-1]])
                 row, gradient = r[order][first], np.add.reduceat(error[order], first, axis=0)
                 gradient /= np.sqrt(np.diff(np.r_[first, len(r)]))[:, None]

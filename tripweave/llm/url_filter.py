@@ -171,7 +171,11 @@ def judge_urls(
     counts = stored(word_counts(pages, hosts, html_column), "url-words")
     words = stored(segmented_hosts(hosts, counts), "url-host-words")
     rule = matched_rule(F.col("host"), F.col("path"), rules)
-    joined = parsed.join(words, "host").select(
+    none = F.array().cast("array<string>")  # hosts without a word
+    words = words.withColumnRenamed("host_words", "found")
+    joined = parsed.join(words, "host", "left").withColumn(
+        "host_words", F.coalesce("found", none)
+    ).select(
         "page_id",
         "host",
         "path",
