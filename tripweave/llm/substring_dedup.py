@@ -9,7 +9,7 @@ whose phrase also starts in a document with a smaller identifier; windows are ju
    word in five begins an anchor; they are counted with partial sums.
 2. Windows with such anchors leave their document as runs, dealt by anchor: all occurrences of a
    phrase meet. Anchors of very many documents are dealt further by document; their phrases are
-   confirmed by a grouped sum first and go to every part.
+   confirmed by grouping equal runs and then their windows first and go to every part.
 3. Each part confirms the phrases that occur in two documents, compiles them into automata of a
    bounded number of phrases, and streams its runs through them. A match with a phrase that was
    first in a smaller document covers its words.
@@ -114,7 +114,7 @@ def candidate_runs(docs: DataFrame, window: int) -> DataFrame:
 
 
 def run_windows(runs: DataFrame, window: int) -> DataFrame:
-    """anchor, documents, doc_id and words of every window of the runs."""
+    """anchor, documents, smallest and largest doc_id and words of every window of distinct runs."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +124,12 @@ def run_windows(runs: DataFrame, window: int) -> DataFrame:
                 for i in range(len(words) - window + 1):
                     row.append(k)
                     out.append(b" ".join(words[i : i + window]))
-            taken = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(3)]
+            taken = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [*taken, pa.array(out, pa.binary())], ["anchor", "documents", "doc_id", "words"]
+                [*taken, pa.array(out, pa.binary())], ["anchor", "documents", "lo", "hi", "words"]
             )
 
-    return runs.mapInArrow(made, "anchor long, documents long, doc_id long, words binary")
+    return runs.mapInArrow(made, "anchor long, documents long, lo long, hi long, words binary")
 
 
 class Shard:
@@ -268,14 +268,20 @@ def remove_repeated(
 
     parts = F.ceil(F.col("documents") / DOCUMENTS_PER_PART).cast("int")
     crowded = F.col("documents") > DOCUMENTS_PER_PART
+    distinct = (
+        runs.where(crowded)
+        .groupBy("anchor", "documents", "words")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .select("anchor", "documents", "lo", "hi", "words")
+    )
     phrases = (
-        run_windows(runs.where(crowded), window)
+        run_windows(distinct, window)
         .groupBy("words")
         .agg(
             F.min("anchor").alias("anchor"),
             F.max("documents").alias("documents"),
-            F.min("doc_id").alias("doc_id"),
-            F.max("doc_id").alias("hi"),
+            F.min("lo").alias("doc_id"),
+            F.max("hi").alias("hi"),
         )
         .where("doc_id < hi")
         .select(
