@@ -9,7 +9,7 @@ from tripweave.operators.travel_weights import (
     with_household_tour_weight,
 )
 from tripweave.plans.registry import get_summary
-from tripweave.plans.summaries.joint import joint_alternatives
+from tripweave.plans.summaries.joint import JOINT_ALTERNATIVES
 
 CONFIG = Config(use_maz=False)
 
@@ -19,7 +19,7 @@ def build(summary_id, run):
 
 
 def test_alternatives_in_code_order():
-    labels = [label for label, _ in joint_alternatives()]
+    labels = [label for label, _ in JOINT_ALTERNATIVES]
     assert len(labels) == 21
     assert labels[0] == "No Joint Tours"
     assert labels[6:8] == ["2 Shopping", "1 Shopping / 1 Maintenance"]

@@ -193,6 +193,29 @@ def test_escort_events_by_links(frame):
     assert skipped.filter("escort_event_role IS NOT NULL").isEmpty()
 
 
+def test_given_escort_events_survive_where_nothing_is_picked(frame):
+    run = event_run(frame, {})
+    given = run.trips.withColumns({
+        "escort_event_role": F.when(F.col("trip_id") == 31, "dropoff"),
+        "escort_event_trip_num": F.when(F.col("trip_id") == 31, F.lit(1)),
+    })
+    unlinked = run.with_tables(trips=given, tours=run.tours.withColumn("summary_tour_purpose", F.lit("work")))
+    found = escort_events.events_by_tour_links(unlinked)
+    assert rows(found.filter("escort_event_role IS NOT NULL"), "trip_id", "escort_event_trip_num") == [(31, 1)]
+    # No adult escort trip names participants.
+    found = escort_events.events_by_participants(run.with_tables(trips=given))
+    assert rows(found.filter("escort_event_role IS NOT NULL"), "trip_id", "escort_event_trip_num") == [(31, 1)]
+    # Events that links pick replace all given ones.
+    found = escort_events.events_by_tour_links(run.with_tables(trips=given))
+    assert rows(found.filter("escort_event_role IS NOT NULL"), "trip_id") == [(11,)]
+
+
+def test_one_join_adds_events_to_the_trips(frame):
+    run = event_run(frame, {})
+    plan = escort_events.events_by_tour_links(run)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_zone_lookups(frame):
     land_use = frame("MAZ bigint, TAZ bigint, county string", (1, 10, "a"), (1, 11, "a"), (2, 20, "b"))
     df = frame("z bigint", (1,), (2,), (3,), (None,))

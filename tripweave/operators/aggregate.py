@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tripweave.functions.expressions import total, zero
 from tripweave.model import ALL_GEOGRAPHIES, Config, first_column
+from tripweave.operators.weighted_stats import running_weight
 
 MAX_HISTOGRAM_BINS = 200
+RANKING_BUCKETS = 1024
 RELATIVE_TOLERANCE = 1e-9
 
 # Home geographies that may come with the data.
@@ -88,12 +90,15 @@ def ensure_zero_bin(
     )
 
 
-def smallest_values(values: DataFrame, group: str, column: str, n: int) -> DataFrame:
+def smallest_values(
+    values: DataFrame, group: str, column: str, n: int, buckets: int = RANKING_BUCKETS
+) -> DataFrame:
     """The ``n`` smallest texts per group as a sorted array, from distinct (group, value) rows.
 
-    Ranked per hash bucket first, so no task orders all values of a group.
+    Ranked per hash bucket first, so no task orders all values of a group. More buckets split a
+    group over more tasks and never change the result.
     """
-    bucket = F.pmod(F.hash(column), F.lit(64))
+    bucket = F.pmod(F.hash(column), F.lit(buckets))
     present = values.filter(F.col(column).isNotNull()).withColumn("_b", bucket)
     inside = Window.partitionBy(group, "_b").orderBy(column)
     overall = Window.partitionBy(group).orderBy(column)
@@ -226,13 +231,25 @@ def residual_histogram(df: DataFrame, groups: Sequence[str], value: str) -> Data
         .groupBy(*groups, "_v")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
     )
-    frequency = F.col("_n").cast("bigint")
-    stats = nonzero.groupBy(*groups).agg(
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.sum("_n").alias("_total"),
-        F.percentile("_v", F.lit(0.25), frequency).alias("_q1"),
-        F.percentile("_v", F.lit(0.75), frequency).alias("_q3"),
+    # Quartiles from running counts in value ranges, so no task holds all values of a group.
+    running = running_weight(
+        nonzero.select(*groups, F.col("_v").alias("value"), F.col("_n").alias("w")), groups
+    )
+
+    def quartile(share: float) -> Column:
+        place = (F.col("total") - 1) * share
+        below, above = (
+            F.min(F.when(F.col("cum") > at, F.col("value"))) for at in (F.floor(place), F.ceil(place))
+        )
+        rest = F.max(place - F.floor(place))
+        return F.when(rest == 0, below).otherwise((1 - rest) * below + rest * above)
+
+    stats = running.groupBy(*groups).agg(
+        F.min("value").alias("_lo"),
+        F.max("value").alias("_hi"),
+        F.max("total").alias("_total"),
+        quartile(0.25).alias("_q1"),
+        quartile(0.75).alias("_q3"),
     )
     lo, hi = F.col("_lo"), F.col("_hi")
     single = (F.abs(hi - lo) <= RELATIVE_TOLERANCE * F.greatest(F.abs(lo), F.abs(hi))) | (

@@ -210,10 +210,12 @@ def map_categories(df: DataFrame, spec: CategoryMapping) -> DataFrame:
 UNMATCHED_SHOWN = 20
 
 
-def category_mapping_report(df: DataFrame, specs: Sequence[CategoryMapping]) -> DataFrame:
-    """Totals, unmatched counts and the first unmatched values of each mapping.
+def category_mapping_report(
+    df: DataFrame, specs: Sequence[CategoryMapping], shown: int = UNMATCHED_SHOWN
+) -> DataFrame:
+    """Totals, unmatched counts and the smallest unmatched values of each mapping.
 
-    Values are counted first; only the twenty smallest unmatched ones are collected.
+    shown: how many unmatched values are listed; counts cover all of them.
     """
     present = [s for s in specs if s.source in df.columns]
     values = F.array(
@@ -237,9 +239,9 @@ def category_mapping_report(df: DataFrame, specs: Sequence[CategoryMapping]) ->
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(unknown, F.col("n"))), F.lit(0)).alias("unresolved"),
     )
-    shown = smallest_values(counts.filter(unknown), "target", "value", UNMATCHED_SHOWN)
+    listed = smallest_values(counts.filter(unknown), "target", "value", shown)
     return totals.join(
-        shown.withColumnRenamed("smallest", "unmatched_values"), "target", "left"
+        listed.withColumnRenamed("smallest", "unmatched_values"), "target", "left"
     )
 
 
@@ -253,59 +255,133 @@ def cast_present(df: DataFrame, types: dict[str, str]) -> DataFrame:
     )
 
 
-def _types(**groups: str) -> dict[str, str]:
-    return {name: kind for kind, names in groups.items() for name in names.split()}
-
-
 # Types of the prepared columns.
 PREPARED_TYPES: dict[str, dict[str, str]] = {
-    "hh": _types(
-        bigint="household_id",
-        double="finalweight",
-        int="HHVEH HHSIZE WORKERS LICENSEDDRIVERS ADULTS",
-        string="HGEO",
-    ),
-    "per": _types(
-        bigint="household_id person_id",
-        double="finalweight distance_to_work distance_to_school",
-        string="HGEO WGEO is_worker adult student_type work_from_home mandatory_tour_frequency",
-    ),
-    "day": _types(
-        bigint="day_id household_id person_id",
-        string="person_type travel_date daily_activity_pattern",
-        int="day_num travel_dow",
-        double="finalweight",
-    ),
-    "tours": _types(
-        bigint="household_id person_id tour_id o_maz d_maz pnr_zone_id income_segment "
-        "num_escortees",
-        string="tour_category tour_mode tour_purpose summary_tour_purpose school_esc_outbound "
-        "school_esc_inbound start_period end_period first_inbound_trip_period vot_bin",
-        int="start_hour end_hour first_inbound_trip_depart tourdur OTAZ DTAZ pnr_taz NUMBER_HH "
-        "AUTOSUFF LICENSEDDRIVERS",
-        double="tour_distance SKIMDIST finalweight",
-    ),
-    "trips": _types(
-        bigint="household_id person_id tour_id trip_id o_maz d_maz pnr_zone_id parking_zone "
-        "origin_parking_zone income_segment",
-        string="trip_mode trip_purpose tour_mode tour_purpose summary_tour_purpose "
-        "tour_category trip_period vot_bin escort_event_role escort_event_match_status",
-        int="depart_hour OTAZ DTAZ pnr_taz stops inbound trip_num escort_event_trip_num "
-        "escort_stops_before_event escort_stops_after_event AUTOSUFF LICENSEDDRIVERS "
-        "num_participants",
-        double="od_dist prepared_non_motorized_distance out_dir_dist finalweight",
-    ),
-    "vehicles": _types(
-        bigint="household_id vehicle_id vehicle_age",
-        int="vehicle_num",
-        string="vehicle_type body_type fuel_type",
-        double="finalweight",
-    ),
-    "land_use": _types(
-        bigint="MAZ TAZ",
-        double="EMPLOYMENT employment_count enrollment_count",
-        string="student_type",
-    ),
+    "hh": {
+        "household_id": "bigint",
+        "finalweight": "double",
+        "HHVEH": "int",
+        "HHSIZE": "int",
+        "WORKERS": "int",
+        "LICENSEDDRIVERS": "int",
+        "ADULTS": "int",
+        "HGEO": "string",
+    },
+    "per": {
+        "household_id": "bigint",
+        "person_id": "bigint",
+        "finalweight": "double",
+        "HGEO": "string",
+        "WGEO": "string",
+        "is_worker": "string",
+        "adult": "string",
+        "student_type": "string",
+        "work_from_home": "string",
+        "mandatory_tour_frequency": "string",
+        "distance_to_work": "double",
+        "distance_to_school": "double",
+    },
+    "day": {
+        "day_id": "bigint",
+        "household_id": "bigint",
+        "person_id": "bigint",
+        "person_type": "string",
+        "travel_date": "string",
+        "day_num": "int",
+        "travel_dow": "int",
+        "daily_activity_pattern": "string",
+        "finalweight": "double",
+    },
+    "tours": {
+        "household_id": "bigint",
+        "person_id": "bigint",
+        "tour_id": "bigint",
+        "tour_category": "string",
+        "tour_mode": "string",
+        "tour_purpose": "string",
+        "summary_tour_purpose": "string",
+        "school_esc_outbound": "string",
+        "school_esc_inbound": "string",
+        "start_hour": "int",
+        "end_hour": "int",
+        "start_period": "string",
+        "end_period": "string",
+        "first_inbound_trip_depart": "int",
+        "first_inbound_trip_period": "string",
+        "tourdur": "int",
+        "o_maz": "bigint",
+        "d_maz": "bigint",
+        "pnr_zone_id": "bigint",
+        "OTAZ": "int",
+        "DTAZ": "int",
+        "pnr_taz": "int",
+        "income_segment": "bigint",
+        "vot_bin": "string",
+        "tour_distance": "double",
+        "SKIMDIST": "double",
+        "NUMBER_HH": "int",
+        "AUTOSUFF": "int",
+        "LICENSEDDRIVERS": "int",
+        "num_escortees": "bigint",
+        "finalweight": "double",
+    },
+    "trips": {
+        "household_id": "bigint",
+        "person_id": "bigint",
+        "tour_id": "bigint",
+        "trip_id": "bigint",
+        "trip_mode": "string",
+        "trip_purpose": "string",
+        "tour_mode": "string",
+        "tour_purpose": "string",
+        "summary_tour_purpose": "string",
+        "tour_category": "string",
+        "depart_hour": "int",
+        "trip_period": "string",
+        "o_maz": "bigint",
+        "d_maz": "bigint",
+        "pnr_zone_id": "bigint",
+        "OTAZ": "int",
+        "DTAZ": "int",
+        "pnr_taz": "int",
+        "parking_zone": "bigint",
+        "origin_parking_zone": "bigint",
+        "income_segment": "bigint",
+        "vot_bin": "string",
+        "od_dist": "double",
+        "prepared_non_motorized_distance": "double",
+        "out_dir_dist": "double",
+        "stops": "int",
+        "inbound": "int",
+        "trip_num": "int",
+        "escort_event_role": "string",
+        "escort_event_trip_num": "int",
+        "escort_stops_before_event": "int",
+        "escort_stops_after_event": "int",
+        "escort_event_match_status": "string",
+        "AUTOSUFF": "int",
+        "LICENSEDDRIVERS": "int",
+        "num_participants": "int",
+        "finalweight": "double",
+    },
+    "land_use": {
+        "MAZ": "bigint",
+        "TAZ": "bigint",
+        "EMPLOYMENT": "double",
+        "employment_count": "double",
+        "student_type": "string",
+        "enrollment_count": "double",
+    },
+    "vehicles": {
+        "household_id": "bigint",
+        "vehicle_id": "bigint",
+        "vehicle_num": "int",
+        "vehicle_type": "string",
+        "body_type": "string",
+        "fuel_type": "string",
+        "vehicle_age": "bigint",
+        "finalweight": "double",
+    },
 }
 
 

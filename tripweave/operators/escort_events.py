@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripweave.functions.expressions import is_child, is_true, lowered, normalized
 from tripweave.model import Run
 from tripweave.operators.trips import is_outbound
+from tripweave.sources.lineage import cut_lineage
 
 EVENT_COLUMNS = {
     "escort_event_role": "string",
@@ -39,6 +40,23 @@ def event_values(role: Column, status: Column) -> dict[str, Column]:
     }
 
 
+def with_events(trips: DataFrame, events: DataFrame) -> DataFrame:
+    """Trips with these events (trip_id, _role, _status) in place of any they had.
+
+    Where there is no event at all, the trips keep the columns they came with. Events are few and
+    cut off from the plan, so what reads the trips later does not derive them again.
+    """
+    events = cut_lineage(events)
+    if events.isEmpty():
+        return trips
+    values = event_values(F.col("_role"), F.col("_status"))
+    return (
+        trips.join(events, "trip_id", "left")
+        .withColumns({name: expr.cast(EVENT_COLUMNS[name]) for name, expr in values.items()})
+        .select(*[F.col(f"`{c}`") for c in trips.columns])
+    )
+
+
 def events_by_participants(run: Run) -> DataFrame:
     """Match adult escort trips and child trips that name the same participants.
 
@@ -46,25 +64,25 @@ def events_by_participants(run: Run) -> DataFrame:
     Only candidate rows are joined; the counts are one aggregate per key.
     """
     trips = ensure_event_columns(run.trips)
-    needed = {"person_id", "trip_num", "outbound", "escort_participants", "max_trip_num",
-              "summary_tour_purpose", "trip_purpose"}
+    needed = {"trip_id", "person_id", "trip_num", "outbound", "escort_participants",
+              "max_trip_num", "summary_tour_purpose", "trip_purpose"}
     if not needed <= set(trips.columns) or not run.has("per", "person_id", "person_type"):
         return trips
     types = run.per.select("person_id", F.col("person_type").cast("string").alias("_ptype"))
     named = F.col("escort_participants").isNotNull() & F.col("outbound").isNotNull()
-    candidates = (
-        trips.filter(named).join(types, "person_id", "left").withColumn("_outbound", is_outbound())
-    )
-    child = is_child("_ptype")
+    keys = ["escort_participants", "_outbound"]
     purpose = lowered("trip_purpose")
-    adult_side = is_true(~child & (lowered("summary_tour_purpose") == "escort"))
-    child_side = is_true(
-        child
-        & ((F.col("_outbound") & (purpose == "school"))
-           | (~F.col("_outbound") & (purpose == "home")))
+    escorting = is_true(lowered("summary_tour_purpose") == "escort")
+    delivered = is_true(purpose == F.when(is_outbound(), "school").otherwise("home"))
+    child = is_child("_ptype")
+    sided = (
+        trips.filter(named & (escorting | delivered))
+        .select("trip_id", "person_id", "escort_participants", is_outbound().alias("_outbound"),
+                escorting.alias("_escorting"), delivered.alias("_delivered"))
+        .join(types, "person_id", "left")
+        .withColumn("_adult", is_true(~child & F.col("_escorting")))
+        .withColumn("_child", is_true(child & F.col("_delivered")))
     )
-    keys = ["escort_participants", "_outbound"]
-    sided = candidates.withColumn("_adult", adult_side).withColumn("_child", child_side)
     counts = sided.groupBy(*keys).agg(
         F.count_if("_adult").alias("_adults"), F.count_if("_child").alias("_children")
     )
@@ -74,38 +92,40 @@ def events_by_participants(run: Run) -> DataFrame:
         .otherwise("unmatched")
     )
     role = F.when(F.col("_outbound"), "dropoff").otherwise("pickup")
-    helpers = ["_ptype", "_outbound", "_adult", "_child", "_adults", "_children"]
-    events = (
-        sided.filter("_adult")
-        .join(counts, keys, "left")
-        .withColumn("_status", status)
-        .withColumns(event_values(role, F.col("_status")))
-        .drop(*helpers, "_status")
+    events = sided.filter("_adult").join(counts, keys, "left")
+    return with_events(trips, events.select("trip_id", role.alias("_role"), status.alias("_status")))
+
+
+def _linked_targets(escorting: DataFrame, trips: DataFrame) -> DataFrame:
+    """(tour_id, outbound, target): where linked children's trips are met, for both directions."""
+    def linked(ids: str, outbound: bool) -> Column:
+        if ids not in escorting.columns:
+            return F.array().cast("array<struct<outbound:boolean,child:bigint>>")
+        parts = F.split(F.coalesce(F.col(ids).cast("string"), F.lit("")), "_")
+        return F.transform(
+            parts,
+            lambda x: F.struct(
+                F.lit(outbound).alias("outbound"), x.try_cast("bigint").alias("child")
+            ),
+        )
+
+    both = F.concat(linked("out_escorted_tour_ids", True), linked("inb_escorted_tour_ids", False))
+    links = escorting.select("tour_id", F.explode(both).alias("l")).select(
+        "tour_id", F.col("l.outbound").alias("_outbound"), F.col("l.child").alias("_child")
+    )
+    places = {c: F.col(c) if c in trips.columns else F.lit(None) for c in ("origin", "destination")}
+    met = F.when(is_outbound(), places["destination"]).otherwise(places["origin"])
+    purpose = F.when(is_outbound(), "school").otherwise("home")
+    child_trips = trips.filter(lowered("trip_purpose") == purpose).select(
+        F.col("tour_id").alias("_child"),
+        is_outbound().alias("_outbound"),
+        met.try_cast("bigint").alias("_target"),
     )
-    blank = {name: F.lit(None).cast(kind) for name, kind in EVENT_COLUMNS.items()}
-    others = sided.filter("NOT _adult").withColumns(blank).drop(*helpers)
-    rest = trips.filter(~named).withColumns(blank)
-    return events.unionByName(others).unionByName(rest).select(*[F.col(f"`{c}`") for c in trips.columns])
-
-
-def _linked_targets(
-    tours: DataFrame, trips: DataFrame, ids: str, outbound: bool, purpose: str, target: str
-) -> DataFrame | None:
-    """(tour_id, target): where the linked children's trips are met."""
-    if ids not in tours.columns or target not in trips.columns:
-        return None
-    links = tours.filter(F.trim(F.col(ids).cast("string")) != "").select(
-        "tour_id",
-        F.explode(F.split(F.col(ids).cast("string"), "_")).alias("_child"),
-    ).withColumn("_child", F.col("_child").try_cast("bigint"))
-    child_trips = trips.filter(
-        (is_outbound() == F.lit(outbound)) & (lowered("trip_purpose") == purpose)
-    ).select(F.col("tour_id").alias("_child"), F.col(target).cast("bigint").alias("_target"))
     return (
         links.filter(F.col("_child").isNotNull())
-        .join(child_trips, "_child")
+        .join(child_trips, ["_child", "_outbound"])
         .filter(F.col("_target").isNotNull())
-        .select("tour_id", "_target")
+        .select("tour_id", "_outbound", "_target")
         .distinct()
     )
 
@@ -115,9 +135,11 @@ def events_by_tour_links(run: Run) -> DataFrame:
 
     Priority: meets a linked child with the expected purpose, meets a linked child, has the
     expected purpose, is the only trip of its direction. A tie for the best leaves no event.
+    Both directions share one pass: trips of escorting tours, where their links meet (trips of
+    the linked tours), and one aggregate per tour and direction.
     """
     trips = ensure_event_columns(run.trips)
-    needed = {"tour_id", "trip_num", "outbound", "trip_purpose", "max_trip_num"}
+    needed = {"trip_id", "tour_id", "trip_num", "outbound", "trip_purpose", "max_trip_num"}
     tour_needed = ("tour_id", "summary_tour_purpose", "school_esc_outbound", "school_esc_inbound")
     if not needed <= set(trips.columns) or not run.has("tours", *tour_needed):
         return trips
@@ -131,50 +153,38 @@ def events_by_tour_links(run: Run) -> DataFrame:
     escorting = run.tours.filter(lowered("summary_tour_purpose") == "escort").select(
         "tour_id", "school_esc_outbound", "school_esc_inbound", *links
     )
-    legs = (
-        ("dropoff", True, "school_esc_outbound", "escort", "destination",
-         "out_escorted_tour_ids", "school"),
-        ("pickup", False, "school_esc_inbound", "home", "origin",
-         "inb_escorted_tour_ids", "home"),
+    label = F.when(F.col("_outbound"), F.col("school_esc_outbound")).otherwise(
+        F.col("school_esc_inbound")
     )
-    chosen = None
-    for role, outbound, label, expected, place, ids, child_purpose in legs:
-        present = F.col(label).isNotNull() & ~normalized(label).isin("", "not_escorted")
-        rows = trips.join(
-            escorting.filter(present).select("tour_id"), "tour_id", "left_semi"
-        ).filter(is_outbound() == F.lit(outbound))
-        sizes = rows.groupBy("tour_id").agg(F.count(F.lit(1)).alias("_leg_trips"))
-        rows = rows.filter(F.col("escort_event_role").isNull()).join(sizes, "tour_id")
-        targets = _linked_targets(escorting, trips, ids, outbound, child_purpose, place)
-        meets = F.lit(False)
-        if targets is not None and place in trips.columns:
-            found = targets.withColumn("_meets", F.lit(True))
-            rows = rows.withColumn("_target", F.col(place).try_cast("bigint")).join(
-                found, ["tour_id", "_target"], "left"
-            )
-            meets = is_true(F.col("_meets"))
-        expected_purpose = is_true(lowered("trip_purpose") == expected)
-        priority = (
-            F.when(meets & expected_purpose, 0)
-            .when(meets, 1)
-            .when(expected_purpose, 2)
-            .when(F.col("_leg_trips") == 1, 3)
-        )
-        ranked = rows.withColumn("_priority", priority).filter(F.col("_priority").isNotNull())
-        best = (
-            ranked.groupBy("tour_id", "_priority")
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("trip_id").alias("trip_id"))
-            .groupBy("tour_id")
-            .agg(F.min_by(F.struct("_n", "trip_id"), "_priority").alias("_best"))
-            .filter("_best._n = 1")
-            .select(F.col("_best.trip_id").alias("trip_id"), F.lit(role).alias("_role"))
-        )
-        chosen = best if chosen is None else chosen.unionByName(best)
-    picked = trips.join(chosen, "trip_id", "left").withColumn(
-        "_status", F.when(F.col("_role").isNotNull(), "matched")
+    places = {c: F.col(c) if c in trips.columns else F.lit(None) for c in ("origin", "destination")}
+    place = F.when(is_outbound(), places["destination"]).otherwise(places["origin"])
+    expected = F.when(is_outbound(), "escort").otherwise("home")
+    rows = (
+        trips.filter(F.col("outbound").isNotNull())
+        .select("trip_id", "tour_id", is_outbound().alias("_outbound"),
+                F.col("escort_event_role").isNull().alias("_open"),
+                is_true(lowered("trip_purpose") == expected).alias("_expected"),
+                place.try_cast("bigint").alias("_target"))
+        .join(escorting.select("tour_id", "school_esc_outbound", "school_esc_inbound"), "tour_id")
+        .filter(label.isNotNull() & ~normalized(label).isin("", "not_escorted"))
     )
-    values = event_values(F.col("_role"), F.col("_status"))
-    # Rows that already had an event keep it only when links pick nothing for them.
-    return picked.withColumns(
-        {name: expr.cast(EVENT_COLUMNS[name]) for name, expr in values.items()}
-    ).drop("_role", "_status").select(*[F.col(f"`{c}`") for c in trips.columns])
+    met = _linked_targets(escorting, trips).withColumn("_met", F.lit(True))
+    rows = rows.join(met, ["tour_id", "_outbound", "_target"], "left")
+    meets = is_true(F.col("_met"))
+    ranks = (meets & F.col("_expected"), meets, F.col("_expected"), F.lit(True))
+    counted = rows.groupBy("tour_id", "_outbound").agg(
+        F.count(F.lit(1)).alias("_leg_trips"),
+        *[F.count_if(F.col("_open") & rank).alias(f"_n{i}") for i, rank in enumerate(ranks)],
+        *[F.min(F.when(F.col("_open") & rank, F.col("trip_id"))).alias(f"_trip{i}")
+          for i, rank in enumerate(ranks)],
+    )
+    best = F.when(F.col("_n0") > 0, F.when(F.col("_n0") == 1, F.col("_trip0")))
+    for i in (1, 2):
+        best = best.when(F.col(f"_n{i}") > 0, F.when(F.col(f"_n{i}") == 1, F.col(f"_trip{i}")))
+    best = best.when((F.col("_leg_trips") == 1) & (F.col("_n3") == 1), F.col("_trip3"))
+    chosen = counted.select(
+        best.alias("trip_id"),
+        F.when(F.col("_outbound"), "dropoff").otherwise("pickup").alias("_role"),
+        F.lit("matched").alias("_status"),
+    ).filter("trip_id IS NOT NULL")
+    return with_events(trips, chosen)

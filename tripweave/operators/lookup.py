@@ -571,12 +571,15 @@ def uncovered_segments(df: DataFrame, mode: str, rules: RuleSet) -> DataFrame:
 
 
 def zones_out_of_bounds(attempts: DataFrame, sources: LookupSources) -> DataFrame:
-    """Looked-up rows per matrix whose zones lie outside it."""
+    """Looked-up rows per matrix whose zones are missing, not numbers, below 1 or above its size."""
     matrices = sources.catalogue().filter(F.col("source_kind") == OD_MATRIX)
     sized = attempts.join(F.broadcast(matrices), "matrix_name")
     outside = F.lit(False)
     for column in ("origin", "destination"):
-        outside = outside | (F.col(column) < 0) | (F.col(column) > F.col("size"))
+        zone = F.col(column).try_cast("double")
+        outside = outside | F.coalesce(
+            F.isnan(zone) | (zone < 1) | (zone > F.col("size")), F.lit(True)
+        )
     return sized.groupBy("matrix_name").agg(
         F.count(F.lit(1)).alias("lookups"), F.count_if(outside).alias("out_of_bounds")
     )

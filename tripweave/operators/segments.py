@@ -83,11 +83,13 @@ def _ids(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     )
 
 
-def _keep(df: DataFrame | None, ids: DataFrame, key: str) -> DataFrame | None:
-    """Rows whose key is among the ids; a table without the key keeps none."""
+def _keep(name: str, df: DataFrame | None, ids: DataFrame, key: str) -> DataFrame | None:
+    """Rows whose key is among the ids; a table that has no key cannot be cut."""
     if df is None:
         return None
-    return df.join(ids, key, "left_semi") if key in df.columns else df.limit(0)
+    if key not in df.columns:
+        raise SegmentError(f"segments need {key} in table {name}")
+    return df.join(ids, key, "left_semi")
 
 
 def slice_run(run: Run, table: str, matched: DataFrame) -> Run:
@@ -96,7 +98,7 @@ def slice_run(run: Run, table: str, matched: DataFrame) -> Run:
 
     def keep(names: str, ids: DataFrame, key: str) -> None:
         for name in names.split():
-            t[name] = _keep(run.tables.get(name), ids, key)
+            t[name] = _keep(name, run.tables.get(name), ids, key)
 
     if table == "land_use":
         zone = next((c for c in ("MAZ", "TAZ") if c in matched.columns), None)

@@ -75,11 +75,17 @@ def repair_endpoints(trips: DataFrame) -> DataFrame:
     return joined.withColumn("stops", stops).drop("_first_num")
 
 
-def add_out_of_direction(trips: DataFrame, skim: Skim) -> DataFrame:
-    """Extra distance of passing the destination on the way to the far end of the tour leg."""
+def add_out_of_direction(trips: DataFrame, skim: Skim, known: str | None = None) -> DataFrame:
+    """Extra distance of passing the destination on the way to the far end of the tour leg.
+
+    known: a column that already holds this skim's value from OTAZ to DTAZ.
+    """
     final = F.when(F.col("inbound") == 0, F.col("_end_DTAZ")).otherwise(F.col("_end_OTAZ"))
     legs = trips.withColumn("_final", final)
-    legs = add_skim_value(legs, skim, "OTAZ", "DTAZ", "_od")
+    if known is None:
+        legs = add_skim_value(legs, skim, "OTAZ", "DTAZ", "_od")
+    else:
+        legs = legs.withColumn("_od", F.col(known))
     legs = add_skim_value(legs, skim, "OTAZ", "_final", "_of")
     legs = add_skim_value(legs, skim, "DTAZ", "_final", "_df")
     extra = F.col("_of") + F.col("_df") - F.col("_od")
@@ -110,7 +116,7 @@ def enrich_trips(run: Run, config: Config, skim: Skim | None = None) -> Run:
         and "out_dir_dist" not in trips.columns
         and leg_columns <= set(trips.columns)
     ):
-        trips = add_out_of_direction(trips, skim)
+        trips = add_out_of_direction(trips, skim, known="od_dist")
     trips = trips.drop("_end_origin", "_end_OTAZ", "_end_DTAZ")
     if "tour_purpose" in trips.columns:
         trips = trips.withColumn("summary_tour_purpose", summary_purpose(trips.columns, config))

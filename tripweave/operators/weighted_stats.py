@@ -15,21 +15,24 @@ from pyspark.sql import functions as F
 
 from tripweave.functions.expressions import zero
 
-RANGES = 64
+RANGES = 256
 PERCENTILES = 100
 ROUNDING = 1e-9
 
 
-def running_weight(frequencies: DataFrame, keys: Sequence[str]) -> DataFrame:
+def running_weight(
+    frequencies: DataFrame, keys: Sequence[str], ranges: int = RANGES
+) -> DataFrame:
     """Valid values with the cumulative weight ``cum`` in value order and the total ``total``.
 
     Values are cut into ranges of about equally many distinct values per key; ``_base`` is the
     weight of earlier ranges, so the ordered window runs inside one range only. The cut points
-    are approximate, which moves work between tasks but never changes a result.
+    are approximate, which moves work between tasks but never changes a result; more ranges split
+    a key over more tasks.
     """
     keys = list(keys)
     valid = frequencies.filter(F.col("value").isNotNull())
-    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = F.lit([i / ranges for i in range(1, ranges)])
     spans = valid.groupBy(*keys).agg(
         F.max("value").alias("_hi"),
         F.sum("w").alias("total"),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.model import Config, label_column
 
 
+NULL_PARTS = 1024
+
+
 def unique_lookup(df: DataFrame, key: str, value: str) -> DataFrame:
     """One value per key: the smallest, so the choice does not depend on row order."""
     return (
@@ -19,10 +22,34 @@ def unique_lookup(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def null_spread(df: DataFrame, *keys: str) -> Column:
+    """A second join key that deals rows with a null key over many tasks; 0 for all others.
+
+    A null key matches nothing, but a shuffled join would send all such rows to one task.
+    """
+    ids = [F.col(f"`{c}`") for c in df.columns if c.endswith("_id")]
+    if not ids:
+        return F.lit(0).cast("bigint")
+    absent = F.lit(False)
+    for key in keys:
+        absent = absent | F.col(key).isNull()
+    return F.when(absent, 1 + F.pmod(F.xxhash64(*ids), F.lit(NULL_PARTS))).otherwise(0)
+
+
+def matched_spread(*keys: str) -> Column:
+    """The other side of ``null_spread``: always 0, but not a constant the optimizer would drop."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_spread")
+
+
 def attach(df: DataFrame, lookup: DataFrame, key: str, output: str) -> DataFrame:
     """Left join of a (``_key``, ``_value``) lookup; small lookups broadcast by their size."""
-    renamed = lookup.select(F.col("_key").alias(key), F.col("_value").alias(output))
-    return df.drop(output).join(renamed, key, "left") if output != key else df
+    if output == key:
+        return df
+    renamed = lookup.select(
+        F.col("_key").alias(key), F.col("_value").alias(output), matched_spread("_key")
+    )
+    spread = df.drop(output).withColumn("_spread", null_spread(df, key))
+    return spread.join(renamed, [key, "_spread"], "left").drop("_spread")
 
 
 def to_taz(df: DataFrame, zone: str, output: str, land_use: DataFrame, config: Config) -> DataFrame:
@@ -144,11 +171,13 @@ def add_skim_value(
         F.col("o_zone").alias("_o"),
         F.col("d_zone").alias("_d"),
         F.when(~F.isnan(value), value).alias("_skim_value"),
+        matched_spread("o_zone", "d_zone"),
     )
     return (
-        keyed.join(looked_up, ["_o", "_d"], "left")
+        keyed.withColumn("_spread", null_spread(keyed, "_o", "_d"))
+        .join(looked_up, ["_o", "_d", "_spread"], "left")
         .withColumn(output, F.col("_skim_value"))
-        .drop("_o", "_d", "_skim_value")
+        .drop("_o", "_d", "_spread", "_skim_value")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from tripweave.model import Config, Run
 from tripweave.operators.segments import Segmentation, analysis_units
 from tripweave.plans.registry import get_summary, session_of, summary_ids
 from tripweave.plans.weighting import WeightingModes, default_modes
-from tripweave.sources.tables import FAILED, ledger, summary_state, write_summary
+from tripweave.sources.tables import FAILED, ledger, summary_state, write_summary, write_tables
 
 
 def build_summaries(
@@ -24,6 +25,24 @@ def build_summaries(
     }
 
 
+def stored_run(run: Run, folder: str) -> Run:
+    """The run read back from prepared tables written once to a new folder.
+
+    Summaries are many, so what prepares a table runs once and each summary reads the few columns
+    it needs from Parquet.
+    """
+    place = f"{folder}/prepared/{run.label}-{uuid.uuid4().hex}"
+    write_tables(run, place)
+    spark = session_of(run)
+    return run.with_tables(
+        **{
+            name: spark.read.schema(df.schema).parquet(f"{place}/{name}.parquet")
+            for name, df in run.tables.items()
+            if df is not None
+        }
+    )
+
+
 def store_summaries(
     run: Run,
     config: Config,
@@ -35,9 +54,12 @@ def store_summaries(
 ) -> DataFrame:
     """Write every summary under run, segment and mode; returns the availability ledger.
 
+    The run's tables are written first and summaries are built from the stored ones.
+
     A summary that fails is recorded and the others go on, unless errors are to be raised.
     """
     modes, spark = modes or default_modes(), session_of(run)
+    run = stored_run(run, folder)
     states: dict[str, tuple[str, str]] = {}
     for unit in analysis_units(run, segmentation):
         for mode in config.weighting_modes:

@@ -76,4 +76,5 @@ def prepare(
         run = run.with_tables(trips=add_walk_distance(run.trips, walk_distances))
     if periods is not None:
         run = add_time_periods(run, periods)
-    return cast_prepared(run)
+    run = cast_prepared(run)
+    return run.with_tables(tours=cut_lineage(run.tours), trips=cut_lineage(run.trips))

@@ -31,21 +31,32 @@ JOINT_PURPOSES = {
         "joint_othdiscr",
     ),
 }
-SLOT_NAMES = ("Shopping", "Maintenance", "Eating Out", "Visiting", "Other Discretionary")
 
 
-def joint_alternatives() -> list[tuple[str, dict[int, int]]]:
-    """Joint-tour frequency alternatives in code order: (label, least tours per slot).
-
-    None, one tour of each purpose, then every pair of purposes (a purpose with itself first).
-    """
-    alternatives: list[tuple[str, dict[int, int]]] = [("No Joint Tours", {})]
-    alternatives += [(f"1 {name}", {i: 1}) for i, name in enumerate(SLOT_NAMES)]
-    for i, first in enumerate(SLOT_NAMES):
-        alternatives.append((f"2 {first}", {i: 2}))
-        for j in range(i + 1, len(SLOT_NAMES)):
-            alternatives.append((f"1 {first} / 1 {SLOT_NAMES[j]}", {i: 1, j: 1}))
-    return alternatives
+# Joint-tour frequency alternatives in code order, with the least tours per slot.
+JOINT_ALTERNATIVES: list[tuple[str, dict[int, int]]] = [
+    ("No Joint Tours", {}),
+    ("1 Shopping", {0: 1}),
+    ("1 Maintenance", {1: 1}),
+    ("1 Eating Out", {2: 1}),
+    ("1 Visiting", {3: 1}),
+    ("1 Other Discretionary", {4: 1}),
+    ("2 Shopping", {0: 2}),
+    ("1 Shopping / 1 Maintenance", {0: 1, 1: 1}),
+    ("1 Shopping / 1 Eating Out", {0: 1, 2: 1}),
+    ("1 Shopping / 1 Visiting", {0: 1, 3: 1}),
+    ("1 Shopping / 1 Other Discretionary", {0: 1, 4: 1}),
+    ("2 Maintenance", {1: 2}),
+    ("1 Maintenance / 1 Eating Out", {1: 1, 2: 1}),
+    ("1 Maintenance / 1 Visiting", {1: 1, 3: 1}),
+    ("1 Maintenance / 1 Other Discretionary", {1: 1, 4: 1}),
+    ("2 Eating Out", {2: 2}),
+    ("1 Eating Out / 1 Visiting", {2: 1, 3: 1}),
+    ("1 Eating Out / 1 Other Discretionary", {2: 1, 4: 1}),
+    ("2 Visiting", {3: 2}),
+    ("1 Visiting / 1 Other Discretionary", {3: 1, 4: 1}),
+    ("2 Other Discretionary", {4: 2}),
+]
 
 
 def joint_identity(columns, row: Column | None = None) -> Column:
@@ -117,7 +128,7 @@ def joint_tour_frequency(run: Run, config: Config) -> DataFrame | None:
         counted = observations.join(counts, keys, "left").select(
             "finalweight", *[F.coalesce(F.col(s), F.lit(0)).alias(s) for s in slots]
         )
-    alternatives = joint_alternatives()
+    alternatives = JOINT_ALTERNATIVES
     # Later alternatives override earlier ones, so test them from the last.
     code = F.lit(None).cast("int")
     for number in range(len(alternatives), 0, -1):

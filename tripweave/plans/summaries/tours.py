@@ -162,10 +162,12 @@ def tour_time_of_day(run: Run, config: Config) -> DataFrame:
     dense = densify(
         counts, ["tour_purpose"], "time_bin", list(range(HALF_HOUR_PERIODS + 1)), list(measures)
     )
-    if "start_hour" not in run.tours.columns:
+    # Late arrivals and long durations keep the half-hour bins too, not only late departures.
+    hours = [F.max(c) for c in ("start_hour", "end_hour", "tourdur") if c in run.tours.columns]
+    if not hours:
         return dense
-    latest = run.tours.agg(F.max("start_hour")).scalar()
-    return trim_time_bins(dense, latest)
+    latest = hours[0] if len(hours) == 1 else F.greatest(*hours)
+    return trim_time_bins(dense, run.tours.agg(latest).scalar())
 
 
 @summary(

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows read from a reliable checkpoint, so later plans start from here.
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only in local sessions without one."""
+    The folder is the one the session names in spark.checkpoint.dir (or set on its context). Where
+    none is set the plan stays as it is.
+    """
+    spark = df.sparkSession
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tripweave-checkpoint-")
     if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df
         context.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint, so later plans start from here."""
-    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

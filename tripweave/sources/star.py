@@ -203,7 +203,7 @@ LINE_ORDER = " || '_' || ".join(
 
 # Trips: line item columns (with line_no) plus columns of the tour.
 TRIPS = {
-    "trip_id": "l_orderkey * 100 + line_no",
+    "trip_id": "l_orderkey * 10000000 + line_no",
     "tour_id": "l_orderkey",
     "household_id": "household_id",
     "person_id": "person_id",

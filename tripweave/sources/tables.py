@@ -206,8 +206,11 @@ def summary_state(df: DataFrame, missing: dict[str, str]) -> tuple[str, str]:
 FIRST_VALUES = 5
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, number of distinct values, and the five smallest values as text."""
+def table_profile(df: DataFrame, first_values: int = FIRST_VALUES) -> DataFrame:
+    """Per column: type, number of distinct values, and the smallest values as text.
+
+    first_values: how many values are listed; distinct values are counted over all rows.
+    """
     entries = F.array(
         *[
             F.struct(
@@ -220,7 +223,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
     values = df.select(F.explode(entries).alias("_e")).select("_e.*").distinct()
     counts = values.groupBy("column", "type").agg(F.count("value").alias("distinct_values"))
-    shown = smallest_values(values, "column", "value", FIRST_VALUES)
+    shown = smallest_values(values, "column", "value", first_values)
     return counts.join(shown, "column", "left").select(
         "column",
         "type",

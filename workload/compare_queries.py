@@ -524,10 +524,11 @@ add("compare_miles_overview", "run string, category string, vmt double, percent_
     f"(SELECT 'Personal Auto' AS c, SUM(auto_vmt) AS v FROM {source(VMT)} WHERE geography_type = "
     "'all_geographies' AND time_period = 'Daily' UNION ALL SELECT 'Non-Motorized', "
     f"SUM(non_motorized_vmt) FROM {source(ACTIVE)} WHERE geography_type = 'all_geographies' AND "
-    "time_period = 'Daily' UNION ALL SELECT 'External', 0 UNION ALL SELECT 'Commercial', SUM(miles) "
-    "FROM commercial_vehicle_trips)",
+    "time_period = 'Daily' UNION ALL SELECT 'External', SUM(miles) FROM commercial_vehicle_trips WHERE "
+    "trip_class IN ('External', 'ee') UNION ALL SELECT 'Commercial', SUM(miles) FROM "
+    "commercial_vehicle_trips WHERE trip_class = 'internal')",
     lambda ctx: compare.miles_overview({
         "Personal Auto": compare.total_miles(base(ctx, VMT), "auto_vmt"),
         "Non-Motorized": compare.total_miles(base(ctx, ACTIVE), "non_motorized_vmt"),
-        "External": compare.total_wide_miles(commercial(ctx).limit(0), TRUCK),
-        "Commercial": compare.total_wide_miles(commercial(ctx), TRUCK)}))
+        "External": compare.total_wide_miles(commercial(ctx).filter("tod <> 'internal'"), TRUCK),
+        "Commercial": compare.total_wide_miles(commercial(ctx).filter("tod = 'internal'"), TRUCK)}))

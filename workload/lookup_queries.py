@@ -358,8 +358,16 @@ def mode_coverage(ctx):
 @query(
     "lookup_zone_bounds",
     "matrix_name string, lookups bigint, out_of_bounds bigint",
-    "SELECT matrix AS matrix_name, COUNT(*) AS lookups, 0 AS out_of_bounds FROM steps WHERE matrix IN "
-    "('DIST', 'TIME__AM', 'TIME__MD') GROUP BY 1",
+    "SELECT matrix AS matrix_name, COUNT(*) AS lookups, COUNT(*) FILTER (COALESCE(o < 1 OR o > 10 OR d "
+    "< 1 OR d > 10, TRUE)) AS out_of_bounds FROM (SELECT matrix, CASE WHEN trip_id % 11 = 0 THEN 11 "
+    "WHEN trip_id % 13 <> 0 THEN CASE WHEN chain LIKE 'PNR_TRANSIT.False%' THEN dz ELSE oz END END AS "
+    "o, CASE WHEN chain LIKE 'PNR_TRANSIT.False%' THEN oz ELSE dz END AS d FROM steps JOIN lk USING "
+    "(trip_id) WHERE matrix IN ('DIST', 'TIME__AM', 'TIME__MD')) GROUP BY 1",
 )
 def zone_bounds(ctx):
-    return lookup.zones_out_of_bounds(annotated(ctx).attempts, sources(ctx))
+    """Zones are 0 to 9 and the size is 10: zone 0, some null and some size + 1 are outside."""
+    attempts = annotated(ctx).attempts.withColumn(
+        "origin",
+        F.expr("CASE WHEN row_id % 11 = 0 THEN 11 WHEN row_id % 13 <> 0 THEN origin END"),
+    )
+    return lookup.zones_out_of_bounds(attempts, sources(ctx))

@@ -482,16 +482,17 @@ def trip_run(ctx: Context):
     "income_segment bigint",
     "SELECT r.trip_id, o2 AS origin, d2 AS destination, last_num AS max_trip_num, CASE WHEN trip_num < "
     "last_num THEN 1 ELSE 0 END AS stops, CASE WHEN outbound THEN 0 ELSE 1 END AS inbound, "
-    "t.primary_purpose AS tour_purpose, CAST(NULL AS BIGINT) AS num_participants, o2 % 10 AS OTAZ, "
+    "t.primary_purpose AS tour_purpose, CASE WHEN tour_id % 7 <> 0 THEN tour_id % 5 END AS "
+    "num_participants, o2 % 10 AS OTAZ, "
     f"d2 % 10 AS DTAZ, v AS od_dist, h.income AS income_segment FROM {REPAIRED} r JOIN (SELECT "
     "tour_id, primary_purpose FROM raw_tours) t USING (tour_id) JOIN raw_hh h USING (household_id) "
     "LEFT JOIN dist_cells ON o = o2 % 10 AND d = d2 % 10",
 )
 def trip_enrichment(ctx):
     run = trip_run(ctx)
+    sized = run.tours.withColumn("NUMBER_HH", F.expr("CASE WHEN tour_id % 7 <> 0 THEN tour_id % 5 END"))
     skim = star_raw.skim(ctx.tables).for_zones(ctx.raw.land_use, "TAZ")
-    df = trips.enrich_trips(run, ctx.raw_config, skim).trips
-    return df.withColumn("num_participants", F.lit(None).cast("bigint"))
+    return trips.enrich_trips(run.with_tables(tours=sized), ctx.raw_config, skim).trips
 
 
 @query(
@@ -549,7 +550,7 @@ def escort_by_participants(ctx):
     return escort_events.events_by_participants(ctx.run.with_tables(trips=named))
 
 
-def _linked(leg, outbound, label, expected, place, link, purpose):
+def _linked(leg, outbound, label, expected, place, link, purpose, free="TRUE"):
     return (
         f"{leg} AS (SELECT tour_id, trip_id FROM (SELECT tour_id, p, COUNT(*) AS n, MIN(trip_id) AS "
         f"trip_id FROM (SELECT r.tour_id, r.trip_id, CASE WHEN m AND r.trip_purpose = '{expected}' THEN "
@@ -558,36 +559,79 @@ def _linked(leg, outbound, label, expected, place, link, purpose):
         f"k.tour_id = {link} AND k.outbound = {outbound} AND k.trip_purpose = '{purpose}' AND "
         f"k.{place} = t.{place}) AS m FROM trips t WHERE outbound = {outbound} AND tour_id IN (SELECT "
         f"tour_id FROM tours WHERE summary_tour_purpose = 'escort' AND {label} IS NOT NULL AND "
-        f"TRIM({label}) NOT IN ('', 'not_escorted'))) r) WHERE p IS NOT NULL GROUP BY tour_id, p QUALIFY "
+        f"TRIM({label}) NOT IN ('', 'not_escorted'))) r) WHERE p IS NOT NULL AND {free} GROUP BY tour_id, p QUALIFY "
         "ROW_NUMBER() OVER (PARTITION BY tour_id ORDER BY p) = 1) WHERE n = 1)"
     )
 
 
-@query(
-    "prepare_escort_events_by_tour_links",
+def _links_sql(free="TRUE"):
+    return (
+        "WITH "
+        + _linked("a", "TRUE", "school_esc_outbound", "escort", "destination", "t.tour_id + 1",
+                  "school", free)
+        + ", "
+        + _linked("b", "FALSE", "school_esc_inbound", "home", "origin", "t.tour_id + 2", "home", free)
+        + " SELECT t.trip_id, role AS escort_event_role, CASE WHEN role IS NOT NULL THEN trip_num END "
+        "AS escort_event_trip_num, CASE WHEN role IS NOT NULL THEN trip_num - 1 END AS "
+        "escort_stops_before_event, CASE WHEN role IS NOT NULL THEN mx - trip_num END AS "
+        "escort_stops_after_event, CASE WHEN role IS NOT NULL THEN 'matched' END AS "
+        "escort_event_match_status FROM (SELECT *, MAX(trip_num) OVER (PARTITION BY tour_id, outbound) "
+        "AS mx FROM trips) t LEFT JOIN (SELECT trip_id, 'dropoff' AS role FROM a UNION ALL SELECT "
+        "trip_id, 'pickup' FROM b) USING (trip_id)"
+    )
+
+
+EVENT_SCHEMA = (
     "trip_id bigint, escort_event_role string, escort_event_trip_num int, "
-    "escort_stops_after_event int, escort_event_match_status string",
-    "WITH "
-    + _linked("a", "TRUE", "school_esc_outbound", "escort", "destination", "t.tour_id + 1", "school")
-    + ", "
-    + _linked("b", "FALSE", "school_esc_inbound", "home", "origin", "t.tour_id + 2", "home")
-    + " SELECT t.trip_id, role AS escort_event_role, CASE WHEN role IS NOT NULL THEN trip_num END AS "
-    "escort_event_trip_num, CASE WHEN role IS NOT NULL THEN mx - trip_num END AS "
-    "escort_stops_after_event, CASE WHEN role IS NOT NULL THEN 'matched' END AS "
-    "escort_event_match_status FROM (SELECT *, MAX(trip_num) OVER (PARTITION BY tour_id, outbound) AS "
-    "mx FROM trips) t LEFT JOIN (SELECT trip_id, 'dropoff' AS role FROM a UNION ALL SELECT trip_id, "
-    "'pickup' FROM b) USING (trip_id)",
+    "escort_stops_before_event int, escort_stops_after_event int, escort_event_match_status string"
 )
-def escort_by_links(ctx):
+GIVEN = "CASE WHEN trip_id % 7 = 0 THEN 'pickup' END"
+
+
+def linked_run(ctx: Context):
     linked = ctx.run.tours.withColumns(
         {
             "out_escorted_tour_ids": F.expr("CAST(tour_id + 1 AS STRING) || '_x'"),
             "inb_escorted_tour_ids": F.expr("CAST(tour_id + 2 AS STRING)"),
         }
     )
-    return escort_events.events_by_tour_links(
-        ctx.run.with_tables(tours=linked, trips=event_trips(ctx))
+    return ctx.run.with_tables(tours=linked, trips=event_trips(ctx))
+
+
+@query("prepare_escort_events_by_tour_links", EVENT_SCHEMA, _links_sql())
+def escort_by_links(ctx):
+    return escort_events.events_by_tour_links(linked_run(ctx))
+
+
+@query("prepare_escort_events_given_and_linked", EVENT_SCHEMA, _links_sql("trip_id % 7 <> 0"))
+def escort_given_and_linked(ctx):
+    """Trips that came with an event are not picked; what links pick replaces all given events."""
+    run = linked_run(ctx)
+    given = run.trips.withColumn("escort_event_role", F.expr(GIVEN))
+    return escort_events.events_by_tour_links(run.with_tables(trips=given))
+
+
+@query(
+    "prepare_escort_events_given_only",
+    EVENT_SCHEMA,
+    f"SELECT trip_id, {GIVEN} AS escort_event_role, trip_num AS escort_event_trip_num, NULL AS "
+    "escort_stops_before_event, NULL AS escort_stops_after_event, NULL AS escort_event_match_status "
+    "FROM trips",
+)
+def escort_given_only(ctx):
+    """No tour escorts and nobody is named: given events stay."""
+    run = linked_run(ctx)
+    given = run.trips.withColumns(
+        {
+            "escort_event_role": F.expr(GIVEN),
+            "escort_event_trip_num": F.col("trip_num"),
+            "escort_participants": F.lit(None).cast("string"),
+        }
     )
+    tours_ = run.tours.withColumn("summary_tour_purpose", F.lit("work"))
+    run = run.with_tables(trips=given, tours=tours_)
+    run = run.with_tables(trips=escort_events.events_by_participants(run))
+    return escort_events.events_by_tour_links(run)
 
 
 @query(
