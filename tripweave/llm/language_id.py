@@ -96,7 +96,7 @@ def train(
     rows: list[tuple[bytes, str, bool]],
     buckets: int = 1 << 15,
     dimensions: int = 16,
-    epochs: int = 8,
+    steps: int = 1500,
     rate: float = 20.0,
     batch: int = 32,
     rejected_share: float = 0.001,
@@ -118,21 +118,22 @@ def train(
     trained = np.flatnonzero(~held)
     if len(trained) == 0:
         trained = np.arange(len(rows))
-    for epoch in range(epochs):
-        now = rate / (1 + epoch)
-        order = rng.permutation(trained)
-        for start in range(0, len(order), batch):
-            chosen = order[start : start + batch]
-            hidden = np.stack([share @ embedding[ids] for ids, share in (grams[i] for i in chosen)])
-            error = softmax(hidden @ weights + bias)
-            error[np.arange(len(chosen)), y[chosen]] -= 1
-            error /= len(chosen)
-            back = error @ weights.T
-            weights -= now * hidden.T @ error
-            bias -= 0.1 * error.sum(axis=0)
-            for row, i in enumerate(chosen):
-                ids, share = grams[i]
-                embedding[ids] -= now * share[:, None] * back[row]
+    waiting = np.empty(0, np.int64)
+    for step in range(steps):
+        now = rate * (1 - step / steps)
+        if len(waiting) < batch:
+            waiting = np.append(waiting, rng.permutation(trained))
+        chosen, waiting = waiting[:batch], waiting[batch:]
+        hidden = np.stack([share @ embedding[ids] for ids, share in (grams[i] for i in chosen)])
+        error = softmax(hidden @ weights + bias)
+        error[np.arange(len(chosen)), y[chosen]] -= 1
+        error /= len(chosen)
+        back = error @ weights.T
+        weights -= now * hidden.T @ error
+        bias -= 0.1 * error.sum(axis=0)
+        for row, i in enumerate(chosen):
+            ids, share = grams[i]
+            embedding[ids] -= now * share[:, None] * back[row]
     model = Model(labels, embedding @ weights, bias)
     check = np.flatnonzero(held)
     if len(check) == 0:
