@@ -127,3 +127,19 @@ def test_wide_period_tables_with_and_without_daily(frame):
     by_period = rows(compare.wide_by_period(wide, ["car", "mu"], "period"), "run", "category",
                      "value", "value_percent")
     assert ("a", "Daily", 10.0, 100.0) in by_period and ("b", "AM", 2.0, 20.0) in by_period
+
+
+def test_runs_without_observed_flows_take_the_first_runs(frame):
+    cells = "run string, Origin string, Destination string, "
+    observed = frame(cells + "observed double", ("a", "x", "y", 5.0), ("z", "x", "y", 9.0))
+    modeled = frame(cells + "modeled double", ("a", "x", "y", 4.0), ("b", "x", "y", 6.0))
+    got = rows(compare.flow_comparison(observed, modeled), "run", "observed", "modeled")
+    assert got == [("a", 5.0, 4.0), ("b", 5.0, 6.0)]
+
+
+def test_total_rows_are_not_flows(frame):
+    schema = ("run string, origin_geography_type string, destination_geography_type string, "
+              "origin_geography_id string, destination_geography_id string, commuter_count double")
+    flows = frame(schema, ("a", "d", "d", "x", "y", 2.0), ("a", "d", "d", "Total", "y", 2.0))
+    got = compare.modeled_flows(flows, "d", totals=True)
+    assert rows(got.filter("Origin = 'Total' AND Destination = 'Total'"), "modeled") == [(2.0,)]

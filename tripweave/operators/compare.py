@@ -15,6 +15,8 @@ from tripweave.functions.expressions import (
     SUBMILE_BIN,
     distance_bin_labels,
     distance_bin_order,
+    is_true,
+    lowered,
     total,
     zero,
 )
@@ -716,10 +718,15 @@ def flow_matrix_long(matrix: DataFrame, origin: str, value: str, totals: bool =
 
 
 def modeled_flows(flows: DataFrame, level: str, totals: bool = False) -> DataFrame:
-    """Commuting flows of one level, optionally with row, column and grand totals."""
+    """Commuting flows of one level, optionally with row, column and grand totals.
+
+    Total rows that come with the flows are left out; totals are made from the cells.
+    """
     rows = flows.filter(
         (F.col("origin_geography_type") == level) & (F.col("destination_geography_type") == level)
     )
+    for place in ("origin_geography_id", "destination_geography_id"):
+        rows = rows.filter(~is_true(lowered(place) == "total"))
     base = rows.groupBy(
         RUN,
         F.col("origin_geography_id").alias("Origin"),
@@ -732,12 +739,30 @@ def modeled_flows(flows: DataFrame, level: str, totals: bool = False) -> DataFra
     return base.groupBy(RUN, "Origin", "Destination").agg(total("modeled").alias("modeled"))
 
 
-def flow_comparison(observed: DataFrame, modeled: DataFrame) -> DataFrame:
+def with_default_observed(
+    observed: DataFrame, modeled: DataFrame, default_run: str | None = None
+) -> DataFrame:
+    """Observed flows of the modelled runs; a run without its own has those of the default run.
+
+    default_run: whose flows are lent, the first by name where it is not given.
+    """
+    runs, own = modeled.select(RUN).distinct(), observed.select(RUN).distinct()
+    lender = F.lit(default_run) if default_run else own.agg(F.min(RUN)).scalar()
+    borrowers = runs.join(own, RUN, "left_anti").agg(F.collect_list(RUN)).scalar()
+    lent = observed.filter(F.col(RUN) == lender).withColumn(RUN, F.explode(borrowers))
+    return observed.join(runs, RUN, "left_semi").unionByName(lent)
+
+
+def flow_comparison(
+    observed: DataFrame, modeled: DataFrame, default_run: str | None = None
+) -> DataFrame:
     """Observed and modelled flows on the full matrix of the places either table names.
 
+    Runs are those with modelled flows; one without observed flows takes the default run's.
     The result is a complete matrix by definition; its size is the square of the places of a
     reporting level (districts, counties).
     """
+    observed = with_default_observed(observed, modeled, default_run)
     both = observed.join(modeled, [RUN, "Origin", "Destination"], "full")
     by_origin = both.groupBy(RUN, "Origin").agg(
         F.map_from_entries(
