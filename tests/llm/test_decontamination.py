@@ -50,3 +50,17 @@ def test_empty_tables(docs, spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert contained_items(docs((1, "a b c d e f")), empty).count() == 0
     assert contained_items(docs(), empty).count() == 0
+
+
+def test_items_of_few_words_in_long_documents(docs, spark, prose):
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(n))) for n in (5, 6, 7)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    table, want = [], set()
+    for k in range(300):
+        n, item = items[k % 3]
+        body = prose(400, 100 + k, 9000)
+        table.append((k, " ".join([*body[:200], item, *body[200:]])))
+        want.add((k, n, n - 4, n - 4))
+    got = contained_items(docs(*table), frame).select("doc_id", "item_id", "item_shingles", "shared_shingles")
+    assert {tuple(r) for r in got.collect()} == want
+    assert decontamination_stage(docs(*table, (300, " ".join(prose(400, 1)))), frame).count() == 1

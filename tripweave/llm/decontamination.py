@@ -1,18 +1,14 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
+"""Benchmark decontamination: containment of items in documents, by a bit filter and exact counts.
 
 Texts are lower-cased in A-Z and cut at blanks and control characters 9 to 13. A text is the set of
 its five-word shingles; one of fewer words is one shingle, its whole sequence; none: no shingles. A
 document holds an item if at least `threshold` of the item's shingles are among its own.
 
-Items are partitioned by size: class c holds those of up to 2^c shingles. For each class a document
-is cut into half-overlapping segments of 2 * 2^c shingles, so that the short item is not drowned in
-a long document. One hash of a shingle gives its MinHash bin and its value there; item and segment
-agree in a bin if their smallest values are the same shingle. Any agreeing bin makes a candidate.
 A document's shingles are first looked up in a bit filter of all items' shingles, the only thing
 broadcast (at most `most_bits` bits, whatever the number of items; a full filter only lets more
-shingles through). The shingles themselves, as text, are then joined and counted, which verifies.
-Two segments cover each shingle and items of C containment agree in each of about as many bins as
-they have shingles with a chance of C / 2 or so, so missing a true item needs all bins to disagree.
+shingles through). What passes is joined with the items' shingles as text and counted, so every pair
+that shares a shingle is judged by its exact count and none is missed. There is no MinHash: choosing
+candidates by it could only drop pairs whose counts this join has already made.
 
 Null and empty texts have no shingles. Rows that repeat an identifier count as one document; null is
 an identifier too. Very common passages are hot join keys that adaptive execution splits. Empty
@@ -32,8 +28,6 @@ from tripweave.llm.common import bounded_batches, stored
 from tripweave.llm.word_table import WordTable, run_hashes, word_hashes, word_table
 
 SHINGLE = 5
-BINS = 64
-SMALLEST_CLASS = 4
 
 
 def shingle_places(words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,22 +49,8 @@ def shingle_places(words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes[order], at[order], size[order], text[order]
 
 
-def size_class(n: int) -> int:
-    return max(SMALLEST_CLASS, (n - 1).bit_length())
-
-
-def bin_minima(hashes: np.ndarray) -> np.ndarray:
-    """Which hashes are the smallest of their bin."""
-    if len(hashes) == 0:
-        return np.empty(0, bool)
-    order = np.lexsort((hashes, hashes % np.uint64(BINS)))
-    bins = hashes[order] % np.uint64(BINS)
-    first = order[np.r_[True, bins[1:] != bins[:-1]]]
-    return np.isin(hashes, hashes[first])
-
-
 def item_shingles(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """item_id, n (distinct shingles), class, shingle, h and whether it is in the MinHash."""
+    """item_id, n (distinct shingles), shingle and its hash h."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,21 +60,18 @@ def item_shingles(items: DataFrame, id_column: str, text_column: str) -> DataFra
             for k, item in enumerate(batch.column(0).to_pylist()):
                 own = np.flatnonzero(text == k)
                 own = own[np.unique(hashes[own], return_index=True)[1]]
-                for i, smallest in zip(own, bin_minima(hashes[own])):
+                for i in own:
                     shingle = words.joined(at[i], at[i] + size[i])
-                    h = int(hashes[i].astype(np.int64))
-                    rows.append((item, len(own), size_class(len(own)), shingle, h, bool(smallest)))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
-            names = ["item_id", "n", "class", "shingle", "h", "smallest"]
+                    rows.append((item, len(own), shingle, int(hashes[i].astype(np.int64))))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            names = ["item_id", "n", "shingle", "h"]
             yield pa.RecordBatch.from_arrays([pa.array(*x) for x in zip(columns, kinds)], names)
 
     chosen = items.select(
         F.col(id_column).cast("long").alias("item_id"), F.col(text_column).cast("binary").alias("text")
     )
-    return chosen.mapInArrow(
-        made, "item_id long, n long, class int, shingle binary, h long, smallest boolean"
-    )
+    return chosen.mapInArrow(made, "item_id long, n long, shingle binary, h long")
 
 
 def bit_filter(hashes: DataFrame, most_bits: int) -> np.ndarray:
@@ -129,47 +106,21 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return near[probe(signed & size).astype(bool)]
 
 
-def document_hits(docs: DataFrame, bits, classes: list[int]) -> DataFrame:
-    """doc_id, shingle and a mask of the classes in which it is the smallest of a segment's bin.
-
-    One row for each place of a shingle that passes the filter.
-    """
+def document_hits(docs: DataFrame, bits) -> DataFrame:
+    """doc_id and shingle, one row for each place of a shingle that passes the filter."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = word_table(batch.column(1), lower=True)
             hashes, at, size, text = shingle_places(words)
             near = passes(bits.value, hashes)
-            begin = np.searchsorted(text, text[near], side="left")
-            end = np.searchsorted(text, text[near], side="right")
-            masks = [
-                segment_mask(hashes[a:b], i - a, classes) for i, a, b in zip(near, begin, end)
-            ]
             shingles = [words.joined(at[i], at[i] + size[i]) for i in near]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(text[near])),
-                    pa.array(shingles, pa.binary()),
-                    pa.array(masks, pa.int64()),
-                ],
-                ["doc_id", "shingle", "mask"],
+                [batch.column(0).take(pa.array(text[near])), pa.array(shingles, pa.binary())],
+                ["doc_id", "shingle"],
             )
 
-    return docs.mapInArrow(made, "doc_id long, shingle binary, mask long")
-
-
-def segment_mask(hashes: np.ndarray, i: int, classes: list[int]) -> int:
-    """Bit c is set if the i-th shingle is its bin's smallest in a segment of class c."""
-    mask, own = 0, hashes[i]
-    for c in classes:
-        step = 1 << c
-        for start in (i // step * step - step, i // step * step):
-            part = hashes[max(0, start) : start + 2 * step]
-            lower = part < own
-            if not (part[lower] % np.uint64(BINS) == own % np.uint64(BINS)).any():
-                mask |= 1 << c
-                break
-    return mask
+    return docs.mapInArrow(made, "doc_id long, shingle binary")
 
 
 def contained_items(
@@ -182,18 +133,15 @@ def contained_items(
     item_id_column: str = "item_id",
     item_text_column: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, item_shingles, shared_shingles, containment of every pair found."""
+    """doc_id, item_id, item_shingles, shared_shingles, containment of every pair of `threshold` or more."""
     spark = docs.sparkSession
     bounded_batches(spark)
     wanted = stored(item_shingles(items, item_id_column, item_text_column), "benchmark-shingles")
-    classes = [row[0] for row in wanted.select("class").distinct().orderBy("class").collect()]
     bits = spark.sparkContext.broadcast(bit_filter(wanted.select("h"), most_bits))
     chosen = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text")
     )
-    found = document_hits(chosen, bits, classes)
-    found = found.groupBy("doc_id", "shingle").agg(F.bit_or("mask").alias("mask"))
-    agrees = F.col("smallest") & F.expr("(shiftright(mask, class) & 1) = 1")
+    found = document_hits(chosen, bits).distinct()
     pairs = (
         stored(found, "benchmark-hits")
         .join(wanted, "shingle")
@@ -201,12 +149,9 @@ def contained_items(
         .agg(
             F.max("n").alias("item_shingles"),
             F.count("*").alias("shared_shingles"),
-            F.max(agrees).alias("candidate"),
         )
     )
-    return pairs.where(
-        F.col("candidate") & (F.col("shared_shingles") >= threshold * F.col("item_shingles"))
-    ).select(
+    return pairs.where(F.col("shared_shingles") >= threshold * F.col("item_shingles")).select(
         "doc_id",
         "item_id",
         "item_shingles",
