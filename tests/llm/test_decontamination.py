@@ -64,3 +64,14 @@ def test_items_of_few_words_in_long_documents(docs, spark, prose):
     got = contained_items(docs(*table), frame).select("doc_id", "item_id", "item_shingles", "shared_shingles")
     assert {tuple(r) for r in got.collect()} == want
     assert decontamination_stage(docs(*table, (300, " ".join(prose(400, 1)))), frame).count() == 1
+
+
+def test_repeated_item_rows_count_once(docs, spark, prose):
+    words = prose(30, 1, 9000)
+    whole, half = " ".join(words), " ".join(words[:17])
+    items = [(1, whole), (1, whole), (2, "a b c d e f"), (2, "f e d c b a"), (None, "g h i j k l"), (None, "l k j i h g"), (None, "l k j i h g")]
+    frame = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    table = [(1, half), (2, f"x {whole} y"), (3, "a b c d e f"), (4, "a b c d e f e d c b a"), (5, "g h i j k l"), (6, "l k j i h g x")]
+    got = contained_items(docs(*table), frame).select("doc_id", "item_id", "item_shingles", "shared_shingles")
+    assert sorted(map(tuple, got.collect())) == [(2, 1, 26, 26), (4, 2, 4, 4), (5, None, 2, 2), (6, None, 2, 2)]
+    assert {r.doc_id for r in decontamination_stage(docs(*table), frame).collect()} == {1, 3}

@@ -10,9 +10,10 @@ shingles through). What passes is joined with the items' shingles as text and co
 that shares a shingle is judged by its exact count and none is missed. There is no MinHash: choosing
 candidates by it could only drop pairs whose counts this join has already made.
 
-Null and empty texts have no shingles. Rows that repeat an identifier count as one document; null is
-an identifier too. Very common passages are hot join keys that adaptive execution splits. Empty
-tables give an empty result; other columns are neither read nor returned.
+Null and empty texts have no shingles. Rows that repeat an identifier count as one document or item of
+all their shingles; null is an identifier of documents too, but each text of an item without
+identifier is an item of its own. Very common passages are hot join keys that adaptive execution
+splits. Empty tables give an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -50,28 +51,29 @@ def shingle_places(words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def item_shingles(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """item_id, n (distinct shingles), shingle and its hash h."""
+    """key of the item, item_id, shingle and its hash h, one row for each shingle of an item."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = word_table(batch.column(1), lower=True)
+            words = word_table(batch.column(2), lower=True)
             hashes, at, size, text = shingle_places(words)
             rows = []
-            for k, item in enumerate(batch.column(0).to_pylist()):
+            for k, (key, item) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
                 own = np.flatnonzero(text == k)
                 own = own[np.unique(hashes[own], return_index=True)[1]]
                 for i in own:
                     shingle = words.joined(at[i], at[i] + size[i])
-                    rows.append((item, len(own), shingle, int(hashes[i].astype(np.int64))))
+                    rows.append((key, item, shingle, int(hashes[i].astype(np.int64))))
             columns = list(zip(*rows)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            names = ["item_id", "n", "shingle", "h"]
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+            names = ["key", "item_id", "shingle", "h"]
             yield pa.RecordBatch.from_arrays([pa.array(*x) for x in zip(columns, kinds)], names)
 
-    chosen = items.select(
-        F.col(id_column).cast("long").alias("item_id"), F.col(text_column).cast("binary").alias("text")
-    )
-    return chosen.mapInArrow(made, "item_id long, n long, shingle binary, h long")
+    item, text = F.col(id_column).cast("long"), F.col(text_column).cast("binary")
+    key = F.coalesce(item.cast("string"), F.concat(F.lit("text "), F.sha2(text, 256)))
+    chosen = items.select(key.alias("key"), item.alias("item_id"), text.alias("text"))
+    shingles = chosen.mapInArrow(made, "key string, item_id long, shingle binary, h long")
+    return shingles.dropDuplicates(["key", "shingle"])
 
 
 def bit_filter(hashes: DataFrame, most_bits: int) -> np.ndarray:
@@ -137,6 +139,7 @@ def contained_items(
     spark = docs.sparkSession
     bounded_batches(spark)
     wanted = stored(item_shingles(items, item_id_column, item_text_column), "benchmark-shingles")
+    sizes = wanted.groupBy("key").agg(F.count("*").alias("n"))
     bits = spark.sparkContext.broadcast(bit_filter(wanted.select("h"), most_bits))
     chosen = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text")
@@ -144,8 +147,8 @@ def contained_items(
     found = document_hits(chosen, bits).distinct()
     pairs = (
         stored(found, "benchmark-hits")
-        .join(wanted, "shingle")
-        .groupBy("doc_id", "item_id")
+        .join(wanted.join(sizes, "key"), "shingle")
+        .groupBy("doc_id", "item_id", "key")
         .agg(
             F.max("n").alias("item_shingles"),
             F.count("*").alias("shared_shingles"),
