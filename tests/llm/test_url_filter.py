@@ -57,3 +57,14 @@ def test_same_with_other_partitions_and_empty(spark):
     df = pages(spark, *[f"http://w{i % 5}.example.com/{i}" for i in range(50)])
     assert rows(judge_urls(df, RULES), "page_id", "verdict") == rows(judge_urls(df.repartition(7), RULES), "page_id", "verdict")
     assert judge_urls(pages(spark), RULES).count() == 0
+
+
+def test_clean_hosts_on_a_ruled_domain_stay_allowed(spark):
+    names = [f"garden{k}" for k in "abcdefgh"]
+    ruled = [f"http://{n}.example.com/de/{k}" for n in names for k in range(5)] + [f"http://{n}.example.org/fr/{k}" for n in names for k in range(5)]
+    ruled += [f"http://{n}.other.net/x/{k}" for n in names for k in range(9)]
+    clean = [f"http://{n}.example.com/{p}/{k}" for n in names for p in ("en", "es") for k in range(2)] + ["http://example.com", "http://rare-unseen.example.com/once"]
+    bad = [f"http://casino-{n}.example.{d}/en/1" for n in names for d in ("com", "org")]
+    got = {r.host + r.path: r.verdict for r in judge_urls(pages(spark, *ruled, *clean, *bad), RULES).collect() if r.rule is None}
+    assert {u: got[u[7:]] for u in clean} == dict.fromkeys(clean, "allow")
+    assert {u: got[u[7:]] for u in bad} == dict.fromkeys(bad, "block")

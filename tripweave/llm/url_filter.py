@@ -9,10 +9,15 @@ Words: a unigram model counts the words of all pages' titles and the parts of ho
 Each distinct label of a host meets the counts of its own substrings in a join, and Viterbi takes the
 most likely split; an unknown string of n characters has the probability 1 / (N * 10^n).
 
-Scores: multinomial naive Bayes with add-one smoothing over the words of host and path (numbers
-count as one word), hashed to `buckets`, learned from all pages that a rule decides and from pages
-whose host holds a word of `blocked_words`. Its table of log odds (buckets numbers) and the total
-count of words are the only things that reach the driver. A page is blocked if its odds are above 0.
+Scores: multinomial naive Bayes over the words of host and path (numbers count as one word), hashed to
+`buckets`, learned from all pages: those that a rule decides as it says, of the others those whose
+host holds a word of `blocked_words` as blocked and all the rest as allowed. What the rules test is no
+feature: the last labels of a host as long as they are labels of rules' hosts, and the first parts of a
+path, as many as a rule for that host tests. Otherwise the scores would repeat the domain. The prior is
+that of the pages without a rule, as only they are judged. Each bucket has one count more, dealt to
+blocked and allowed as all words are, so that words never seen speak for neither. The table of log
+odds (buckets numbers) and the total count of words are the only things that reach the driver. A page
+is blocked if its odds are above 0.
 
 Without any page to learn from, nothing is blocked. Rows may repeat and are judged alike. An empty
 table gives an empty result; other columns are neither read nor returned.
@@ -21,6 +26,7 @@ table gives an empty result; other columns are neither read nor returned.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -85,8 +91,29 @@ def viterbi(text: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-def segmented_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host and its words. Labels meet only the counts of their own substrings."""
+def untested_host(host: Column, rules: Sequence[Rule], kept: Sequence[str]) -> Column:
+    """The host without its last labels that are labels of rules' hosts, except the words kept."""
+    names = sorted({label for _, name, _ in rules for label in name.split(".") if label} - set(kept))
+    if not names:
+        return host
+    return F.regexp_replace(host, rf"(?:(?:^|\.)(?:{'|'.join(map(re.escape, names))}))+\.?$", "")
+
+
+def untested_path(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    """The path without its first parts, as many as the rules for this host test."""
+    tested = F.lit(0)
+    for _, name, start in rules:
+        fits = (host == name) | host.endswith(f".{name}")
+        tested = F.greatest(tested, F.when(fits, len([x for x in start.split("/") if x])).otherwise(0))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.array_join(F.slice(parts, tested + 1, F.greatest(F.size(parts), F.lit(1))), "/")
+
+
+def segmented_hosts(hosts: DataFrame, counts: DataFrame, untested: Column) -> DataFrame:
+    """host, its words, and those of its untested beginning.
+
+    Labels meet only the counts of their own substrings.
+    """
     labels = hosts.select("host", F.posexplode(F.split("host", r"[.\-_]+")).alias("place", "label"))
     distinct = labels.select("label").where("label <> ''").distinct()
     begins = distinct.select(
@@ -119,13 +146,17 @@ def segmented_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             )
 
     cut = distinct.join(known, "label", "left").mapInArrow(split, "label string, words array<string>")
-    gathered = labels.join(stored(cut, "url-labels"), "label").groupBy("host")
-    return gathered.agg(
-        F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("place", "words"))), lambda x: x["words"]
-            )
-        ).alias("host_words")
+    gathered = labels.join(stored(cut, "url-labels"), "label").groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("place", "words"))).alias("places")
+    )
+    size = F.when(untested == "", 0).otherwise(F.size(F.split(untested, r"[.\-_]+")))
+    begin = F.filter("places", lambda x: x["place"] < size)
+    return gathered.select(
+        "host",
+        *[
+            F.flatten(F.transform(places, lambda x: x["words"])).alias(name)
+            for places, name in ((F.col("places"), "host_words"), (begin, "untested_words"))
+        ],
     )
 
 
@@ -135,19 +166,21 @@ def path_words(path: Column) -> Column:
 
 
 def log_odds(tokens: DataFrame, buckets: int) -> np.ndarray:
-    """Log odds of blocking by bucket, the prior last, from rows (bucket, blocked)."""
+    """Log odds of blocking by bucket, the prior last, from rows (bucket, blocked, ruled)."""
     counts = tokens.where("bucket >= 0").groupBy("bucket").agg(
         F.count_if("blocked").alias("yes"), F.count_if(~F.col("blocked")).alias("no")
     )
     yes, no = np.zeros(buckets), np.zeros(buckets)
     for bucket, y, n in counts.collect():  # at most `buckets` rows
         yes[bucket], no[bucket] = y, n
-    prior = tokens.where("bucket < 0").agg(
+    prior = tokens.where("bucket < 0 and not ruled").agg(
         F.count_if("blocked"), F.count_if(~F.col("blocked"))
     ).first()
     if not sum(prior):
         return np.zeros(buckets + 1)
-    odds = np.log((yes + 1) / (yes.sum() + buckets)) - np.log((no + 1) / (no.sum() + buckets))
+    odds, (y, n) = np.zeros(buckets), (yes.sum(), no.sum())
+    if y and n:
+        odds = np.log((yes + y / (y + n)) / y) - np.log((no + n / (y + n)) / n)
     return np.append(odds, math.log((prior[0] + 1) / (prior[1] + 1)))
 
 
@@ -169,7 +202,10 @@ def judge_urls(
     )
     hosts = stored(parsed.select("host").distinct(), "url-hosts")
     counts = stored(word_counts(pages, hosts, html_column), "url-words")
-    words = stored(segmented_hosts(hosts, counts), "url-host-words")
+    words = stored(
+        segmented_hosts(hosts, counts, untested_host(F.col("host"), rules, blocked_words)),
+        "url-host-words",
+    )
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     none = F.array().cast("array<string>")  # hosts without a word
     words = words.withColumnRenamed("host_words", "found")
@@ -182,15 +218,19 @@ def judge_urls(
         rule.alias("r"),
         "host_words",
         F.transform(
-            F.concat("host_words", path_words(F.col("path"))),
+            F.concat(
+                F.coalesce("untested_words", none),
+                path_words(untested_path(F.col("host"), F.col("path"), rules)),
+            ),
             lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"),
         ).alias("buckets"),
     )
     bad = F.arrays_overlap("host_words", F.array(*[F.lit(w) for w in blocked_words] or [F.lit("")]))
     taught = joined.select(
-        F.coalesce(F.col("r.verdict") == "block", F.when(bad, True)).alias("blocked"),
+        F.coalesce(F.col("r.verdict") == "block", bad).alias("blocked"),
+        F.col("r.verdict").isNotNull().alias("ruled"),
         F.explode(F.concat(F.col("buckets"), F.array(F.lit(-1)))).alias("bucket"),
-    ).where("blocked is not null")
+    )
     shared = spark.sparkContext.broadcast(log_odds(taught, buckets))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
