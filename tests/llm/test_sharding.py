@@ -40,3 +40,16 @@ def test_shards_slots_and_growth(docs, odd):
 
 def test_empty_table(docs):
     assert assign_shards(docs(), 8).count() == 0
+
+
+def test_a_hot_key_is_spread_over_tasks(docs, spark):
+    table = [(None, f"text {i}") for i in range(4000)] + [(None, None)] * 20_000
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = assign_shards(docs(*table), 8).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted(r.slot for r in got) == list(range(len(table)))
+    for own in ([r.task for r in got if r.size > 1], [r.task for r in got if r.size == 1]):
+        assert max(own.count(t) for t in set(own)) < 0.9 * len(own)

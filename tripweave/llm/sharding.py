@@ -6,9 +6,11 @@ floor((b + 1) * 2^31 / ((key >> 33) + 1)). Spark's arithmetic raises on overflow
 works on two 32-bit halves.
 
 A null key belongs to the shard of key 0. A null text has no bytes. Rows that repeat a key share its
-shard. Slots number the rows of a shard from 0 without gaps: rows are dealt to buckets of their key,
-numbered inside a bucket, and start at the bucket's offset, so no task sorts a whole shard. An empty
-table gives an empty result; other columns are neither read nor returned.
+shard. Slots number the rows of a shard from 0 without gaps: rows are dealt to buckets by key, size
+and crc together, numbered inside a bucket, and start at the bucket's offset, so no task sorts a whole
+shard or all rows of a hot key. Rows equal in all three are counted before they are dealt, numbered as
+one and written out again in runs of RUN slots that are dealt anew, so they meet in no task either. An
+empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.llm.common import stored
+
 FACTOR = 2862933555777941757
 HALF = 0xFFFFFFFF
+RUN = 4096
 
 
 def _step(high: Column, low: Column) -> tuple[Column, Column]:
@@ -74,38 +79,53 @@ def assign_shards(
     """key, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     buckets: how many parts a shard is numbered in. Their offsets (shards * buckets rows at most)
-    come from a first pass over the keys alone and are the only thing broadcast.
+    are the only thing broadcast.
     """
-    key = F.col(key_column).cast("long")
-    bucket = F.conv(F.substring(F.md5(F.coalesce(key, F.lit(0)).cast("string")), 1, 8), 16, 10)
-    place = (jump_shard(key, shards).alias("shard"), (bucket.cast("long") % buckets).alias("bucket"))
-    counts = rows.select(*place).groupBy("shard", "bucket").count()
+    key, text = F.col(key_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))
+    equal = rows.select(
+        key.alias("key"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    equal = equal.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("times"))
+    bucket = F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(buckets))
+    placed = equal.withColumns(
+        {
+            "shard": jump_shard(F.col("key"), shards),
+            "bucket": bucket,
+            "grown_shard": jump_shard(F.col("key"), shards + 1),
+        }
+    )
+    placed = stored(placed, "shard-rows")
+    counts = placed.groupBy("shard", "bucket").agg(F.sum("times").alias("count"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col("shard").alias("s"),
         F.col("bucket").alias("k"),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"),
     )
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    placed = rows.select(
-        key.alias(key_column),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        *place,
-        jump_shard(key, shards + 1).alias("grown_shard"),
+    inside = (
+        Window.partitionBy("shard", "bucket")
+        .orderBy("key", "size", "text_crc32")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = Window.partitionBy("shard", "bucket").orderBy(key_column, "size", "text_crc32")
-    numbered = placed.withColumn("n", F.row_number().over(inside) - 1)
+    numbered = placed.withColumn("n", F.coalesce(F.sum("times").over(inside), F.lit(0)))
     slotted = numbered.join(
         F.broadcast(offsets), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("k"))
     )
-    return slotted.select(
-        key_column,
+    first = F.col("n") + F.col("offset")
+    end = first + F.col("times")
+    runs = slotted.select(
+        "key", "size", "text_crc32", "shard", "grown_shard", end.alias("end"),
+        F.explode(F.sequence(first, end - 1, F.lit(RUN).cast("long"))).alias("start"),
+    ).repartition("shard", "start")
+    last = F.least(F.col("start") + RUN, F.col("end")) - 1
+    return runs.select(
+        F.col("key").alias(key_column),
         "size",
         "text_crc32",
-        "law",
+        F.lit("key").alias("law"),
         "shard",
-        (F.col("n") + F.col("offset")).cast("long").alias("slot"),
+        F.explode(F.sequence("start", last)).alias("slot"),
         "grown_shard",
     )
