@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tests.conftest import SMALLEST
@@ -109,3 +110,56 @@ def test_op10(spark, texts):
         decoded = library.decode(ids, skip_special_tokens=False)
         want.add((i, len(ids), sha(",".join(map(str, ids))), sha(decoded)))
     assert {tuple(r) for r in result(spark, "op10_bpe")} == want
+
+
+def test_op11(spark, texts):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = result(spark, "op11_token_counts")
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        text = texts[r.doc_id][0] or ""
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), count(text), count(text) > 512)
+        assert count(text[: r.chars_within_limit]) <= 512
+        assert r.chars_within_limit == len(text) or count(text[: r.chars_within_limit + 1]) > 512
+
+
+def test_op12(spark, texts):
+    from tests.llm.test_importance import as_rows
+    from tests.llm.test_importance import brute as resampled
+
+    target = [r.text for r in spark.read.parquet(f"{SMALLEST}/benchmark.parquet").collect()]
+    got = queries.queries()["op12_importance_resampling"](spark, SMALLEST)
+    assert as_rows(got) == sorted(map(str, resampled([(i, t) for i, (t, _) in texts.items()], target)))
+
+
+def test_op13(spark, texts):
+    from tests.llm.test_alignment import PATHS
+    from tripweave.llm.alignment import Pair
+
+    pair = Pair(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read())
+    made, counts = {}, Counter()
+    for i, (text, _) in texts.items():
+        ids = next(pair.encode([text])) if text else ([], [])
+        ends = [np.cumsum([len(t[k]) for k in x]).astype(int) for t, x in zip((pair.bytes_a, pair.bytes_b), ids)]
+        if any(b"".join(t[k] for k in x) != b" " + (text or "").encode() for t, x in zip((pair.bytes_a, pair.bytes_b), ids)):
+            ids, ends = ([], []), [np.zeros(0, int)] * 2
+        cuts = np.intersect1d(*ends)
+        parts = [[",".join(map(str, p)) for p in np.split(x, np.searchsorted(e, cuts[:-1], "right"))] for x, e in zip(ids, ends)]
+        told = ";".join(map("|".join, zip(*parts))) if len(cuts) else ""
+        every = np.union1d(*ends)  # each piece between two ends lies in one token of A and one of B
+        links = Counter(zip(*(np.array(x, int)[np.searchsorted(e, every)].tolist() for x, e in zip(ids, ends))))
+        made[i] = (len(ids[0]), len(ids[1]), len(cuts), links, sha(told) if told else "")
+        counts.update(links.keys())
+    most = Counter()
+    for (a, _), n in counts.items():
+        most[a] = max(most[a], n)
+    got = result(spark, "op13_cross_tokenizer_alignment")
+    assert {r.doc_id for r in got} == made.keys() and len(got) == len(made)
+    for r in got:
+        n_a, n_b, n_groups, links, digest = made[r.doc_id]
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) == (n_a, n_b, n_groups, links.total(), digest)
+        assert r.n_best == sum(n for p, n in links.items() if counts[p] == most[p[0]])
+        assert r.count_sum == sum(n * counts[p] for p, n in links.items())

@@ -128,6 +128,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tripweave.llm.token_counts import count_prefixes
+
+    path, limit = public_tokenizers.path("byte_bpe_50k.json"), 512
+    found = count_prefixes(table(spark, sf_dir, "documents"), path, budgets=(limit,))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(F.try_element_at("prefix_counts", F.lit(-1)), F.lit(0)).cast("long").alias("n_tokens"),
+        (F.col("n_tokens") > limit).alias("over_limit"),
+        F.get("cut_chars", F.lit(0)).alias("chars_within_limit"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripweave.llm.importance import resample
+
+    documents, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resample(documents, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tripweave.llm.alignment import align_texts, link_counts
+    from tripweave.llm.common import stored
+
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    aligned = align_texts(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "alignments")
+    return link_counts(aligned, keep=("groups_sha256",))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -145,6 +181,9 @@ QUERIES = (
     op8_url_filters,
     op9_exact_dedup,
     op10_bpe,
+    op11_token_counts,
+    op12_importance_resampling,
+    op13_cross_tokenizer_alignment,
     pipeline,
 )
 
