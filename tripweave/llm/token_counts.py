@@ -2,9 +2,9 @@
 
 For each word of the tokenizer's pattern, position k keeps the last token of the encoding of the
 word's first k bytes: the longest token that ends there and is stable behind the last token at its
-own beginning. The count at k is one more than the count at that beginning. Counts of a word's
-prefixes are kept while a task runs, so a text's counts are put together from those of its chunks
-(what lies between single blanks) and a running total. The count of a prefix is that of encoding the
+own beginning. The count at k is one more than the count at that beginning. A worker remembers the
+counts of words and chunks (what lies between single blanks), up to a bound, so a text's counts are
+put together from those of its chunks and a running total. The count of a prefix is that of encoding the
 prefix alone, also where its words end otherwise than in the whole text: a run of white space is one
 word while nothing follows it, a contraction such as 're is two words before its last letter, and an
 added token is plain text before its end.
@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ SPACES = regex.compile(r"\p{White_Space}+")
 BESIDE_BLANK = re.compile(r"\s |^ | $| \s")
 """A blank that is not between two characters that are no white space."""
 CONTRACTIONS = ("'re", "'ve", "'ll")
-POOL_CHARACTERS = 4_000_000
-"""Characters of chunks whose counts a task remembers; beyond it, it starts to remember anew."""
+POOL_CHARACTERS = 16_000_000
+"""Characters of words and chunks whose counts a worker remembers; beyond it, it begins anew."""
 LONGEST_REMEMBERED = 256
 
 
@@ -57,63 +58,131 @@ class PrefixCounter:
     def forget(self) -> None:
         self.heads: dict[str, int] = {}
         self.tails: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.moves: dict[int, int] = {}
         self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.total = np.zeros(1024, np.int64)
         self.pool = np.zeros(1 << 16, np.int32)
         self.rows = self.used = 0
         self.vocabulary.stable.clear()
 
-    def word_counts(self, word: str) -> list[int]:
-        """Tokens of the first 1, 2, ... characters of one word."""
-        if word in CONTRACTIONS:
-            first = self.word_counts(word[0])[-1]
-            return [first, first + self.word_counts(word[1])[-1], self._positions(word)[-1]]
-        return self._positions(word)
-
-    def _positions(self, word: str) -> list[int]:
+    def _add(self, table: dict[str, int], names: list[str], sizes: np.ndarray, counts: np.ndarray) -> None:
+        """Put pieces with counts that follow each other into the pool, and their rows into a table."""
+        first, n = self.rows, len(names)
+        while first + n > len(self.begin):
+            self.begin, self.size, self.total = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.total)
+            )
+        if self.used + len(counts) > len(self.pool):
+            grown = np.zeros(max(3 * len(self.pool) // 2, self.used + len(counts)), np.int32)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        ends = np.cumsum(sizes)
+        self.pool[self.used : self.used + len(counts)] = counts
+        self.begin[first : first + n] = self.used + ends - sizes
+        self.size[first : first + n] = sizes
+        some = np.flatnonzero(sizes)
+        self.total[first : first + n] = 0
+        self.total[first + some] = counts[ends[some] - 1]
+        table.update(zip(names, range(first, first + n)))
+        self.rows, self.used = first + n, self.used + len(counts)
+
+    def _learn(self, words: set[str]) -> None:
+        """Tokens of the first 1, 2, ... characters of words.
+
+        The state at a position depends on the bytes before it only, so in sorted order a word starts
+        from the states that it has in common with the word before.
+        """
         v = self.vocabulary
-        step, ends, stable = v.step, v.ends, v.stable
-        data = word.encode()
-        last, count, out, state = [-1], [0], [], 0
-        for at, byte in enumerate(data, 1):
-            key = state << 8 | byte
-            state = step.get(key, -1)
-            if state < 0:
-                state = v._further(key)
-            for token, length in ends[state]:  # tokens that end here, the longest first
-                begin = at - length
-                if begin == 0:
-                    break
-                pair = last[begin] << 20 | token
-                good = stable.get(pair)
-                if good is None:
-                    good = stable[pair] = not v._crossed(last[begin], token)
-                if good:
+        step, ends, stable, moves = v.step, v.ends, v.stable, self.moves
+        before, states, last, count = b"", [0], [-1], [0]
+        names: list[str] = []
+        sizes: list[int] = []
+        flat: list[int] = []
+        for data in sorted([word.encode() for word in words]):
+            depth = 0
+            for x, y in zip(before, data):
+                if x != y:
                     break
+                depth += 1
+            before = data
+            del states[depth + 1 :], last[depth + 1 :], count[depth + 1 :]
+            state = states[depth]
+            for at in range(depth + 1, len(data) + 1):
+                key = state << 8 | data[at - 1]
+                state = step.get(key, -1)
+                if state < 0:
+                    state = moves.get(key, -1)
+                    if state < 0:
+                        state = moves[key] = v._further(key)
+                for token, length in ends[state]:  # tokens that end here, the longest first
+                    begin = at - length
+                    if begin == 0:
+                        break
+                    pair = last[begin] << 20 | token
+                    good = stable.get(pair)
+                    if good is None:
+                        good = stable[pair] = not v._crossed(last[begin], token)
+                    if good:
+                        break
+                else:
+                    raise ValueError(f"no token ends {data[:at]!r}")
+                states.append(state)
+                last.append(token)
+                count.append(count[begin] + 1)
+            word = data.decode()
+            if len(word) == len(data):
+                flat += count[1:]
             else:
-                raise ValueError(f"no token ends {data[:at]!r}")
-            last.append(token)
-            count.append(count[begin] + 1)
-            if at == len(data) or data[at] & 0xC0 != 0x80:
-                out.append(count[at])
-        return out
-
-    def chunk_counts(self, chunk: str) -> list[int]:
-        """Tokens of the first 1, 2, ... characters of a text without added tokens."""
-        out: list[int] = []
-        total = 0
-        for word in self.vocabulary.words.findall(chunk):
-            out.extend(total + c for c in self.word_counts(word))
-            total = out[-1]
-        final = total
-        for run in SPACES.finditer(chunk):
-            begin, end = run.span()
-            if end - begin > 1 or end == len(chunk) or chunk[begin] != " ":
-                before = out[begin - 1] if begin else 0
-                out[begin:end] = [before + c for c in self.word_counts(run.group())]
-        if out and out[-1] != final:
-            raise AssertionError("the last prefix is the whole text")
-        return out
+                flat += [c for c, b in zip(count[1:], data[1:]) if b & 0xC0 != 0x80] + count[-1:]
+            names.append(word)
+            sizes.append(len(word))
+        self._add(self.words, names, np.array(sizes, np.int64), np.array(flat, np.int32))
+        for word in words.intersection(CONTRACTIONS):  # its first two characters are two words
+            first, second = (self.total[self.words[c]] for c in word[:2])
+            begin = self.begin[self.words[word]]
+            self.pool[begin : begin + 2] = first, first + second
+
+    def _counts(self, cut: list[list[str]], tables: tuple[dict[str, int], dict[str, int]]):
+        """Counts of texts cut into pieces of known counts, one after another, and the texts' ends.
+
+        The first piece of a text is looked up in the first table, the others in the second.
+        """
+        head, tail = tables
+        rows: list[int] = []
+        for pieces in cut:
+            each = iter(pieces)
+            rows.append(head[next(each)])
+            rows.extend(map(tail.__getitem__, each))
+        row = np.array(rows, np.int64)
+        first = np.cumsum([0, *map(len, cut)])
+        size, total = self.size[row], self.total[row]
+        before = np.cumsum(total) - total
+        before -= np.repeat(before[first[:-1]], np.diff(first))
+        end = np.cumsum(size)
+        place = np.arange(end[-1]) + np.repeat(self.begin[row] - (end - size), size)
+        return (self.pool[place] + np.repeat(before, size)).astype(np.int32), end[first[1:] - 1]
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of texts without added tokens, one after another, and the texts' ends, by words."""
+        find = self.vocabulary.words.findall
+        cut = [[text] if text.isalpha() else find(text) or [""] for text in texts]
+        words = set(chain.from_iterable(cut))
+        spaced = [k for k, text in enumerate(texts) if " " in text[1:] or not text.isprintable()]
+        for k in spaced:
+            words.update(SPACES.findall(texts[k]))
+        words.update(c for word in CONTRACTIONS if word in words for c in word[:2])
+        self._learn(words - self.words.keys())
+        counts, ends = self._counts(cut, (self.words, self.words))
+        for k in spaced:
+            at = ends[k] - len(texts[k])
+            for run in SPACES.finditer(texts[k]):
+                begin, end = run.span()
+                row = self.words[run.group()]
+                own = self.pool[self.begin[row] : self.begin[row] + self.size[row]]
+                if end - begin > 1 or end == len(texts[k]) or run.group() != " ":
+                    counts[at + begin : at + end] = (counts[at + begin - 1] if begin else 0) + own
+        return counts, ends
 
     def text_counts(self, text: str) -> np.ndarray:
         """Counts of a text that holds added tokens: each of them closes what came before it."""
@@ -121,52 +190,25 @@ class PrefixCounter:
         total, out = 0, []
         for k in range(0, len(parts), 2):
             plain, token = parts[k], "".join(parts[k + 1 : k + 2])
-            counts = np.array(self.chunk_counts(plain + token), np.int32)
+            counts = self.pieces([plain + token])[0]
             if token:
                 counts[-1] = (counts[len(plain) - 1] if plain else 0) + 1
             out.append(total + counts)
             total += int(counts[-1]) if len(counts) else 0
         return np.concatenate(out)
 
-    def _remember(self, chunks: Iterable[str], table: dict[str, int], lead: str) -> None:
-        for chunk in chunks:
-            counts = self.chunk_counts(lead + chunk)
-            k, n = self.rows, len(counts)
-            if k == len(self.begin):
-                self.begin, self.size, self.total = (
-                    np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.total)
-                )
-            if self.used + n > len(self.pool):
-                grown = np.zeros(max(2 * len(self.pool), self.used + n), np.int32)
-                grown[: self.used] = self.pool[: self.used]
-                self.pool = grown
-            self.pool[self.used : self.used + n] = counts
-            self.begin[k], self.size[k], self.total[k] = self.used, n, counts[-1] if n else 0
-            table[chunk] = k
-            self.rows, self.used = k + 1, self.used + n
+    def _remember(self, table: dict[str, int], chunks: set[str], lead: str) -> None:
+        names = list(chunks - table.keys())
+        if names:
+            counts, ends = self.pieces([lead + chunk for chunk in names])
+            self._add(table, names, np.diff(ends, prepend=0), counts)
 
     def _settle(self, cut: list[list[str]]) -> list[np.ndarray]:
         """Counts of texts cut into chunks, put together from the counts of the chunks."""
-        heads, tails = set(), set()
-        for chunks in cut:
-            heads.add(chunks[0])
-            tails.update(chunks)  # a first chunk is learned as a later one too
-        self._remember(heads - self.heads.keys(), self.heads, "")
-        self._remember(tails - self.tails.keys(), self.tails, " ")
-        rows: list[int] = []
-        for chunks in cut:
-            each = iter(chunks)
-            rows.append(self.heads[next(each)])
-            rows.extend(map(self.tails.__getitem__, each))
-        row = np.array(rows, np.int64)
-        first = np.cumsum([0, *map(len, cut)])
-        size, total = self.size[row], self.total[row]
-        before = np.cumsum(total) - total
-        before -= np.repeat(before[first[:-1]], np.diff(first))
-        end = np.cumsum(size)
-        place = np.arange(end[-1]) + np.repeat(self.begin[row] - (end - size), size)
-        counts = (self.pool[place] + np.repeat(before, size)).astype(np.int32)
-        return np.split(counts, end[first[1:-1] - 1])
+        self._remember(self.heads, {chunks[0] for chunks in cut}, "")
+        self._remember(self.tails, set(chain.from_iterable(chunks[1:] for chunks in cut)), " ")
+        counts, ends = self._counts(cut, (self.heads, self.tails))
+        return np.split(counts, ends[:-1])
 
     def count_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Counts of the prefixes of each text."""
@@ -209,7 +251,7 @@ class PrefixCounter:
                 run.append(chunk)
                 continue
             close()
-            counts = np.array(self.chunk_counts(f" {chunk}" if k else chunk), np.int32)
+            counts = self.pieces([f" {chunk}" if k else chunk])[0]
             out.append(total + counts)
             total = int(out[-1][-1])
         close()
@@ -249,8 +291,8 @@ def count_prefixes(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(shared.value)
-        try:
-            for batch in batches:
+        for batch in batches:
+            if batch.num_rows:
                 texts = batch.column(1).to_pylist()
                 found = own.count_batch(texts)
                 ends = np.cumsum([len(x) for x in found], dtype=np.int64)
@@ -268,8 +310,6 @@ def count_prefixes(
                     ],
                     ["doc_id", "n_bytes", "n_tokens", "prefix_counts", "cut_chars"],
                 )
-        finally:
-            own.forget()
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return chosen.mapInArrow(
