@@ -79,7 +79,8 @@ def expected(pair, table):
     """Rows of link_counts, by counting links in Python."""
     made, pairs = [], Counter()
     for i, text in table:
-        ids_a, ids_b = next(pair.encode([text])) if text else ([], [])
+        ids_a = pair.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = pair.b.encode(text) if text else []
         want = b" " + (text or "").encode()
         if any(b"".join(t[k] for k in ids) != want for t, ids in ((pair.bytes_a, ids_a), (pair.bytes_b, ids_b))):
             ids_a, ids_b = [], []
@@ -99,6 +100,19 @@ def expected(pair, table):
     ]
 
 
+def test_chunks_give_the_ids_of_whole_texts(pair, monkeypatch):
+    texts = [t for t in odd_texts() if t] + ["a b  c d \n e", " x", "x ", " ", "one two", "\x1c y", "<s> z"] * 2
+    for limit in (10**6, 0):
+        monkeypatch.setattr("tripweave.llm.alignment.POOL_CHARACTERS", limit)
+        monkeypatch.setattr("tripweave.llm.alignment.JOINED", 7)
+        for text, (a, b) in zip(texts, pair.encode(texts)):
+            whole = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+            want = b" " + text.encode()
+            if any(b"".join(map(t.__getitem__, x)) != want for t, x in zip(pair.bytes_of, whole)):
+                whole = [], []
+            assert (a.tolist(), b.tolist()) == tuple(whole), repr(text)
+
+
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
 
 

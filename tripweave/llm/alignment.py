@@ -25,17 +25,23 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.llm.bpe import byte_characters
+from tripweave.llm.bpe import CHUNKS, byte_characters
 from tripweave.llm.common import bounded_batches, stored
-
-TEXT_CHARACTERS = 500_000
-"""Characters that the libraries encode in one call (one longer text is a call of its own)."""
+from tripweave.llm.token_counts import BESIDE_BLANK
+
+FIRST_PROBE = 4
+"""Tokens of the first slice that is compared at a shift."""
+JOINED = 4096
+"""Chunks that are encoded as one text."""
+POOL_CHARACTERS = 8_000_000
+"""Characters of chunks whose ids a worker remembers; beyond it, it begins anew."""
 SHIFT = 32
 """A pair is A's id in the high and B's id in the low bits of a long."""
 ALIGNED = "doc_id long, block string, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -53,19 +59,18 @@ def align(ends_a: bytes, ends_b: bytes) -> tuple[list, list[int], list[int]]:
     groups, links_a, links_b = [], [], []
     i = shift = 0
     while i < n:
-        j, step = i + shift, 1
-        begin = i
-        while i < n and j < m:
+        begin, step, equal = i, FIRST_PROBE, True
+        while i < n and equal and i + shift < m:
             to = min(i + step, n, m - shift)
-            if ends_a[4 * i : 4 * to] == ends_b[4 * (i + shift) : 4 * (to + shift)]:
+            equal = ends_a[4 * i : 4 * to] == ends_b[4 * (i + shift) : 4 * (to + shift)]
+            if equal:
                 i, step = to, 2 * step
-                j = i + shift
-            elif step == 1:
-                break
-            else:
-                step = max(1, (to - i) // 2)  # the difference is in this slice: probe its first half
-                while step > 1 and ends_a[4 * i : 4 * (i + step)] != ends_b[4 * j : 4 * (j + step)]:
-                    step //= 2
+            while not equal and step > 1:  # the difference is inside: halve down to it
+                step //= 2
+                half = min(i + step, to)
+                if ends_a[4 * i : 4 * half] == ends_b[4 * (i + shift) : 4 * (half + shift)]:
+                    i = half
+        j = i + shift
         if i > begin:
             groups.append((begin, begin + shift, i - begin, i - begin, i - begin))
             links_a.extend(range(begin, i))
@@ -113,42 +118,103 @@ class Pair:
             piece = self.b.id_to_piece(i)
             whole = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             self.bytes_b.append(whole)
-        self.size_a = np.array(list(map(len, self.bytes_a)), np.int32)
-        self.size_b = np.array(list(map(len, self.bytes_b)), np.int32)
+        self.bytes_of = self.bytes_a, self.bytes_b
+        self.sizes = [np.array(list(map(len, x)), np.int32) for x in self.bytes_of]
+        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
+            raise ValueError("pieces with a blank behind another character are not supported")
+        self.forget()
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) <= TEXT_CHARACTERS):
-                size += len(texts[end])
-                end += 1
-            own = texts[begin:end]
-            found = self.a.encode_batch([" " + t for t in own], add_special_tokens=False)
-            yield from zip((x.ids for x in found), self.b.encode(own, num_threads=1))
-            begin = end
-
-    def document(self, text: str, ids_a: list[int], ids_b: list[int]):
-        """Groups as text, number of groups and links as two arrays of ids; None: no tokens."""
-        want = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != want:
-            return None
-        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != want:
-            return None
-        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        ends_a, ends_b = (
-            np.cumsum(s[x], dtype=np.int32).tobytes() for s, x in ((self.size_a, a), (self.size_b, b))
-        )
-        groups, links_a, links_b = align(ends_a, ends_b)
-        name_a = list(map(self.names.__getitem__, ids_a))
-        name_b = list(map(self.names.__getitem__, ids_b))
+    def forget(self) -> None:
+        self.row_of: dict[str, int] = {}
+        self.pools = [np.zeros(1 << 16, np.int32) for _ in range(2)]
+        self.begin, self.size = np.zeros((2, 1024), np.int64), np.zeros((2, 1024), np.int64)
+        self.same = np.zeros(1024, bool)
+        self.rows, self.used, self.characters = 0, [0, 0], 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of both tokenizers for a blank and each chunk, and whether both give its bytes back."""
+        while self.rows + len(chunks) > len(self.same):
+            self.begin, self.size = (np.concatenate([x, x], axis=1) for x in (self.begin, self.size))
+            self.same = np.concatenate([self.same, self.same])
+        rows = slice(self.rows, self.rows + len(chunks))
+        known = [b" " + chunk.encode() for chunk in chunks]
+        length = np.fromiter(map(len, known), np.int64, len(known))
+        same = np.ones(len(chunks), bool)
+        for side, found in enumerate((self._encode_a(chunks), self.b.encode(chunks, num_threads=1))):
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+            end = self.used[side] + len(ids)
+            if end > len(self.pools[side]):
+                grown = np.zeros(max(3 * len(self.pools[side]) // 2, end), np.int32)
+                grown[: self.used[side]] = self.pools[side][: self.used[side]]
+                self.pools[side] = grown
+            self.pools[side][self.used[side] : end] = ids
+            self.begin[side, rows] = self.used[side] + np.cumsum(sizes) - sizes
+            self.size[side, rows] = sizes
+            self.used[side] = end
+            token = self.bytes_of[side].__getitem__
+            reached = np.r_[0, np.cumsum(self.sizes[side][ids])][np.cumsum(sizes)]
+            if np.any(reached != np.cumsum(length)) or b"".join(map(token, ids.tolist())) != b"".join(known):
+                same &= [b"".join(map(token, x)) == y for x, y in zip(found, known)]
+        self.same[rows] = same
+        self.row_of.update(zip(chunks, range(rows.start, rows.stop)))
+        self.rows = rows.stop
+        self.characters += sum(map(len, chunks))
+
+    def _encode_a(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids of a blank and each chunk: many chunks are encoded as one text and cut at their ends."""
+        plain = [k for k, c in enumerate(chunks) if c and not c[0].isspace() and not c[-1].isspace()]
+        out: list[list[int]] = [[]] * len(chunks)
+        for start in range(0, len(plain), JOINED):
+            own = plain[start : start + JOINED]
+            ids = self.a.encode("".join([" " + chunks[k] for k in own]), add_special_tokens=False).ids
+            ends = np.cumsum(self.sizes[0][ids])
+            cuts = np.searchsorted(ends, np.cumsum([1 + len(chunks[k].encode()) for k in own])) + 1
+            begin = 0
+            for k, end in zip(own, cuts.tolist()):
+                out[k] = ids[begin:end]
+                begin = end
+        for k in set(range(len(chunks))).difference(plain):
+            out[k] = self.a.encode(" " + chunks[k], add_special_tokens=False).ids
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both tokenizers of each text; none where one does not give the text back.
+
+        No token of either reaches over a single blank between two characters that are no white
+        space, so texts are cut there and what lies between is encoded when it is met first.
+        """
+        if self.characters > POOL_CHARACTERS:
+            self.forget()
+        cut = [CHUNKS.split(t) if BESIDE_BLANK.search(t) else t.split(" ") for t in texts]
+        self._learn(list(set(chain.from_iterable(cut)).difference(self.row_of)))
+        row = np.fromiter(map(self.row_of.__getitem__, chain.from_iterable(cut)), np.int64)
+        first = np.cumsum([0, *map(len, cut)])
+        same = np.logical_and.reduceat(self.same[row], first[:-1]) if len(row) else []
+        sides = []
+        for side in range(2):
+            size = self.size[side, row]
+            end = np.cumsum(size)
+            place = np.arange(end[-1] if len(end) else 0) + np.repeat(self.begin[side, row] - (end - size), size)
+            sides.append((self.pools[side][place], np.r_[0, end][first]))
+        (ids_a, at_a), (ids_b, at_b) = sides
+        for k, good in enumerate(same):
+            if good:
+                yield ids_a[at_a[k] : at_a[k + 1]], ids_b[at_b[k] : at_b[k + 1]]
+            else:
+                yield ids_a[:0], ids_b[:0]
+
+    def document(self, a: np.ndarray, b: np.ndarray):
+        """Groups as text, number of groups and links as two arrays of ids."""
+        ends = [np.cumsum(s[x], dtype=np.int32).tobytes() for s, x in zip(self.sizes, (a, b))]
+        groups, links_a, links_b = align(*ends)
+        name_a = list(map(self.names.__getitem__, a.tolist()))
+        name_b = list(map(self.names.__getitem__, b.tolist()))
         told, n_groups = [], 0
         for i, j, n, m, count in groups:
             n_groups += count
-            if n == m == 1:
-                told.append(f"{name_a[i]}|{name_b[j]}")
-            elif count > 1:
+            if count == n == m:
                 told.extend([f"{x}|{y}" for x, y in zip(name_a[i : i + n], name_b[j : j + m])])
             else:
                 told.append(f"{','.join(name_a[i : i + n])}|{','.join(name_b[j : j + m])}")
@@ -188,12 +254,12 @@ def align_texts(
         told = [""] * len(texts)
         pairs, links, owners = [], [], []
         for k, (ids_a, ids_b) in zip(some, own.encode([texts[k] for k in some])):
-            found = own.document(texts[k], ids_a, ids_b)
-            if found is None:
+            if len(ids_a) == 0:
                 continue
-            told[k], n_groups, linked_a, linked_b = found
+            told[k], n_groups, linked_a, linked_b = own.document(ids_a, ids_b)
             numbers[k] = len(ids_a), len(ids_b), n_groups, len(linked_a)
-            pair, count = np.unique(linked_a << SHIFT | linked_b, return_counts=True)
+            linked = linked_a.astype(np.int64) << SHIFT | linked_b
+            pair, count = np.unique(linked, return_counts=True)
             pairs.append(pair)
             links.append(count)
             owners.append(k)
