@@ -1,7 +1,16 @@
-"""Containment by MinHash candidates against counting all shingles."""
+"""Size-partitioned MinHash containment against counting all shingles."""
+
+import random
 
 from tests.conftest import rows
-from tripweave.llm.decontamination import contained_items, decontamination_stage
+from tripweave.llm.common import stored
+from tripweave.llm.decontamination import (
+    candidates,
+    contained_items,
+    decontamination_stage,
+    item_shingles,
+    signatures,
+)
 
 
 def shingles(text):
@@ -75,3 +84,39 @@ def test_repeated_item_rows_count_once(docs, spark, prose):
     got = contained_items(docs(*table), frame).select("doc_id", "item_id", "item_shingles", "shared_shingles")
     assert sorted(map(tuple, got.collect())) == [(2, 1, 26, 26), (4, 2, 4, 4), (5, None, 2, 2), (6, None, 2, 2)]
     assert {r.doc_id for r in decontamination_stage(docs(*table), frame).collect()} == {1, 3}
+
+
+def test_no_pair_at_the_threshold_is_missed_at_any_size(docs, spark, prose):
+    """Documents that lack as many shingles as allowed, or one more, chosen at random, by item size."""
+    rng = random.Random(3)
+    items, table, want = [], [], set()
+    for n in (*range(1, 20), 31, 32, 33, 47, 64, 65, 100):
+        words = [f"i{n}x{k}" for k in range(n + 4)]
+        items.append((n, " ".join(words)))
+        runs = [" ".join(words[k : k + 5]) for k in range(n)]
+        least = next(s for s in range(n + 1) if s >= 0.8 * n)
+        for extra, times in ((0, 4), (-1, 2)):
+            for _ in range(times if least + extra > 0 else 0):
+                kept = rng.sample(runs, least + extra)  # apart, so that no other shingle arises
+                i = len(table)
+                table.append((i, " . ".join([*kept, " ".join(prose(60, i, 9000))])))
+                if extra == 0:
+                    want.add((i, n, n, least))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for spare in (1, 3, 1000):
+        got = contained_items(docs(*table), frame, spare=spare)
+        assert {tuple(r)[:4] for r in got.collect()} == want
+
+
+def test_runs_that_items_share_do_not_make_candidates(docs, spark):
+    common = "which of the following is true"
+    items = [(i, f"{common} " + " ".join(f"own{i}w{k}" for k in range(12))) for i in range(30)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    table = [(k, f"text {k} {common} indeed") for k in range(40)] + [(99, items[7][1])]
+    wanted = stored(item_shingles(frame, "item_id", "text"), "wanted")
+    index = signatures(wanted, 0.8, 3)
+    assert index.groupBy("key").count().agg({"count": "max"}).first()[0] < 13
+    shared = [" ".join(common.split()[k : k + 5]) for k in range(2)]
+    hits = spark.createDataFrame([(k, s.encode()) for k, _ in table[:40] for s in shared], "doc_id long, shingle binary")
+    assert candidates(hits, index).count() == 0
+    assert [tuple(r)[:4] for r in contained_items(docs(*table), frame).collect()] == [(99, 7, 14, 14)]

@@ -52,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> None:
     """Arrow batches between Spark and Python stay under a size, whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

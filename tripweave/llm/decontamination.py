@@ -1,14 +1,22 @@
-"""Benchmark decontamination: containment of items in documents, by a bit filter and exact counts.
+"""Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
 Texts are lower-cased in A-Z and cut at blanks and control characters 9 to 13. A text is the set of
 its five-word shingles; one of fewer words is one shingle, its whole sequence; none: no shingles. A
 document holds an item if at least `threshold` of the item's shingles are among its own.
 
+Items are put into classes by number of shingles (up to 1, 2, 4, 8, ...). From the upper size of its
+class follow the length of an item's signature, its shingles with the smallest keys, and how many of
+them a document must hold to be a candidate: an item of a class up to u shingles may lack m of them,
+m the most that u may lack, so a signature of m + `spare` shingles meets every document that holds the
+item in at least `spare` of them. Items with fewer shingles than that are indexed by all of them. So
+the search loses no pair, whatever the item's size; its share of signature shingles met is the MinHash
+estimate of the containment. A shingle's key is the number of items that hold it, then its hash: runs
+that many items share are put last and do not make all their items candidates of all their documents.
+
 A document's shingles are first looked up in a bit filter of all items' shingles, the only thing
 broadcast (at most `most_bits` bits, whatever the number of items; a full filter only lets more
-shingles through). What passes is joined with the items' shingles as text and counted, so every pair
-that shares a shingle is judged by its exact count and none is missed. There is no MinHash: choosing
-candidates by it could only drop pairs whose counts this join has already made.
+shingles through). What passes is joined with the signatures as text; candidates are then joined with
+all shingles of their item and what passed of their document, and counted exactly.
 
 Null and empty texts have no shingles. Rows that repeat an identifier count as one document or item of
 all their shingles; null is an identifier of documents too, but each text of an item without
@@ -22,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import bounded_batches, stored
@@ -57,17 +65,16 @@ def item_shingles(items: DataFrame, id_column: str, text_column: str) -> DataFra
         for batch in batches:
             words = word_table(batch.column(2), lower=True)
             hashes, at, size, text = shingle_places(words)
-            rows = []
-            for k, (key, item) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
-                own = np.flatnonzero(text == k)
-                own = own[np.unique(hashes[own], return_index=True)[1]]
-                for i in own:
-                    shingle = words.joined(at[i], at[i] + size[i])
-                    rows.append((key, item, shingle, int(hashes[i].astype(np.int64))))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+            order = np.lexsort((hashes, text))
+            new = np.r_[True, np.diff(text[order]) != 0] if len(order) else np.empty(0, bool)
+            new[1:] |= hashes[order][1:] != hashes[order][:-1]
+            own = order[new]
+            owner = pa.array(text[own])
+            shingles = [words.joined(at[i], at[i] + size[i]) for i in own]
+            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(shingles, pa.binary())]
+            columns.append(pa.array(hashes[own].view(np.int64)))
             names = ["key", "item_id", "shingle", "h"]
-            yield pa.RecordBatch.from_arrays([pa.array(*x) for x in zip(columns, kinds)], names)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     item, text = F.col(id_column).cast("long"), F.col(text_column).cast("binary")
     key = F.coalesce(item.cast("string"), F.concat(F.lit("text "), F.sha2(text, 256)))
@@ -92,8 +99,8 @@ def bit_filter(hashes: DataFrame, most_bits: int) -> np.ndarray:
         .agg(F.bit_or("b").alias("b"))
     )
     out = np.zeros(bits >> 5, np.uint32)
-    for word, b in words.toPandas().itertuples(index=False):
-        out[word] = b
+    found = words.toPandas()  # at most one row for each 32 of the bits
+    out[found["word"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
     return out
 
 
@@ -125,11 +132,36 @@ def document_hits(docs: DataFrame, bits) -> DataFrame:
     return docs.mapInArrow(made, "doc_id long, shingle binary")
 
 
+def signatures(wanted: DataFrame, threshold: float, spare: int) -> DataFrame:
+    """key, shingle and needed: the signature of each item, and how much of it makes a candidate."""
+    items = wanted.groupBy("shingle").agg(F.count("*").alias("items"))
+    sizes = wanted.groupBy("key").agg(F.count("*").alias("n"))
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2("n")))  # of the item's class
+    lacking = (upper - F.ceil(upper * threshold - 1e-9)).cast("long")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("items", "h", "shingle"))
+    placed = (
+        wanted.join(items, "shingle")
+        .join(sizes.withColumn("lacking", lacking), "key")
+        .withColumn("place", place)  # one item in one task
+        .where(F.col("place") <= F.col("lacking") + spare)
+    )
+    length = F.least("n", F.col("lacking") + spare)
+    needed = F.greatest(F.lit(1), length - F.col("lacking"))
+    return placed.select("key", "shingle", needed.alias("needed"))
+
+
+def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id and key of the pairs that meet enough of the item's signature."""
+    met = hits.join(index, "shingle").groupBy("doc_id", "key")
+    return met.agg(F.count("*").alias("met"), F.max("needed").alias("needed")).where("met >= needed")
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
     threshold: float = 0.8,
-    most_bits: int = 1 << 28,
+    spare: int = 3,
+    most_bits: int = 1 << 26,
     id_column: str = "doc_id",
     text_column: str = "text",
     item_id_column: str = "item_id",
@@ -139,22 +171,23 @@ def contained_items(
     spark = docs.sparkSession
     bounded_batches(spark)
     wanted = stored(item_shingles(items, item_id_column, item_text_column), "benchmark-shingles")
-    sizes = wanted.groupBy("key").agg(F.count("*").alias("n"))
     bits = spark.sparkContext.broadcast(bit_filter(wanted.select("h"), most_bits))
     chosen = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text")
     )
-    found = document_hits(chosen, bits).distinct()
-    pairs = (
-        stored(found, "benchmark-hits")
-        .join(wanted.join(sizes, "key"), "shingle")
-        .groupBy("doc_id", "item_id", "key")
-        .agg(
-            F.max("n").alias("item_shingles"),
-            F.count("*").alias("shared_shingles"),
-        )
+    hits = stored(document_hits(chosen, bits).distinct(), "benchmark-hits")
+    index = stored(signatures(wanted, threshold, spare), "benchmark-signatures")
+    found = candidates(hits, index)
+    sizes = wanted.groupBy("key", "item_id").agg(F.count("*").alias("item_shingles"))
+    sought = found.select("doc_id", "key").join(wanted.select("key", "shingle"), "key")
+    same = sought["doc_id"].eqNullSafe(hits["doc_id"]) & (sought["shingle"] == hits["shingle"])
+    shared = (
+        sought.join(hits, same, "left_semi")
+        .groupBy("doc_id", "key")
+        .agg(F.count("*").alias("shared_shingles"))
+        .join(sizes, "key")
     )
-    return pairs.where(F.col("shared_shingles") >= threshold * F.col("item_shingles")).select(
+    return shared.where(F.col("shared_shingles") >= threshold * F.col("item_shingles")).select(
         "doc_id",
         "item_id",
         "item_shingles",
@@ -168,5 +201,5 @@ def decontamination_stage(
 ) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = contained_items(docs, items, threshold, id_column=id_column)
-    found = found.select(F.col("doc_id").alias("__held_id")).distinct()
+    found = stored(found.select(F.col("doc_id").alias("__held_id")).distinct(), "contaminated")
     return docs.join(found, F.col(id_column).eqNullSafe(F.col("__held_id")), "left_anti")
