@@ -43,5 +43,5 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_registered_names():
     names = queries.queries()
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)

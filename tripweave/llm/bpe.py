@@ -32,7 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 PATTERN += r"""|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 """A blank between two characters that are no white space: words begin at it and never cross it."""
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+REMEMBERED_CHARACTERS = 8_000_000
 END = -1
 
 
@@ -77,10 +78,16 @@ class Encoder:
         names = sorted(added, key=len, reverse=True)
         self.find_added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
         self.words = regex.compile(PATTERN)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words met so far."""
+        self.stable: dict[int, bool] = {}
+        self.moves: dict[int, int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[int, ...]] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
+        self.characters = 0
 
     def reachable(self, i: int) -> set[int]:
         return {x for x in self.parts[i][1:] if self.bytes_of[x] in self.id_of}
@@ -154,7 +161,7 @@ class Encoder:
         the part of the path that stays, with its states. The rest is one step down per byte.
         """
         out, before, states, last = {}, b"", [0], [END]
-        step, ends, stable = self.step, self.ends, self.stable
+        step, ends, stable, moves = self.step, self.ends, self.stable, self.moves
         for word in sorted(words):
             depth = 0
             for x, y in zip(before, word):
@@ -168,7 +175,9 @@ class Encoder:
                 key = state << 8 | byte
                 state = step.get(key)
                 if state is None:
-                    state = step[key] = self._further(key)
+                    state = moves.get(key)
+                    if state is None:
+                        state = moves[key] = self._further(key)
                 size = len(last)
                 for token, length in ends[state]:  # tokens that end here, the longest first
                     if length == size:
@@ -208,12 +217,10 @@ class Encoder:
         return out
 
     def _learn(self, lists: Iterable[list[str]]) -> None:
-        """Ids of chunks not met before; what is remembered stays under a fixed number of entries."""
-        if len(self.first) + len(self.spaced) + len(self.known) > REMEMBERED:
-            for memory in (self.first, self.spaced, self.known):
-                memory.clear()
-        if len(self.stable) > REMEMBERED:
-            self.stable.clear()
+        """Ids of chunks not met before; entries and characters remembered stay under fixed numbers."""
+        entries = map(len, (self.first, self.spaced, self.known, self.stable, self.moves))
+        if sum(entries) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self.forget()
         heads, tails = set(), set()
         for chunks in lists:
             heads.add(chunks[0])
@@ -230,6 +237,7 @@ class Encoder:
         unknown.update(" " + chunk for chunk in letters)
         spelled = [word.encode() for word in unknown]
         ids = self.encode_words(spelled)
+        self.characters += sum(map(len, spelled)) + sum(map(len, words)) + sum(map(len, first))
         for chunk in letters:
             self.spaced[chunk] = ids[(" " + chunk).encode()]
         self.known.update((w, ids[b]) for w, b in zip(unknown, spelled) if len(w) < 2 or w[0] != " ")
@@ -260,11 +268,18 @@ def encode(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the encoder makes no cycles, and looking for them takes long
         own = encoder(shared.value)
-        for batch in batches:
+        try:
+            yield from map(own_batch(own), batches)
+        finally:
+            own.forget()
+            gc.enable()
+
+    def own_batch(own: Encoder):
+        def encoded_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = own.encode_batch(batch.column(1).to_pylist())
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.fromiter(chain.from_iterable(ids), np.int32, count=offsets[-1])
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
@@ -273,5 +288,7 @@ def encode(
                 ["doc_id", "token_ids", "decoded"],
             )
 
+        return encoded_batch
+
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return chosen.mapInArrow(encoded, "doc_id long, token_ids array<int>, decoded string")

@@ -25,7 +25,9 @@ STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # no store stays in memory after its batch
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
 }
 
@@ -162,7 +164,9 @@ def exact_duplicates(
 
 
 def dedup_stage(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_column, text_column).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_column).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows that stay, with all their columns; a row is known by its identifier and its text."""
+    found = exact_duplicates(docs, id_column, text_column).where("not kept")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    found = stored(found, "exact-dropped")
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id"))
+    return docs.join(found, same & (F.sha2(normalised(text_column), 256) == F.col("__sha")), "left_anti")

@@ -17,6 +17,7 @@ row every text is `und`. An empty table gives an empty result. Texts are read wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ from tripweave.llm.common import bounded_batches
 
 UNKNOWN = "und"
 PIECE = 1 << 20
+BLANK = re.compile(rb"[^A-Za-z\x80-\xff]")
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = np.arange(97, 123)
 LETTERS[97:123] = np.arange(97, 123)
@@ -38,8 +40,7 @@ FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 def gram_buckets(text: bytes, buckets: int) -> np.ndarray:
     """Bucket of every 2-, 3- and 4-gram that has no blank inside."""
-    data = np.frombuffer(b" " + text + b" ", np.uint8)
-    data = LETTERS[data]
+    data = LETTERS[np.frombuffer(b" " + text + b" ", np.uint8)]
     blank = data == 32
     keep = ~(blank[1:] & blank[:-1])
     data = np.append(data[:1], data[1:][keep]).astype(np.uint32)
@@ -61,6 +62,17 @@ def gram_buckets(text: bytes, buckets: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A long text in parts that have the same grams together as the whole: cut at blanks only."""
+    start = 0
+    while len(text) - start > size:
+        found = BLANK.search(text, start + size)
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -71,8 +83,8 @@ class Model:
 
     def logits(self, text: bytes) -> np.ndarray:
         total, count = np.zeros(len(self.labels)), 0
-        for start in range(0, max(1, len(text)), PIECE):
-            grams = gram_buckets(text[start : start + PIECE], len(self.table))
+        for piece in pieces(text):
+            grams = gram_buckets(piece, len(self.table))
             counts = np.bincount(grams, minlength=len(self.table)) if len(grams) > 4096 else None
             if counts is None:
                 total += self.table[grams].sum(axis=0, dtype=np.float64)
@@ -172,8 +184,24 @@ def labelled_sample(
     rows = usable.where(keep).select(
         F.col(text_column).cast("binary"), label_column, place % 10 == 0, place, F.xxhash64(text_column)
     )
-    rows = sorted(rows.limit(2 * sample).collect(), key=lambda r: (r[3], r[4]))
-    return [(bytes(r[0]), r[1], bool(r[2])) for r in rows[:sample]]
+    rows = rows.orderBy(place, F.xxhash64(text_column)).limit(sample).collect()
+    return [(bytes(r[0]), r[1], bool(r[2])) for r in rows]
+
+
+def judged(model: Model | None, texts: pa.Array, letters: pa.Array) -> list[tuple[str, float, bool]]:
+    """Label, score and rejection of each text; letters: whether it has one."""
+    out = []
+    for text, letter in zip(texts.cast(pa.binary()), letters.to_pylist()):
+        if model is None or not letter:
+            out.append((UNKNOWN, 0.0, True))
+        else:
+            label, score = model.predict(text.as_py())
+            out.append((label, score, score < model.threshold))
+    return out
+
+
+def has_letter(text_column: str):
+    return F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(
@@ -184,15 +212,8 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            out = []
-            for text, letter in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if own is None or not letter:
-                    out.append((UNKNOWN, 0.0, True))
-                else:
-                    label, score = own.predict(text)
-                    out.append((label, score, score < own.threshold))
+            out = judged(shared.value, batch.column(1), batch.column(2))
             labels, scores, rejected = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -206,8 +227,8 @@ def identify(
 
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
-        F.col(text_column).cast("binary").alias("text"),
-        F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("letter"),
+        F.col(text_column).alias("text"),
+        has_letter(text_column).alias("letter"),
     ).mapInArrow(made, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -230,8 +251,21 @@ def learn(
     return train(rows) if rows else None
 
 
-def language_stage(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
-    found = identify(docs, learn(docs, id_column=id_column), id_column)
-    refused = found.where("rejected").select(F.col("doc_id").alias("__refused_id")).distinct()
-    return docs.join(refused, F.col(id_column).eqNullSafe(F.col("__refused_id")), "left_anti")
+def language_stage(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, with all their columns; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        learn(docs, id_column=id_column, text_column=text_column)
+    )
+    place = docs.columns.index(text_column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = batch.column(batch.num_columns - 1)
+            out = judged(shared.value, batch.column(place), letters)
+            stays = pa.array([not rejected for _, _, rejected in out], pa.bool_())
+            rows = batch.filter(stays)
+            yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
+
+    marked = docs.withColumn("__letter", has_letter(text_column))
+    return marked.mapInArrow(kept, docs.schema)

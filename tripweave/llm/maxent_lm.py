@@ -23,6 +23,7 @@ other columns are neither read nor returned. Without training texts all probabil
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -73,8 +74,11 @@ class Vocabulary:
     def suffix_unit(self, token: bytes) -> int:
         return self.settings.frequent + zlib.crc32(token[-3:]) % self.settings.suffixes
 
-    def numbers(self, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """All tokens of the texts, their numbers in the lookup (-1: none), and text ends."""
+    def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Numbers of all tokens of the texts, text ends, the tokens not in the lookup, their ends.
+
+        A token of the lookup has its place there as number, another one minus its unit minus one.
+        """
         words: list[bytes] = []
         ends = []
         for text in texts:
@@ -82,14 +86,14 @@ class Vocabulary:
             words.append(END)
             ends.append(len(words))
         get = self.tokens.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        return words, found, np.array(ends, np.int64)
+        found = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        others = np.flatnonzero(found < 0)
+        unknown = [words[i] for i in others]
+        found[others] = [-1 - self.suffix_unit(w) for w in unknown]
+        return found, np.array(ends, np.int64), unknown, np.searchsorted(others, ends)
 
-    def unit_numbers(self, words: list[bytes], found: np.ndarray) -> np.ndarray:
-        out = self.unit_of[found]
-        for i in np.flatnonzero(found < 0):
-            out[i] = self.suffix_unit(words[i])
-        return out
+    def units_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.where(numbers < 0, -1 - numbers, self.unit_of[np.maximum(numbers, -1)])
 
     def prepare(self) -> Vocabulary:
         frequent = self.settings.frequent
@@ -152,6 +156,30 @@ def class_logits(model: Model, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def numbered(docs: DataFrame, vocabulary) -> DataFrame:
+    """doc_id, held_out, numbers of the tokens, and the tokens that are not in the lookup."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, ends, others, other_ends = vocabulary.value.numbers(batch.column(2).to_pylist())
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), values)
+                for e, values in ((ends, pa.array(numbers)), (other_ends, pa.array(others, pa.binary())))
+            ]
+            columns = [batch.column(0), batch.column(1), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "numbers", "others"])
+
+    schema = "doc_id long, held_out boolean, numbers array<int>, others array<binary>"
+    return docs.select("doc_id", "held_out", "text").mapInArrow(made, schema)
+
+
+def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a batch's texts one after another, and the texts' ends."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy()[offsets[0] : offsets[-1]]
+    return values.astype(np.int64), (offsets[1:] - offsets[0]).astype(np.int64)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token, count over all texts, counted in each task before the shuffle."""
 
@@ -176,10 +204,29 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("count").alias("count"))
 
 
+def least_count(words: DataFrame, wanted: int) -> float:
+    """Count from which on `wanted` tokens or a few more are met; of very many ties none is taken.
+
+    Read off a histogram of at most some 2,000 bins, so no partition sends its most frequent tokens
+    to the driver.
+    """
+    exact, count = 1024, F.col("count")
+    bin_of = F.when(count < exact, count).otherwise(exact + F.floor((F.log2(count) - 10) * 16)).cast("long")
+    bins = sorted(map(tuple, words.groupBy(bin_of).agg(F.count("*"), F.min("count")).collect()), reverse=True)
+    met, least = 0, math.inf
+    for _, tokens, smallest in bins:
+        if met >= wanted or met + tokens > 2 * wanted + exact:
+            break
+        met, least = met + tokens, smallest
+    return least
+
+
 def build_vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     """Frequent tokens (at most `lookup` rows) and totals by suffix unit (at most `suffixes`)."""
-    top = counts.where(F.col("token") != END).orderBy(F.desc("count"), "token")
-    top = [(bytes(t), c) for t, c in top.limit(settings.lookup - 1).collect()]
+    words = counts.where(F.col("token") != END)
+    least = least_count(words, settings.lookup - 1)
+    top = [(bytes(t), c) for t, c in words.where(F.col("count") >= least).collect()]
+    top = sorted(top, key=lambda x: (-x[1], x[0]))[: settings.lookup - 1]
     total, distinct, end = counts.agg(
         F.sum("count"), F.count("*"), F.sum(F.when(F.col("token") == END, F.col("count")))
     ).first()
@@ -245,8 +292,8 @@ def pair_counts(docs: DataFrame, shared, parts: int = 16) -> np.ndarray:
         size = v.settings.columns * v.units
         total = np.zeros(size)
         for batch in batches:
-            words, found, ends = v.numbers(batch.column(1).to_pylist())
-            units = v.unit_numbers(words, found)
+            numbers, ends = numbers_of(batch.column(0))
+            units = v.units_of(numbers)
             column, _ = contexts(units, ends, v)
             total += np.bincount(column * v.units + units, minlength=size)
         yield from enumerate(np.array_split(total, parts))
@@ -299,8 +346,8 @@ def local_steps(model: Model, v: Vocabulary, batches: Iterator[pa.RecordBatch]):
     squares = np.full(len(weights), 1.0, np.float32)  # rare rows move little
     touched = np.zeros(len(weights), bool)
     for batch in batches:
-        words, found, ends = v.numbers(batch.column(1).to_pylist())
-        units = v.unit_numbers(words, found)
+        numbers, ends = numbers_of(batch.column(0))
+        units = v.units_of(numbers)
         _, rows = contexts(units, ends, v)
         target = model.classes[units]
         for start in range(0, len(units), STEP_TOKENS):
@@ -319,11 +366,11 @@ def local_steps(model: Model, v: Vocabulary, batches: Iterator[pa.RecordBatch]):
     return touched, weights - model.weights
 
 
-def train_classes(docs: DataFrame, model: Model, vocabulary, settings: Settings, id_column: str) -> Model:
+def train_classes(docs: DataFrame, model: Model, vocabulary, settings: Settings) -> Model:
     """Rounds of distributed updates; each training text serves in exactly one round."""
     spark = docs.sparkSession
     parts, split = 16, np.array_split(np.arange(settings.rows), 16)
-    turn = F.pmod(F.xxhash64(F.col(id_column)), F.lit(settings.rounds))
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(settings.rounds))
     for now in range(settings.rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -332,7 +379,7 @@ def train_classes(docs: DataFrame, model: Model, vocabulary, settings: Settings,
             for k, rows in enumerate(split):
                 yield k, np.column_stack([touched[rows], change[rows]]).ravel()
 
-        got = summed(docs.where(turn == now), work, parts)
+        got = summed(docs.where(turn == now).select("numbers"), work, parts)
         weights = model.weights.copy()
         for k, values in got.items():
             table = values.reshape(len(split[k]), -1)
@@ -355,8 +402,8 @@ def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
         inside[-1] = 0
         known = np.append(v.counts[:-1] > 0, False)
         for batch in batches:
-            words, found, ends = v.numbers(batch.column(1).to_pylist())
-            units = v.unit_numbers(words, found)
+            numbers, ends = numbers_of(batch.column(1))
+            units, found = v.units_of(numbers), np.maximum(numbers, -1)
             column, rows = contexts(units, ends, v)
             target = model.classes[units]
             logs = np.empty(len(units))
@@ -367,9 +414,6 @@ def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
             logs = (logs + model.units[column, units]) / np.log(10)
             begins = np.r_[0, ends[:-1]] if len(ends) else ends
             add = lambda x: np.add.reduceat(x, begins) if len(begins) else x
-            other = np.flatnonzero(found < 0)
-            sizes = np.searchsorted(other, ends) - np.searchsorted(other, begins)
-            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -377,7 +421,7 @@ def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
                     pa.array(add(known[found].astype(np.int64))),
                     pa.array(add(base_all[found])),
                     pa.array(add(logs + inside[found])),
-                    pa.ListArray.from_arrays(offsets, pa.array([words[i] for i in other], pa.binary())),
+                    batch.column(2),
                 ],
                 ["doc_id", "n_tokens", "n_known", "base", "model", "others"],
             )
@@ -407,12 +451,13 @@ def score_corpus(
         F.col(text_column).cast("binary").alias("text"),
         F.coalesce(held_out, F.lit(True)).alias("held_out"),
     )
-    training = chosen.where(~F.col("held_out")).select("doc_id", "text")
-    counts = stored(token_counts(training), "lm-counts")
+    counts = stored(token_counts(chosen.where(~F.col("held_out")).select("doc_id", "text")), "lm-counts")
     free_shuffles(spark)
     v = build_vocabulary(counts, settings)
     vocabulary = spark.sparkContext.broadcast(v)
-    pairs = pair_counts(training, vocabulary)
+    texts = stored(numbered(chosen, vocabulary), "lm-numbers")
+    training = texts.where(~F.col("held_out")).select("doc_id", "numbers")
+    pairs = pair_counts(training.select("numbers"), vocabulary)
     classes = cluster(pairs, settings.classes)
     mass = np.bincount(classes, weights=v.unit_total, minlength=settings.classes)
     model = Model(
@@ -421,10 +466,10 @@ def score_corpus(
         np.zeros((settings.rows, settings.classes), np.float32),
         fit_units(pairs, classes, v),
     )
-    model = train_classes(training, model, vocabulary, settings, "doc_id")
+    model = train_classes(training, model, vocabulary, settings)
     shared = spark.sparkContext.broadcast(model)
 
-    scored = score_texts(chosen.select("doc_id", "text"), vocabulary, shared)
+    scored = score_texts(texts.select("doc_id", "numbers", "others"), vocabulary, shared)
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     free_shuffles(spark)
     unit = (F.crc32(F.expr("substring(token, -3, 3)")) % settings.suffixes + settings.frequent).cast("int")

@@ -55,19 +55,22 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, a hash of the text that tells rows of one identifier apart, and the fingerprint f (signed)."""
     bounded_batches(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text.as_py()) for text in batch.column(1)]
+            values = [fingerprint(text.as_py()) for text in batch.column(2)]
             signed = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "f"])
+            columns = [batch.column(0), batch.column(1), pa.array(signed)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "f"])
 
     chosen = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text")
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.xxhash64(text_column).alias("text_hash"),
+        F.col(text_column).cast("binary").alias("text"),
     )
-    return chosen.mapInArrow(made, "doc_id long, f long")
+    return chosen.mapInArrow(made, "doc_id long, text_hash long, f long")
 
 
 def references(count: int = REFERENCES) -> np.ndarray:
@@ -160,17 +163,22 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_duplicates(
-    docs: DataFrame, bits: int = 3, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+def marked_components(docs: DataFrame, bits: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_hash, f and component_id of every row."""
     marked = stored(fingerprints(docs, id_column, text_column), "simhash")
     nodes = stored(marked.groupBy("f").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     linked = components(links(nodes.where("node is not null"), bits))
     named = nodes.join(linked, "node", "left").select(
         "f", F.coalesce("root", "node").alias("component_id")
     )
-    return marked.join(stored(named, "simhash-components"), "f").select(
+    return marked.join(stored(named, "simhash-components"), "f")
+
+
+def near_duplicates(
+    docs: DataFrame, bits: int = 3, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    return marked_components(docs, bits, id_column, text_column).select(
         "doc_id",
         F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -180,8 +188,14 @@ def near_duplicates(
 def dedup_stage(
     docs: DataFrame, bits: int = 3, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The document with the smallest identifier of each component, with all columns."""
-    found = near_duplicates(docs, bits, id_column, text_column)
-    kept = found.where("doc_id = component_id or component_id is null")
-    kept = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_column).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The document with the smallest identifier of each component, with all columns.
+
+    Rows are known by identifier and text, so of rows that repeat an identifier with another text only
+    those of the component that it leads stay. Components without any identifier stay whole.
+    """
+    found = marked_components(docs, bits, id_column, text_column)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    dropped = found.where(~stays).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    dropped = stored(dropped.distinct(), "near-dropped")
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id"))
+    return docs.join(dropped, same & (F.xxhash64(text_column) == F.col("__hash")), "left_anti")
