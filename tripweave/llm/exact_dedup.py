@@ -169,4 +169,5 @@ def dedup_stage(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     found = stored(found, "exact-dropped")
     same = F.col(id_column).cast("long").eqNullSafe(F.col("__id"))
+    found = found.hint("merge")  # it grows with the input, so never a broadcast
     return docs.join(found, same & (F.sha2(normalised(text_column), 256) == F.col("__sha")), "left_anti")
