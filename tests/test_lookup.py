@@ -28,8 +28,8 @@ def sources(spark, frame):
                  (101, 1.0, 1), (101, 2.0, 2), (101, None, 3), (102, 9999.05, 1), (103, 4.0, 1))
     pairs = frame("OMAZ int, DMAZ int, DIST double, note string, _order int",
                   (101, 102, 7.0, "a", 1), (101, 102, 8.0, "b", 2), (102, 101, 5.0, "c", 3))
-    cells = frame("matrix string, o_idx int, d_idx int, value double",
-                  *[("AM", i, j, 10.0 * i + j) for i in range(2) for j in range(2)])
+    cells = frame("matrix string, o_idx int, values array<double>",
+                  *[("AM", i, [10.0 * i + j for j in range(2)]) for i in range(2)])
     return lookups.LookupSources(
         spark,
         (lookups.TableSource("stop.csv", walk), lookups.TableSource("pairs.csv", pairs)),
@@ -123,7 +123,7 @@ def test_missing_column_and_dimension_value(trips, sources):
 def test_ambiguous_names_need_their_file(trips, sources, spark):
     twice = lookups.LookupSources(
         spark, sources.tables, (*sources.matrices,
-                                lookups.MatrixSource("other", sources.matrices[0].long, ("AM",), 2))
+                                lookups.MatrixSource("other", sources.matrices[0].rows, ("AM",), 2))
     )
     fixed = {"modes": {"CAR": {"time": "AM"}}}
     with pytest.raises(lookup.AmbiguousSourceError, match="los::AM, other::AM"):
@@ -166,3 +166,89 @@ def test_rule_checks(trips):
     with pytest.raises(lookup.LookupPolicyError):
         lookup.apply_policy(trips.limit(1), "error", "check")
     assert lookup.apply_policy(trips, "warn", "check") is trips
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_fallback_step_sees_unresolved_demand_only(trips, sources):
+    twice = trips.unionByName(trips.withColumn("trip_id", F.col("trip_id") + 10))
+    found = lookup.annotate_trips(twice, build_rules(SETTINGS), sources)
+    steps = rows(found.demand_attempts.filter("mode = 'CAR'"), "step", "valid", "origin", "rows")
+    # The first CAR demand is answered by its matrix and asks no zone-pair table.
+    assert steps == [
+        (0, False, 2.0, 2), (0, False, 2.0, 2), (0, True, 1.0, 2), (1, False, 102.0, 2), (1, True, 102.0, 2)
+    ]
+    assert found.table.count() == 10
+    per_row = found.attempts.filter("step = 1 and mode = 'CAR'")
+    assert [r[0] for r in rows(per_row, "row_id")] == [12, 13, 2, 3]
+    stats = {r.rule_name: r.n_trips for r in lookup.lookup_summary(found.demand_attempts).collect()}
+    assert stats["CAR.time"] == 4 and stats["BUS.a"] == 2
+    assert rows(lookup.lookup_summary(found.demand_attempts)) == rows(lookup.lookup_summary(found.attempts))
+
+
+def test_null_zones_and_extra_columns_stay_out_of_lookups(trips, sources):
+    odd = trips.withColumns(
+        {
+            "OTAZ": F.expr("CASE WHEN trip_id <> 1 THEN OTAZ END"),
+            "value": F.lit("own"), "rows": F.lit(5), "row_id": F.lit("r"), "source_id": F.lit("s"),
+        }
+    )
+    found = lookup.annotate_trips(odd, build_rules(SETTINGS), sources)
+    assert found.table.columns == [*odd.columns, "skim_time", "skim_walk"]
+    got = {r.trip_id: (r.skim_time, r.skim_walk, r.rows) for r in found.table.collect()}
+    assert got[1] == (8.0, None, 5)  # no zone for the matrix: the zone-pair table answers
+    assert got[4] == (None, 6.0, 5)
+    assert dict(rows(found.demand_attempts.filter("origin is null"), "rule_name", "reason")) == {
+        "CAR.time": "missing_od"
+    }
+    assert lookup.annotate_trips(odd.limit(0), build_rules(SETTINGS), sources).table.count() == 0
+
+
+def test_only_demanded_cells_leave_a_matrix_row(spark, frame):
+    size = 50
+    matrix = frame(
+        "matrix string, o_idx int, values array<double>",
+        *[(m, i, [100.0 * i + j if j != 3 else None for j in range(size)]) for m in ("AM", "MD") for i in range(size)],
+    )
+    demand = frame(
+        "source_id string, o double, d double",
+        ("los::AM", 2.0, 7.0), ("los::AM", 2.0, 3.0), ("los::AM", 60.0, 1.0), ("los::AM", 1.0, 50.0),
+        ("los::AM", 1.0, -1.0), ("los::AM", 1.5, 1.0), ("los::AM", 1.0, 1.5), ("x::AM", 1.0, 1.0),
+    )
+    source = lookups.MatrixSource("los", matrix, ("AM",), size)
+    found = source.answers(demand)
+    assert rows(found, "o", "d", "value")[0] == (2.0, 3.0, pytest.approx(float("nan"), nan_ok=True))
+    assert rows(found, "o", "d", "value")[1:] == [(2.0, 7.0, 207.0)]
+    plan = plan_of(found)
+    assert "posexplode" not in plan and plan.count("Generate explode") == 1 and "_asked" in plan
+    zones = frame("zone int, idx int", (500, 2), (501, 7))
+    mapped = lookups.MatrixSource("los", matrix, ("AM",), size, zones)
+    asked = frame("source_id string, o double, d double", ("los::AM", 500.0, 501.0), ("los::AM", 2.0, 7.0))
+    assert rows(mapped.answers(asked), "o", "d", "value") == [(500.0, 501.0, 207.0)]
+    assert mapped.all_cells().count() == 4
+
+
+def test_rows_are_read_twice_whatever_the_number_of_steps(spark, trips, sources, tmp_path):
+    trips.write.parquet(f"{tmp_path}/trips")
+    stored = spark.read.parquet(f"{tmp_path}/trips")
+    rules = build_rules(SETTINGS)
+    for depth in (1, 3):
+        steps = [{"matrix": "pairs__DIST", "origin": "o_maz", "destination": "d_maz"}] * depth
+        settings = {**SETTINGS, "modes": {"CAR": {"time": {"matrix": "{P}", "fallbacks": steps}}}}
+        table = lookup.annotate_trips(stored, build_rules(settings), sources).table
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+    frequencies = lookup.trip_hypothetical_frequencies(stored, rules, sources)
+    assert frequencies._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+
+
+def test_hypothetical_frequencies_equal_the_rows(trips, sources):
+    rules = build_rules(SETTINGS)
+    more = trips.unionByName(trips.withColumn("trip_id", F.col("trip_id") + 10))
+    keys = ("observed_mode", "hypothetical_mode", "component", "value")
+    long = lookup.trip_hypotheticals(more, rules, sources).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("finalweight").alias("finalweight")
+    )
+    assert rows(lookup.trip_hypothetical_frequencies(more, rules, sources)) == rows(long)

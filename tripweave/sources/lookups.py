@@ -152,14 +152,77 @@ class TableSource:
 
 @dataclass(frozen=True)
 class MatrixSource:
-    """Matrices of one file in long form, optionally with a zone map."""
+    """Matrices of one file as rows (matrix, o_idx, values array), optionally with a zone map.
+
+    A matrix row stays an array; cells are taken from it by position.
+    """
 
     file: str
-    long: DataFrame
+    rows: DataFrame
     names: tuple[str, ...]
     size: int
     zone_map: DataFrame | None = None
 
+    def ids(self) -> list[str]:
+        return [f"{self.file}::{name}" for name in self.names]
+
+    def named_rows(self) -> DataFrame:
+        return self.rows.filter(F.col("matrix").isin(*self.names)).select(
+            F.concat(F.lit(f"{self.file}::"), "matrix").alias("source_id"),
+            F.col("o_idx").cast("double").alias("o_idx"),
+            "values",
+        )
+
+    def zones(self, side: str) -> DataFrame:
+        """Zone and index of the origins (o) or destinations (d)."""
+        return self.zone_map.select(
+            F.col("zone").cast("double").alias(side),
+            F.col("idx").cast("double").alias(f"{side}_idx"),
+        )
+
+    def answers(self, demand: DataFrame) -> DataFrame:
+        """(source_id, o, d, value) of the demanded cells that there are; an empty cell is NaN.
+
+        The demand is gathered by matrix row (at most one entry a zone), so a row is picked once,
+        rows nobody asks for stay where they are, and no cell is made that nobody asks for.
+        """
+        asked = demand.filter(F.col("source_id").isin(*self.ids()))
+        for side in ("o", "d"):
+            if self.zone_map is None:
+                asked = asked.withColumn(f"{side}_idx", F.col(side))
+            else:
+                asked = asked.join(self.zones(side), side)
+        wanted = asked.groupBy("source_id", "o_idx").agg(
+            F.collect_list(F.struct("o", "d", "d_idx")).alias("_asked")
+        )
+        at, size = F.col("_e.d_idx"), F.size("values")
+        inside = (at >= 0) & (at < size) & (at == F.floor(at))
+        cell = F.coalesce(
+            F.get("values", F.when(inside, at).otherwise(0).cast("int")).cast("double"),
+            F.lit(float("nan")),
+        )
+        return (
+            self.named_rows()
+            .join(wanted, ["source_id", "o_idx"])
+            .select("source_id", "values", F.explode("_asked").alias("_e"))
+            .filter(inside)
+            .select("source_id", F.col("_e.o").alias("o"), F.col("_e.d").alias("d"), cell.alias("value"))
+        )
+
+    def all_cells(self) -> DataFrame:
+        """(source_id, o, d, value) of every cell."""
+        cells = self.named_rows().select(
+            "source_id", "o_idx", F.posexplode("values").alias("d_idx", "value")
+        )
+        cells = cells.withColumn("d_idx", F.col("d_idx").cast("double"))
+        for side in ("o", "d"):
+            if self.zone_map is None:
+                cells = cells.withColumnRenamed(f"{side}_idx", side)
+            else:
+                cells = cells.join(self.zones(side), f"{side}_idx")
+        value = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
+        return cells.select("source_id", "o", "d", value.alias("value"))
+
 
 @dataclass(frozen=True)
 class LookupSources:
@@ -224,40 +287,30 @@ class LookupSources:
             "ambiguous_sources string",
         )
 
-    def values(self, demand: DataFrame | None = None) -> DataFrame:
-        """(source_id, o, d, value); matrix cells that are empty keep a NaN value."""
-        parts = []
-        for t in self.tables:
-            long = t.long(t.value_columns, demand if t.kind == OD_TABLE else None)
-            parts.append(
-                long.select(
-                    F.concat(F.lit(f"{t.file}::"), "matrix_name").alias("source_id"),
-                    "o",
-                    "d",
-                    "value",
-                )
-            )
-        for m in self.matrices:
-            cells = m.long.filter(F.col("matrix").isin(*m.names)).select(
-                F.concat(F.lit(f"{m.file}::"), "matrix").alias("source_id"),
-                "o_idx",
-                "d_idx",
-                F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"),
-            )
-            if m.zone_map is None:
-                o, d = F.col("o_idx"), F.col("d_idx")
-            else:
-                for side in ("o", "d"):
-                    ids = m.zone_map.select(
-                        F.col("zone").alias(f"{side}_zone"), F.col("idx").alias(f"{side}_idx")
-                    )
-                    cells = cells.join(ids, f"{side}_idx")
-                o, d = F.col("o_zone"), F.col("d_zone")
-            parts.append(
-                cells.select(
-                    "source_id", o.cast("double").alias("o"), d.cast("double").alias("d"), "value"
-                )
-            )
+    def _table_values(self, table: TableSource, demand: DataFrame | None) -> DataFrame:
+        if demand is not None:
+            ids = [f"{table.file}::{table.matrix_name(c)}" for c in table.value_columns]
+            demand = demand.filter(F.col("source_id").isin(*ids)).select("o", "d").distinct()
+        long = table.long(table.value_columns, demand if table.kind == OD_TABLE else None)
+        return long.select(
+            F.concat(F.lit(f"{table.file}::"), "matrix_name").alias("source_id"), "o", "d", "value"
+        )
+
+    def answers(self, demand: DataFrame) -> DataFrame:
+        """(source_id, o, d, value) for a demand (source_id, o, d) of distinct rows.
+
+        Keyed tables give all their keys, zone-pair tables the demanded pairs, matrices the
+        demanded cells. Origins and destinations of a matrix without zone map are its indices.
+        """
+        parts = [self._table_values(t, demand) for t in self.tables]
+        return self._together(parts + [m.answers(demand) for m in self.matrices])
+
+    def values(self) -> DataFrame:
+        """(source_id, o, d, value) of everything; matrix cells that are empty keep a NaN value."""
+        parts = [self._table_values(t, None) for t in self.tables]
+        return self._together(parts + [m.all_cells() for m in self.matrices])
+
+    def _together(self, parts: list[DataFrame]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame(
                 [], "source_id string, o double, d double, value double"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from oracle.raw_sql import RAW_CTES
 from tripweave.operators import lookup
 from tripweave.operators.lookup_rules import build_rules, rules_table
-from tripweave.operators.zones import explode_matrix
 from tripweave.sources import lookups, star, star_raw
 from workload.context import Context, Registry
 
@@ -128,7 +127,7 @@ def sources(ctx: Context) -> lookups.LookupSources:
         (
             lookups.MatrixSource(
                 "los",
-                explode_matrix(matrices),
+                matrices,
                 tuple(star_raw.MATRICES),
                 star_raw.COARSE_ZONES,
             ),
@@ -229,7 +228,7 @@ def rules_used(ctx):
     steps = lookup.planned_steps(trips(ctx), RULES.trips, "trip_mode", "trip_id")
     planned = steps.join(lookup.rule_texts(steps, RULES.trips), "rule_index")
     table = rules_table(ctx.spark, RULES.trips)
-    counts = planned.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"))
+    counts = planned.groupBy("rule_name").agg(F.sum("rows").alias("n"))
     return table.join(counts, "rule_name")
 
 
@@ -282,7 +281,7 @@ def annotated_tours(ctx):
     "<= solved) GROUP BY ALL",
 )
 def summary_of_lookups(ctx):
-    return lookup.lookup_summary(annotated(ctx).attempts)
+    return lookup.lookup_summary(annotated(ctx).demand_attempts)
 
 
 @query(
@@ -292,7 +291,8 @@ def summary_of_lookups(ctx):
     "ROW_NUMBER() OVER (PARTITION BY trip_id, chain ORDER BY step DESC) = 1",
 )
 def missing(ctx):
-    return lookup.missing_report(annotated(ctx).attempts)
+    found = annotated(ctx)
+    return found.by_row(lookup.missing_report(found.demand_attempts), "trip_id")
 
 
 @query(
@@ -302,7 +302,7 @@ def missing(ctx):
     "ROW_NUMBER() OVER (PARTITION BY trip_id, chain ORDER BY step DESC) = 1) GROUP BY ALL",
 )
 def skipped(ctx):
-    return lookup.skipped_rules(lookup.missing_report(annotated(ctx).attempts))
+    return lookup.skipped_rules(lookup.missing_report(annotated(ctx).demand_attempts))
 
 
 @query(
@@ -315,7 +315,9 @@ def skipped(ctx):
     "s.trip_id AND p.chain = s.chain AND p.step = 0 WHERE s.step = solved AND solved > 0",
 )
 def fallbacks(ctx):
-    return lookup.fallback_report(annotated(ctx).attempts, RULES.trips, "trips")
+    found = annotated(ctx)
+    report = lookup.fallback_report(found.demand_attempts, RULES.trips, "trips")
+    return found.by_row(report, "logical_id")
 
 
 @query(
@@ -337,9 +339,53 @@ def fallbacks(ctx):
     "GROUP BY ALL",
 )
 def hypothetical_trips(ctx):
-    long = lookup.trip_hypotheticals(trips(ctx), RULES, sources(ctx))
-    return long.groupBy("observed_mode", "hypothetical_mode", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.sum("value").alias("value")
+    found = lookup.trip_hypothetical_frequencies(trips(ctx), RULES, sources(ctx))
+    return found.groupBy("observed_mode", "hypothetical_mode", "component").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_valid"),
+        F.sum(F.col("value") * F.col("n")).alias("value"),
+    )
+
+
+@query(
+    "lookup_hypothetical_tours",
+    "observed_mode string, hypothetical_mode string, component string, direction string, n bigint, "
+    "n_valid bigint, finalweight double, value double",
+    "WITH t AS (SELECT tour_mode, finalweight, a.v AS ab, b.v AS ba, m.v AS mab, n.v AS mba, CASE WHEN "
+    "w.v <> 9999 THEN w.v ELSE a.v END AS wab, CASE WHEN x.v <> 9999 THEN x.v ELSE b.v END AS wba, CASE "
+    "WHEN s.v IS NULL AND e.v IS NULL THEN NULL ELSE COALESCE(s.v, 0) + COALESCE(e.v, 0) END AS tot FROM "
+    "(SELECT *, origin % 10 AS oz, destination % 10 AS dz FROM tours) LEFT JOIN dist_cells a ON a.o = oz "
+    "AND a.d = dz LEFT JOIN dist_cells b ON b.o = dz AND b.d = oz LEFT JOIN md_cells m ON m.o = oz AND "
+    "m.d = dz LEFT JOIN md_cells n ON n.o = dz AND n.d = oz LEFT JOIN maz w ON w.o = oz AND w.d = dz "
+    "LEFT JOIN maz x ON x.o = dz AND x.d = oz LEFT JOIN stop s ON s.k = oz LEFT JOIN stop e ON e.k = "
+    "dz), u AS ("
+    + " UNION ALL ".join(
+        f"SELECT tour_mode, '{mode}' AS h, '{name}_{way}' AS c, '{way}' AS way, {value} AS v, finalweight "
+        "AS w FROM t"
+        for mode, name, way, value in (
+            ("DRIVEALONE", "skim_auto_time", "outbound", "mab"),
+            ("DRIVEALONE", "skim_auto_time", "inbound", "mba"),
+            ("DRIVEALONE", "skim_auto_dist", "outbound", "ab"),
+            ("DRIVEALONE", "skim_auto_dist", "inbound", "ba"),
+            ("WALK", "skim_walk", "outbound", "wab"),
+            ("WALK", "skim_walk", "inbound", "wba"),
+            ("WALK", "skim_total", "outbound", "tot"),
+            ("WALK", "skim_total", "inbound", "tot"),
+            ("PNR_TRANSIT", "skim_pnr", "outbound", "ab"),
+            ("PNR_TRANSIT", "skim_pnr", "inbound", "ab"),
+        )
+    )
+    + ") SELECT tour_mode AS observed_mode, h AS hypothetical_mode, c AS component, way AS direction, "
+    "COUNT(*) AS n, COUNT(v) AS n_valid, SUM(w) AS finalweight, SUM(v) AS value FROM u GROUP BY ALL",
+)
+def hypothetical_tours(ctx):
+    """Both directions of every tour under every mode, from summed demand."""
+    found = lookup.tour_hypothetical_frequencies(tours(ctx), RULES, sources(ctx))
+    return found.groupBy("observed_mode", "hypothetical_mode", "component", "direction").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_valid"),
+        F.sum("finalweight").alias("finalweight"),
+        F.sum(F.col("value") * F.col("n")).alias("value"),
     )
 
 
@@ -366,8 +412,8 @@ def mode_coverage(ctx):
 )
 def zone_bounds(ctx):
     """Zones are 0 to 9 and the size is 10: zone 0, some null and some size + 1 are outside."""
-    attempts = annotated(ctx).attempts.withColumn(
+    steps = lookup.planned_steps(trips(ctx), RULES.trips, "trip_mode", "trip_id").withColumn(
         "origin",
         F.expr("CASE WHEN row_id % 11 = 0 THEN 11 WHEN row_id % 13 <> 0 THEN origin END"),
     )
-    return lookup.zones_out_of_bounds(attempts, sources(ctx))
+    return lookup.zones_out_of_bounds(steps, sources(ctx))
