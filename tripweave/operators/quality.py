@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tripweave.model import Run
 from tripweave.operators.aggregate import least_squares
@@ -34,36 +35,90 @@ CHECK_SCHEMA = (
 def relationship_report(run: Run) -> DataFrame:
     """Rows whose non-null key has no match, for every foreign key: passed, failed or skipped.
 
-    Keys are counted before the anti join, so a hot key is one row when it is shuffled.
+    Every table is read once and gives its keys as entries: as a child of each relation and as a
+    parent of the relations that point to it. One aggregation by key, combined before its only
+    shuffle, counts children and tells whether there is a parent; nothing is joined.
     """
-    rows, parts = [], []
-    for source, key, target in RELATIONSHIPS:
-        reason = _skip_reason(run, source, key, target)
+    rows, checked = [], []
+    for relation in RELATIONSHIPS:
+        reason = _skip_reason(run, *relation)
         if reason:
-            rows.append((source, key, target, "skipped", 0, reason))
-            continue
-        keys = (
-            run.tables[source]
-            .filter(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        orphans = keys.join(run.tables[target].select(key), key, "left_anti").agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_count")
+            rows.append((*relation, "skipped", 0, reason))
+        else:
+            checked.append(relation)
+    parts = []
+    if checked:
+        parts.append(_orphans(run, checked))
+    if rows:
+        parts.append(session_of(run).createDataFrame(rows, CHECK_SCHEMA))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _orphans(run: Run, relations: list[tuple[str, str, str]]) -> DataFrame:
+    kinds = {
+        (table, key): isinstance(run.tables[table].schema[key].dataType, NumericType)
+        for source, key, target in relations
+        for table in (source, target)
+    }
+    entries: dict[str, list[Column]] = {}
+
+    def entry(table: str, key: str, tag: str, numeric: bool, relation: int | None) -> None:
+        made = F.struct(
+            F.lit(tag).alias("tag"),
+            _key_text(key, numeric).alias("key"),
+            F.lit(relation).cast("int").alias("relation"),
         )
-        parts.append(
-            orphans.select(
+        entries.setdefault(table, []).append(made)
+
+    tags = {}
+    for i, (source, key, target) in enumerate(relations):
+        numeric = kinds[source, key] or kinds[target, key]
+        tag = f"{target}.{key}" + ("" if numeric else " as text")
+        tags[tag] = (target, key, numeric)
+        entry(source, key, tag, numeric, i)
+    for tag, (target, key, numeric) in tags.items():
+        entry(target, key, tag, numeric, None)
+    keys = reduce(
+        DataFrame.unionByName,
+        [
+            run.tables[table].select(F.explode(F.array(*made)).alias("_e")).select("_e.*")
+            for table, made in entries.items()
+        ],
+    ).filter(F.col("key").isNotNull())
+    relation = F.col("relation")
+    by_key = keys.groupBy("tag", "key").agg(
+        F.bool_or(relation.isNull()).alias("_parent"),
+        *[F.count_if(relation == i).alias(f"_n{i}") for i in range(len(relations))],
+    )
+    alone = ~F.col("_parent")
+    sums = by_key.agg(
+        *[
+            F.coalesce(F.sum(F.when(alone, F.col(f"_n{i}"))), F.lit(0)).alias(f"_n{i}")
+            for i in range(len(relations))
+        ]
+    )
+    told = F.array(
+        *[
+            F.struct(
                 F.lit(source).alias("source_table"),
                 F.lit(key).alias("key"),
                 F.lit(target).alias("target_table"),
-                F.when(F.col("orphan_count") > 0, "failed").otherwise("passed").alias("state"),
-                "orphan_count",
+                F.when(F.col(f"_n{i}") > 0, "failed").otherwise("passed").alias("state"),
+                F.col(f"_n{i}").alias("orphan_count"),
                 F.lit(None).cast("string").alias("detail"),
             )
-        )
-    if rows:
-        parts.append(session_of(run).createDataFrame(rows, CHECK_SCHEMA))
-    return reduce(DataFrame.unionByName, parts)
+            for i, (source, key, target) in enumerate(relations)
+        ]
+    )
+    return sums.select(F.explode(told).alias("_r")).select("_r.*")
+
+
+def _key_text(key: str, numeric: bool) -> Column:
+    """A key as text, so that keys of all types meet in one set; numbers are equal by value."""
+    text = F.col(key).cast("string")
+    if not numeric:
+        return text
+    return F.coalesce(F.col(key).try_cast("decimal(38,6)").cast("string"), F.concat(F.lit("text "), text))
 
 
 def _skip_reason(run: Run, source: str, key: str, target: str) -> str | None:

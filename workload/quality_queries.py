@@ -10,11 +10,21 @@ from tripweave.plans.weighting import summaries_by_mode
 from tripweave.sources import star, tables
 from workload.context import Registry
 
-# A run with orphans: some trips name a household or tour that does not exist.
-ORPHANS = {
-    "household_id": "CASE WHEN trip_id % 97 = 0 THEN -1 ELSE household_id END",
-    "tour_id": "CASE WHEN trip_id % 50 = 0 THEN -5 WHEN trip_id % 49 = 0 THEN NULL ELSE tour_id END",
-}
+# A run with orphans in every relation: table, key, row identifier, its remainder zero, foreign key.
+ORPHANS = (
+    ("per", "household_id", "person_id", 47, -1),
+    ("day", "household_id", "day_id", 43, -1),
+    ("day", "person_id", "day_id", 41, -2),
+    ("tours", "household_id", "tour_id", 89, -1),
+    ("tours", "person_id", "tour_id", 83, -2),
+    ("trips", "household_id", "trip_id", 97, -1),
+    ("trips", "person_id", "trip_id", 71, -2),
+    ("trips", "tour_id", "trip_id", 50, -5),
+    ("vehicles", "household_id", "vehicle_id", 37, -1),
+    ("joint_participants", "person_id", "tour_id", 31, -2),
+    ("joint_participants", "tour_id", "person_id", 29, -5),
+)
+TARGETS = {"household_id": "hh", "person_id": "per", "tour_id": "tours"}
 SCATTER = (
     "scatter AS (SELECT * FROM (SELECT id, CAST(FACTYPE AS VARCHAR) AS facility_type, UNNEST(['AM', "
     "'MD', 'PM', 'Day']) AS period, UNNEST([am_vol, md_vol, pm_vol, day_vol]) AS observed_volume FROM "
@@ -32,18 +42,23 @@ queries, oracle_sql = registry.queries, registry.oracle_sql
 @query(
     "quality_relationships",
     "source_table string, key string, target_table string, state string, orphan_count bigint",
-    "SELECT source_table, key, target_table, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS state, "
-    "n AS orphan_count FROM (VALUES ('per', 'household_id', 'hh', 0), ('day', 'household_id', 'hh', "
-    "0), ('day', 'person_id', 'per', 0), ('tours', 'household_id', 'hh', 0), ('tours', 'person_id', "
-    "'per', 0), ('trips', 'household_id', 'hh', (SELECT COUNT(*) FROM trips WHERE trip_id % 97 = 0)), "
-    "('trips', 'person_id', 'per', 0), ('trips', 'tour_id', 'tours', (SELECT COUNT(*) FROM trips "
-    "WHERE trip_id % 50 = 0)), ('vehicles', 'household_id', 'hh', 0), ('joint_participants', "
-    "'person_id', 'per', 0), ('joint_participants', 'tour_id', 'tours', 0)) v(source_table, key, "
-    "target_table, n)",
+    "SELECT *, n AS orphan_count, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS state FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{table}' AS source_table, '{key}' AS key, '{TARGETS[key]}' AS target_table, COUNT(*) AS n "
+        f"FROM {'participants' if table == 'joint_participants' else table} WHERE {own} % {part} = 0 AND "
+        f"{key} IS NOT NULL"
+        for table, key, own, part, _ in ORPHANS
+    )
+    + ")",
 )
 def relationships(ctx):
-    trips = ctx.run.trips.withColumns({c: F.expr(e) for c, e in ORPHANS.items()})
-    return quality.relationship_report(ctx.run.with_tables(trips=trips))
+    run = ctx.run
+    planted: dict[str, dict] = {}
+    for table, key, own, part, foreign in ORPHANS:
+        lost = F.expr(f"CASE WHEN {own} % {part} = 0 AND {key} IS NOT NULL THEN {foreign} ELSE {key} END")
+        planted.setdefault(table, {})[key] = lost
+    tables_ = {table: run.tables[table].withColumns(columns) for table, columns in planted.items()}
+    return quality.relationship_report(run.with_tables(**tables_))
 
 
 @query(
