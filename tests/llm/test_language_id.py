@@ -3,7 +3,8 @@
 import random
 import zlib
 
-from tripweave.llm.language_id import UNKNOWN, gram_buckets, identify, language_stage, learn, train
+import numpy as np
+from tripweave.llm.language_id import UNKNOWN, gram_buckets, identify, language_stage, learn, pieces, train
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "er"], "cc": ["é", "eau", "oi", "que"]}
 
@@ -24,9 +25,13 @@ def test_held_out_documents_are_recognised(docs, odd):
     assert all(0 <= r.score <= 1 and r.lang_pred in {*SYLLABLES, UNKNOWN} for r in got.values())
     for i in (1000, 1001, 1002, 2000):
         assert got[i].lang_pred == UNKNOWN and got[i].score == 0 and got[i].rejected
-    kept = {r.doc_id for r in language_stage(df).collect()}
-    assert kept == {i for i, r in got.items() if not r.rejected} or len(kept) >= len(table)
-    assert not kept & {1000, 1001, 1002, 2000}
+    own = {r.doc_id: r.rejected for r in identify(df, learn(df)).collect()}  # the stage's own sample
+    kept = [r.doc_id for r in language_stage(df).collect()]
+    assert sorted(map(str, kept)) == sorted(
+        str(r.doc_id) for r in identify(df, learn(df)).collect() if not r.rejected
+    )
+    assert not {1000, 1001, 1002, 2000} & set(kept) and all(own[i] for i in (1000, 1001, 1002, 2000))
+    assert len(kept) >= len(table)
 
 
 def test_no_labels_and_empty_table(docs):
@@ -36,6 +41,15 @@ def test_no_labels_and_empty_table(docs):
     assert identify(docs(), None).count() == 0
 
 
+def test_long_texts_are_cut_at_blanks_only():
+    text = " ".join(sentence("cc", i) for i in range(40)).encode() + b"x" * 300 + b" end"
+    parts = list(pieces(text, 100))
+    assert b"".join(parts) == text and len(parts) > 20
+    whole = np.bincount(gram_buckets(text, 1 << 15), minlength=1 << 15)
+    apart = sum(np.bincount(gram_buckets(p, 1 << 15), minlength=1 << 15) for p in parts)
+    assert (whole == apart).all()
+
+
 def test_grams_stay_inside_words():
     assert len(gram_buckets(b"ab", 1 << 15)) == 3 + 2 + 1
     assert len(gram_buckets(b"1 2 3", 1 << 15)) == 0

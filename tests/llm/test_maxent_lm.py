@@ -1,4 +1,4 @@
-"""Base scores against plain counting; the model is a distribution and better on held-out texts."""
+"""Base scores against plain counting; probabilities of all tokens sum to 1; gain on held-out texts."""
 
 import math
 import random
@@ -7,7 +7,20 @@ from collections import Counter
 
 import numpy as np
 from tripweave.llm.language_id import held_out
-from tripweave.llm.maxent_lm import END, Settings, build_vocabulary, score_corpus, token_counts
+from pyspark.sql import functions as F
+from tripweave.llm.maxent_lm import (
+    END,
+    Model,
+    Settings,
+    build_vocabulary,
+    class_logits,
+    cluster,
+    fit_units,
+    least_count,
+    log_softmax,
+    score_corpus,
+    token_counts,
+)
 
 SMALL = Settings(frequent=40, suffixes=8, lookup=60, classes=4, columns=16, rows=256, rounds=2)
 
@@ -44,5 +57,41 @@ def test_tokens_of_a_unit_share_its_probability(docs):
     assert np.all(v.unit_total[SMALL.frequent :] >= v.unit_distinct[SMALL.frequent :])
 
 
+def test_tokens_share_the_probability_of_their_unit(docs):
+    table = corpus()
+    counts = Counter(w.encode() for _, t in table for w in t.split())
+    v = build_vocabulary(token_counts(docs(*table).selectExpr("doc_id", "cast(text as binary) text")), SMALL)
+    shares = Counter()
+    for token, count in counts.items():
+        place = v.tokens.get(token, SMALL.lookup)
+        if place >= SMALL.frequent:
+            u = v.suffix_unit(token)
+            shares[u] += (count + 0.1) / (v.unit_total[u] + 0.1 * (v.unit_distinct[u] + 1))
+    left = {u: 0.1 / (v.unit_total[u] + 0.1 * (v.unit_distinct[u] + 1)) for u in shares}
+    assert shares and all(abs(shares[u] + left[u] - 1) < 1e-9 for u in shares)  # the rest: unknown tokens
+
+
+def test_both_softmaxes_are_distributions(docs):
+    rng = np.random.default_rng(0)
+    v = build_vocabulary(token_counts(docs(*corpus()).selectExpr("doc_id", "cast(text as binary) text")), SMALL)
+    pairs = rng.integers(0, 20, (SMALL.columns, v.units)).astype(float)
+    classes = cluster(pairs, SMALL.classes)
+    units = fit_units(pairs, classes, v)
+    for c in np.unique(classes):  # P(unit | class, word before) sums to 1 in every class and column
+        assert np.allclose(np.exp(units[:, classes == c]).sum(axis=1), 1, atol=1e-4)
+    model = Model(classes, rng.normal(size=SMALL.classes), rng.normal(size=(SMALL.rows, SMALL.classes)), units)
+    shares = np.exp(log_softmax(class_logits(model, [rng.integers(0, SMALL.rows, 50) for _ in range(4)])))
+    whole = shares[:, classes] * np.exp(units[rng.integers(0, SMALL.columns, 50)])
+    assert np.allclose(whole.sum(axis=1), 1, atol=1e-4)  # over all units of all classes
+
+
+def test_the_most_frequent_tokens_are_found_without_sorting_all(frame):
+    rows = [(f"t{k}".encode(), 5000 - k) for k in range(100)] + [(f"r{k}".encode(), 3) for k in range(5000)]
+    counts = frame("token binary, count long", *rows)
+    assert least_count(counts, 100) <= 4901 and counts.where(F.col("count") >= least_count(counts, 100)).count() >= 100
+    assert counts.where(F.col("count") >= least_count(counts, 150)).count() == 100  # of very many ties none
+    assert counts.where(F.col("count") >= least_count(counts, 50)).count() < 150
+
+
 def test_empty_table(docs):
     assert score_corpus(docs(), held_out(parts=10), SMALL).count() == 0

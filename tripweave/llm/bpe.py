@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 PATTERN += r"""|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 """A blank between two characters that are no white space: words begin at it and never cross it."""
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 REMEMBERED_CHARACTERS = 8_000_000
 END = -1
 

@@ -157,27 +157,26 @@ def class_logits(model: Model, rows: list[np.ndarray]) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, held_out, numbers of the tokens, and the tokens that are not in the lookup."""
+    """doc_id, held_out, numbers of the tokens (int32 as bytes), and the tokens not in the lookup."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, ends, others, other_ends = vocabulary.value.numbers(batch.column(2).to_pylist())
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), values)
-                for e, values in ((ends, pa.array(numbers)), (other_ends, pa.array(others, pa.binary())))
-            ]
-            columns = [batch.column(0), batch.column(1), *lists]
+            told = [x.tobytes() for x in np.split(numbers, ends[:-1])] if len(ends) else []
+            offsets = pa.array(np.r_[0, other_ends].astype(np.int32))
+            left = pa.ListArray.from_arrays(offsets, pa.array(others, pa.binary()))
+            columns = [batch.column(0), batch.column(1), pa.array(told, pa.binary()), left]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "numbers", "others"])
 
-    schema = "doc_id long, held_out boolean, numbers array<int>, others array<binary>"
+    schema = "doc_id long, held_out boolean, numbers binary, others array<binary>"
     return docs.select("doc_id", "held_out", "text").mapInArrow(made, schema)
 
 
 def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of a batch's texts one after another, and the texts' ends."""
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy()[offsets[0] : offsets[-1]]
-    return values.astype(np.int64), (offsets[1:] - offsets[0]).astype(np.int64)
+    told = column.to_pylist()
+    ends = np.cumsum([len(x) // 4 for x in told], dtype=np.int64)
+    return np.frombuffer(b"".join(told), np.int32).astype(np.int64), ends
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -390,7 +389,7 @@ def train_classes(docs: DataFrame, model: Model, vocabulary, settings: Settings)
 
 
 def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
-    """Sums over the tokens of the lookup, and the other tokens with their units."""
+    """Sums over the tokens of the lookup by row, with the units of all tokens in the model's part."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = vocabulary.value, shared.value
@@ -402,7 +401,7 @@ def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
         inside[-1] = 0
         known = np.append(v.counts[:-1] > 0, False)
         for batch in batches:
-            numbers, ends = numbers_of(batch.column(1))
+            numbers, ends = numbers_of(batch.column(2))
             units, found = v.units_of(numbers), np.maximum(numbers, -1)
             column, rows = contexts(units, ends, v)
             target = model.classes[units]
@@ -417,18 +416,18 @@ def score_texts(docs: DataFrame, vocabulary, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(ends - begins),
                     pa.array(add(known[found].astype(np.int64))),
                     pa.array(add(base_all[found])),
                     pa.array(add(logs + inside[found])),
-                    batch.column(2),
                 ],
-                ["doc_id", "n_tokens", "n_known", "base", "model", "others"],
+                ["row", "doc_id", "n_tokens", "n_known", "base", "model"],
             )
 
     return docs.mapInArrow(
         made,
-        "doc_id long, n_tokens long, n_known long, base double, model double, others array<binary>",
+        "row long, doc_id long, n_tokens long, n_known long, base double, model double",
     )
 
 
@@ -455,7 +454,8 @@ def score_corpus(
     free_shuffles(spark)
     v = build_vocabulary(counts, settings)
     vocabulary = spark.sparkContext.broadcast(v)
-    texts = stored(numbered(chosen, vocabulary), "lm-numbers")
+    texts = numbered(chosen, vocabulary).withColumn("row", F.monotonically_increasing_id())
+    texts = stored(texts, "lm-numbers")
     training = texts.where(~F.col("held_out")).select("doc_id", "numbers")
     pairs = pair_counts(training.select("numbers"), vocabulary)
     classes = cluster(pairs, settings.classes)
@@ -469,12 +469,11 @@ def score_corpus(
     model = train_classes(training, model, vocabulary, settings)
     shared = spark.sparkContext.broadcast(model)
 
-    scored = score_texts(texts.select("doc_id", "numbers", "others"), vocabulary, shared)
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    scored = stored(score_texts(texts.select("row", "doc_id", "numbers"), vocabulary, shared), "lm-scores")
     free_shuffles(spark)
     unit = (F.crc32(F.expr("substring(token, -3, 3)")) % settings.suffixes + settings.frequent).cast("int")
     sizes = F.array(*[F.lit(float(x)) for x in v.unit_total + ADDED * (v.unit_distinct + 1)])
-    others = scored.select("row", F.explode("others").alias("token")).groupBy("row", "token").agg(
+    others = texts.select("row", F.explode("others").alias("token")).groupBy("row", "token").agg(
         F.count("*").alias("times")
     )
     count = F.coalesce(F.col("count"), F.lit(0))
