@@ -271,7 +271,6 @@ def encode(
         try:
             yield from map(own_batch(own), batches)
         finally:
-            own.forget()
             gc.enable()
 
     def own_batch(own: Encoder):
