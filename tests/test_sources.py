@@ -1,6 +1,7 @@
 """Reading, writing, external tables, weighting modes, stored summaries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALLEST, rows
 from tripweave.model import Config, Run
@@ -124,3 +125,19 @@ def test_period_table(spark):
         period_table(spark, (0, 2), ("A", "B"))
     with pytest.raises(ValueError):
         period_table(spark, (0,), ())
+
+
+def test_a_write_counts_its_rows_and_is_published_whole(frame, spark, tmp_path):
+    folder = f"{tmp_path}/out"
+    path = tables.summary_path(folder, "s", "r", "weighted")
+    first = frame("k int, v double", *[(k, 1.0) for k in range(7)])
+    assert tables.store_summary(first, path) == 7
+    assert tables.store_summary(first.limit(3), path) == 3  # a repeated write replaces all of it
+    assert tables.read_summary(spark, folder, "s").count() == 3
+    broken = first.withColumn("v", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        tables.store_summary(broken, path)
+    assert tables.read_summary(spark, folder, "s").count() == 3
+    assert [p.name for p in tmp_path.glob("out/s/run=r/*/*/*")] == ["weighting_mode=weighted"]
+    assert tables.store_summary(first.limit(0), path) == 0
+    assert tables.summary_state(0, {}) == ("empty", "") and tables.summary_state(2, {}) == ("available", "")

@@ -143,3 +143,32 @@ def test_total_rows_are_not_flows(frame):
     flows = frame(schema, ("a", "d", "d", "x", "y", 2.0), ("a", "d", "d", "Total", "y", 2.0))
     got = compare.modeled_flows(flows, "d", totals=True)
     assert rows(got.filter("Origin = 'Total' AND Destination = 'Total'"), "modeled") == [(2.0,)]
+
+
+def test_every_relation_is_counted_in_one_pass_over_each_table(frame, spark, tmp_path):
+    """Orphans in all relations, keys of other types, null keys, and one shuffle by key."""
+    tables = {
+        "hh": frame("household_id bigint", (1,), (2,)),
+        "per": frame("person_id int, household_id bigint", (10, 1), (11, 7), (12, None)),
+        "day": frame("day_id int, person_id double, household_id string", (1, 10.0, "1"), (2, 99.0, "x"), (3, None, "2.0")),
+        "tours": frame("tour_id bigint, person_id bigint, household_id bigint", (5, 10, 1), (6, 98, 8)),
+        "trips": frame(
+            "trip_id bigint, tour_id bigint, person_id bigint, household_id bigint",
+            (1, 5, 10, 1), (2, 50, 10, 1), (3, 50, 97, 9), (4, None, None, 9),
+        ),
+        "vehicles": frame("vehicle_id int, household_id bigint", (1, 2), (2, 3), (3, 3)),
+        "joint_participants": frame("tour_id bigint, person_id bigint", (5, 10), (60, 96), (60, 10)),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    run = Run("r", {name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables})
+    report = relationship_report(run)
+    got = {(r.source_table, r.key): r.orphan_count for r in report.collect()}
+    assert got == {
+        ("per", "household_id"): 1, ("day", "household_id"): 1, ("day", "person_id"): 1,
+        ("tours", "household_id"): 1, ("tours", "person_id"): 1, ("trips", "household_id"): 2,
+        ("trips", "person_id"): 1, ("trips", "tour_id"): 2, ("vehicles", "household_id"): 2,
+        ("joint_participants", "person_id"): 1, ("joint_participants", "tour_id"): 2,
+    }
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == len(tables) and "Join" not in plan

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tripweave.functions.expressions import total, zero
 from tripweave.model import ALL_GEOGRAPHIES, Config, first_column
 from tripweave.operators.weighted_stats import running_weight
+from tripweave.sources.lineage import cut_lineage
 
 MAX_HISTOGRAM_BINS = 200
 RANKING_BUCKETS = 1024
@@ -225,8 +226,8 @@ def residual_histogram(df: DataFrame, groups: Sequence[str], value: str) -> Data
         )
     )
 
-    # Value frequencies first: every later step runs on distinct values.
-    nonzero = (
+    # Value frequencies first: every later step reads these distinct values.
+    nonzero = cut_lineage(
         values.filter(~is_zero & ~F.isnan("_v"))
         .groupBy(*groups, "_v")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))

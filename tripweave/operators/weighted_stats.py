@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions.expressions import zero
+from tripweave.sources.lineage import cut_lineage
 
 RANGES = 256
 PERCENTILES = 100
@@ -38,9 +39,9 @@ def running_weight(
         F.sum("w").alias("total"),
         F.percentile_approx("value", cuts, F.lit(1000)).alias("_cuts"),
     )
-    ranged = valid.join(spans, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))
-    )
+    place = F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))
+    # Read twice below: the ranges' totals (at most `ranges` rows a key) and the values themselves.
+    ranged = cut_lineage(valid.join(spans, keys).withColumn("_range", place).drop("_cuts"))
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("w").alias("_rw"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

@@ -11,7 +11,14 @@ from tripweave.model import Config, Run
 from tripweave.operators.segments import Segmentation, analysis_units
 from tripweave.plans.registry import get_summary, session_of, summary_ids
 from tripweave.plans.weighting import WeightingModes, default_modes
-from tripweave.sources.tables import FAILED, ledger, summary_state, write_summary, write_tables
+from tripweave.sources.tables import (
+    FAILED,
+    ledger,
+    store_summary,
+    summary_path,
+    summary_state,
+    write_tables,
+)
 
 
 def build_summaries(
@@ -69,11 +76,11 @@ def store_summaries(
                 key = f"{unit.segmentation}/{unit.segment_id}/{mode}/{sid}"
                 try:
                     df = definition.build(weighted, config, spark)
-                    path = write_summary(
-                        df, folder, sid, run.label, mode, unit.segmentation, unit.segment_id
+                    path = summary_path(
+                        folder, sid, run.label, mode, unit.segmentation, unit.segment_id
                     )
-                    stored = spark.read.schema(definition.schema).parquet(path)
-                    states[key] = summary_state(stored, definition.missing_inputs(weighted))
+                    rows = store_summary(df, path)
+                    states[key] = summary_state(rows, definition.missing_inputs(weighted))
                 except Exception as error:
                     if raise_on_error:
                         raise

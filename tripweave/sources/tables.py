@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from tripweave.schemas import schema_of
 
@@ -157,6 +158,57 @@ def write_tables(run: Run, folder: str, file_format: str = "parquet") -> list[st
 PARTITIONS = ("run", "segmentation_type", "segment_id", "weighting_mode")
 
 
+def publish(spark: SparkSession, finished: str, path: str) -> None:
+    """Put a finished folder in its place by one rename; what was there before is replaced whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop(finished), hadoop(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    if files.exists(target):
+        files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"cannot rename {finished} to {path}")
+
+
+def write_counted(df: DataFrame, path: str, file_format: str = "parquet") -> int:
+    """Write a table and return its rows, counted by the write itself.
+
+    The rows go to a folder beside the target that is renamed when it is complete, so a write that
+    breaks leaves what was there, and a repeated one leaves no parts of both.
+    """
+    spark = df.sparkSession
+    parent, name = path.rsplit("/", 1)
+    unfinished = f"{parent}/_unfinished-{name.replace('=', '-')}-{uuid.uuid4().hex}"
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write
+    try:
+        if file_format == "csv":
+            writer.option("header", True).csv(unfinished)
+        else:
+            writer.format(file_format).save(unfinished)
+    except Exception:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(unfinished)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        raise
+    publish(spark, unfinished, path)
+    return written.get["rows"]
+
+
+def summary_path(
+    folder: str, summary_id: str, run: str, mode: str, segmentation: str = "full", segment: str = "full"
+) -> str:
+    return (
+        f"{folder}/{summary_id}/run={run}/segmentation_type={segmentation}/"
+        f"segment_id={segment}/weighting_mode={mode}"
+    )
+
+
+def store_summary(df: DataFrame, path: str, file_format: str = "parquet") -> int:
+    """One summary, sorted, under its path; returns its rows."""
+    keys = [f.name for f in df.schema if f.dataType.simpleString() != "double"]
+    return write_counted(df.orderBy(*keys), path, file_format)
+
+
 def write_summary(
     df: DataFrame,
     folder: str,
@@ -168,16 +220,8 @@ def write_summary(
     file_format: str = "parquet",
 ) -> str:
     """One summary of one run, segment and mode, sorted, under its partition folders."""
-    path = (
-        f"{folder}/{summary_id}/run={run}/segmentation_type={segmentation}/"
-        f"segment_id={segment}/weighting_mode={mode}"
-    )
-    keys = [f.name for f in df.schema if f.dataType.simpleString() != "double"]
-    writer = df.orderBy(*keys).write.mode("overwrite")
-    if file_format == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.format(file_format).save(path)
+    path = summary_path(folder, summary_id, run, mode, segmentation, segment)
+    store_summary(df, path, file_format)
     return path
 
 
@@ -195,10 +239,11 @@ def ledger(spark: SparkSession, run: Run, summaries: dict[str, tuple[str, str]])
     return spark.createDataFrame(rows, LEDGER)
 
 
-def summary_state(df: DataFrame, missing: dict[str, str]) -> tuple[str, str]:
+def summary_state(rows: int, missing: dict[str, str]) -> tuple[str, str]:
+    """State and reason of a stored summary, from the rows that its write counted."""
     if missing:
         return UNAVAILABLE, "; ".join(f"{t} ({why})" for t, why in sorted(missing.items()))
-    return (EMPTY, "") if df.limit(1).isEmpty() else (AVAILABLE, "")
+    return (EMPTY if rows == 0 else AVAILABLE), ""
 
 
 # --- profiles ----------------------------------------------------------------------------------
