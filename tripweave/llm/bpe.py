@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 PATTERN += r"""|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 """A blank between two characters that are no white space: words begin at it and never cross it."""
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 REMEMBERED_CHARACTERS = 8_000_000
 END = -1
 
@@ -218,9 +218,14 @@ class Encoder:
 
     def _learn(self, lists: Iterable[list[str]]) -> None:
         """Ids of chunks not met before; entries and characters remembered stay under fixed numbers."""
-        entries = map(len, (self.first, self.spaced, self.known, self.stable, self.moves))
-        if sum(entries) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
-            self.forget()
+        entries = sum(map(len, (self.first, self.spaced, self.known)))
+        if entries > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            for memory in (self.first, self.spaced, self.known):
+                memory.clear()
+            self.characters = 0
+        for memory in (self.stable, self.moves):  # of fixed size an entry, and dear to find again
+            if len(memory) > REMEMBERED:
+                memory.clear()
         heads, tails = set(), set()
         for chunks in lists:
             heads.add(chunks[0])
@@ -261,7 +266,7 @@ def encode(
 ) -> DataFrame:
     """doc_id, token_ids (array of int) and decoded (the text decoded from these ids)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, rows=2000, size="4m")
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
 
