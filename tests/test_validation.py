@@ -172,3 +172,28 @@ def test_every_relation_is_counted_in_one_pass_over_each_table(frame, spark, tmp
     }
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == len(tables) and "Join" not in plan
+
+
+def test_telecommute_and_escort_comparisons(frame):
+    table = frame(
+        "run string, geography_type string, geography_id string, telecommute_frequency string, "
+        "person_count double",
+        ("a", "all_geographies", "all_geographies", "1", 4.0), ("a", "taz", "7", "2", 3.0),
+        ("b", "all_geographies", "all_geographies", "2", 1.0), ("b", "taz", "7", "2", 2.0),
+        ("b", "taz", "8", "2", 5.0),
+    )
+    config = Config(labels={"telecommute_frequency": {"2": "Two days", "1": "One day"}})
+    got = compare.telecommute_distribution(table, ["1", "2"], config)
+    label = "telecommute_frequency_label"
+    assert rows(got, "run", "telecommute_frequency", "person_count", label, f"{label}_order") == [
+        ("a", "1", 4.0, "One day", 1), ("a", "2", 0.0, "Two days", 0),
+        ("b", "1", 0.0, "One day", 1), ("b", "2", 1.0, "Two days", 0),
+    ]
+    got = compare.telecommute_distribution(table, ["2", "9"], Config(), "taz", "7")
+    assert rows(got, "run", "telecommute_frequency", "person_count", label) == [
+        ("a", "2", 3.0, "2"), ("a", "9", 0.0, "9"), ("b", "2", 2.0, "2"), ("b", "9", 0.0, "9"),
+    ]
+    tours = frame("run string, direction string, person_type int, escort_type string, tour_count double",
+                  ("a", "both", 1, "x", 1.0), ("a", "inbound", 2, "y", 2.0))
+    assert rows(compare.escort_person_types(tours, "inbound")) == [("a", "2", 2.0)]
+    assert rows(compare.student_escort_status(tours, "both")) == [("a", "x", 1.0)]

@@ -315,6 +315,23 @@ def work_from_home_share(df: DataFrame, level: str, geography: str | None = None
     return rows.withColumn("work_from_home_percent", value).withColumn("geography_label", label)
 
 
+def telecommute_distribution(
+    df: DataFrame,
+    values: Sequence[str],
+    config: Config,
+    level: str = ALL_GEOGRAPHIES,
+    geography: str | None = None,
+) -> DataFrame:
+    """Persons by telecommute frequency at one level, over the same listed values in every run.
+
+    Adds the configured label and position of each value; a value that is absent counts 0.
+    """
+    rows = filter_geography(filter_geography_level(df, level), geography)
+    complete = complete_categories(rows, "telecommute_frequency", values, ["person_count"])
+    category = "telecommute_frequency"
+    return label_categories(complete, category, category, config, f"{category}_label")
+
+
 def distance_distribution(df: DataFrame, cap: int = 40) -> DataFrame:
     return cap_categories(df, "distance_bin", cap, ["person_count"])
 
@@ -382,6 +399,17 @@ def in_direction(df: DataFrame, direction: str) -> DataFrame:
     return df.filter(F.col("direction") == direction)
 
 
+def escort_person_types(df: DataFrame, direction: str) -> DataFrame:
+    """Escorted tours of one direction by the adult's person type."""
+    kind = F.col("person_type").cast("string").alias("person_type")
+    return in_direction(df, direction).select(RUN, kind, "tour_count")
+
+
+def student_escort_status(df: DataFrame, direction: str) -> DataFrame:
+    """Students' school tours of one direction by escort type."""
+    return in_direction(df, direction).select(RUN, "escort_type", "tour_count")
+
+
 def escort_distances(df: DataFrame, direction: str, measure: str) -> DataFrame:
     """All distance bins of one direction, 0 where empty."""
     return complete_categories(

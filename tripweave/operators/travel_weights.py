@@ -13,7 +13,6 @@ from tripweave.functions.expressions import (
     NOT_APPLICABLE_CODE,
     is_joint,
     joint_party_size,
-    total,
     valid_identifier,
 )
 from tripweave.model import Run
@@ -34,59 +33,80 @@ def stated_party_weight(
     return F.when(is_joint(category), w * F.when(valid, party).otherwise(1.0)).otherwise(w)
 
 
-def participant_weights(run: Run, output: str) -> DataFrame:
-    """Sum of the participants' person weights per joint tour."""
-    persons = run.per.filter(
-        F.col("person_id").isNotNull() & F.col("finalweight").isNotNull()
-    ).select("person_id", F.col("finalweight").cast("double").alias(output))
+def participant_weights(run: Run, weights: dict[str, str]) -> DataFrame:
+    """Sums of the participants' person weights per joint tour, null where none is known.
+
+    ``weights`` maps weight columns of persons to output columns.
+    """
+    persons = run.per.filter(F.col("person_id").isNotNull()).select(
+        "person_id", *[F.col(w).cast("double").alias(name) for w, name in weights.items()]
+    )
     return (
         run.joint_participants.filter(F.col("tour_id").isNotNull())
         .select("tour_id", "person_id")
         .join(persons, "person_id")
         .groupBy("tour_id")
-        .agg(total(output).alias(output))
+        .agg(*[F.sum(name).alias(name) for name in weights.values()])
     )
 
 
-def attach_person_travel_weight(
+def attach_person_travel_weights(
     run: Run,
     activity: DataFrame,
     participant_column: str,
-    output: str,
+    weights: dict[str, str],
     category: str = "tour_category",
 ) -> DataFrame:
-    """Add a person-tour or person-trip weight to every record."""
-    weight = stated_party_weight(activity, participant_column, category=category)
+    """Add person-tour or person-trip weights to every record, one output per weight column.
+
+    All of them come from one join, so several weighting modes cost what one costs.
+    """
+    stated = {
+        name: stated_party_weight(activity, participant_column, weight, category)
+        for weight, name in weights.items()
+    }
     attributable = (
         {category, "tour_id"} <= set(activity.columns)
         and run.has("joint_participants", "tour_id", "person_id")
-        and run.has("per", "person_id", "finalweight")
+        and run.has("per", "person_id", *weights)
     )
     if not attributable:
-        return activity.withColumn(output, weight)
-    attributed = "_participants_weight"
+        return activity.withColumns(stated)
+    attributed = {name: f"_participants_{name}" for name in stated}
+    sums = participant_weights(run, {w: attributed[name] for w, name in weights.items()})
     joint = (
         activity.filter(is_joint(category))
-        .join(participant_weights(run, attributed), "tour_id", "left")
-        .withColumn(output, F.coalesce(F.col(attributed), weight))
-        .drop(attributed)
+        .join(sums, "tour_id", "left")
+        .withColumns({n: F.coalesce(F.col(attributed[n]), w) for n, w in stated.items()})
+        .drop(*attributed.values())
     )
-    return activity.filter(~is_joint(category)).withColumn(output, weight).unionByName(joint)
+    return activity.filter(~is_joint(category)).withColumns(stated).unionByName(joint)
 
 
-def with_household_tour_weight(
+def attach_person_travel_weight(
+    run: Run,
+    activity: DataFrame,
+    participant_column: str,
+    output: str,
+    category: str = "tour_category",
+) -> DataFrame:
+    """Add a person-tour or person-trip weight to every record."""
+    weights = {"finalweight": output}
+    return attach_person_travel_weights(run, activity, participant_column, weights, category)
+
+
+def with_household_tour_weights(
     tours: DataFrame,
-    output: str = "_tour_weight",
-    weight: str = "finalweight",
+    weights: dict[str, str],
     category: str = "tour_category",
     joint_id: str = "joint_tour_id",
 ) -> DataFrame:
-    """Add the household-tour weight: a joint tour stored as one row per participant counts
-    once, by dividing the weight by the rows of a complete group.
+    """Add household-tour weights, one output per weight column: a joint tour stored as one row
+    per participant counts once, by dividing the weight by the rows of a complete group.
     """
-    w = F.col(weight).cast("double")
+    own = {name: F.col(w).cast("double") for w, name in weights.items()}
     if not {category, joint_id} <= set(tours.columns):
-        return tours.withColumn(output, w)
+        return tours.withColumns(own)
     party = joint_party_size(tours.columns)
     grouped = tours.filter(valid_identifier(joint_id))
     complete = (
@@ -100,10 +120,22 @@ def with_household_tour_weight(
         .select(joint_id, "_rows")
     )
     in_scope = is_joint(category) & valid_identifier(joint_id)
+    members = F.coalesce(F.col("_rows"), F.lit(1.0))
     shared = (
         tours.filter(in_scope)
         .join(complete, joint_id, "left")
-        .withColumn(output, w / F.coalesce(F.col("_rows"), F.lit(1.0)))
+        .withColumns({name: w / members for name, w in own.items()})
         .drop("_rows")
     )
-    return tours.filter(~in_scope).withColumn(output, w).unionByName(shared)
+    return tours.filter(~in_scope).withColumns(own).unionByName(shared)
+
+
+def with_household_tour_weight(
+    tours: DataFrame,
+    output: str = "_tour_weight",
+    weight: str = "finalweight",
+    category: str = "tour_category",
+    joint_id: str = "joint_tour_id",
+) -> DataFrame:
+    """Add the household-tour weight of one weight column."""
+    return with_household_tour_weights(tours, {weight: output}, category, joint_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -176,3 +177,36 @@ def column_weights(run: Run, columns: dict[str, str]) -> Run:
         ):
             tables[name] = follow(tables.get(name), tables[owner], key)
     return run.with_tables(**tables)
+
+
+def side_by_side(run: Run, transforms: dict[str, Callable[[Run], Run]]) -> Run:
+    """The run with the weights of every transform in columns of their own, on the same rows.
+
+    ``transforms`` maps an output column to a run-to-run function that changes weights only. A table
+    lacks a column where the transform leaves it without a weight.
+    """
+    kept = "_run_weight"
+    run = run.with_tables(
+        **{
+            name: df.withColumn(kept, F.col(WEIGHT))
+            for name, df in run.tables.items()
+            if _has(df, WEIGHT)
+        }
+    )
+
+    def put_aside(df: DataFrame, output: str) -> DataFrame:
+        moved = df.withColumn(output, F.col(WEIGHT))
+        return moved.withColumn(WEIGHT, F.col(kept)) if kept in df.columns else moved.drop(WEIGHT)
+
+    for output, transform in transforms.items():
+        changed = transform(run)
+        run = changed.with_tables(
+            **{
+                name: put_aside(df, output)
+                for name, df in changed.tables.items()
+                if _has(df, WEIGHT)
+            }
+        )
+    return run.with_tables(
+        **{name: df.drop(kept) for name, df in run.tables.items() if _has(df, kept)}
+    )

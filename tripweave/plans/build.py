@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from tripweave.model import Config, Run
 from tripweave.operators.segments import Segmentation, analysis_units
+from tripweave.plans.counts import MODE, CountedTogether
 from tripweave.plans.registry import get_summary, session_of, summary_ids
-from tripweave.plans.weighting import WeightingModes, default_modes
+from tripweave.plans.weighting import WeightingModes, counted_together, default_modes
+from tripweave.sources.lineage import cut_lineage
 from tripweave.sources.tables import (
     FAILED,
     ledger,
@@ -68,14 +71,19 @@ def store_summaries(
     modes, spark = modes or default_modes(), session_of(run)
     run = stored_run(run, folder)
     states: dict[str, tuple[str, str]] = {}
+    ids = list(ids or summary_ids(default_only=True))
     for unit in analysis_units(run, segmentation):
+        shared = shared_counts(unit.run, config, ids, modes)
         for mode in config.weighting_modes:
             weighted = modes.get(mode).apply(unit.run, config)
-            for sid in ids or summary_ids(default_only=True):
+            for sid in ids:
                 definition = get_summary(sid)
                 key = f"{unit.segmentation}/{unit.segment_id}/{mode}/{sid}"
                 try:
-                    df = definition.build(weighted, config, spark)
+                    if sid in shared:
+                        df = shared[sid].table(sid, [mode]).drop(MODE)
+                    else:
+                        df = definition.build(weighted, config, spark)
                     path = summary_path(
                         folder, sid, run.label, mode, unit.segmentation, unit.segment_id
                     )
@@ -86,3 +94,20 @@ def store_summaries(
                         raise
                     states[key] = (FAILED, str(error).splitlines()[0])
     return ledger(spark, run, states)
+
+
+def shared_counts(
+    run: Run, config: Config, ids: Sequence[str], modes: WeightingModes
+) -> dict[str, CountedTogether]:
+    """Declared counts of all modes by summary; each source is aggregated once and cut off there.
+
+    What cannot be aggregated together is left to its own build, which reports its error.
+    """
+    try:
+        groups = counted_together(run, config, ids, config.weighting_modes, modes)
+        for together in groups:
+            if together.grouped is not None:
+                together.grouped = cut_lineage(together.grouped)
+    except PySparkException:
+        return {}
+    return {sid: together for together in groups for sid in together.counted}

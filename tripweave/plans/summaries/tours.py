@@ -11,13 +11,14 @@ from tripweave.operators.aggregate import (
     add_totals,
     densify,
     ensure_zero_bin,
-    weighted_sum,
     weighted_sum_with_totals,
 )
 from tripweave.operators.travel_weights import (
-    attach_person_travel_weight,
+    attach_person_travel_weights,
     with_household_tour_weight,
+    with_household_tour_weights,
 )
+from tripweave.plans.counts import Counted, Source, count_summary
 from tripweave.plans.registry import summary
 from tripweave.plans.summaries.activity import purpose_column
 from tripweave.plans.summaries.escort import stop_frequency as stops_by_purpose
@@ -33,61 +34,76 @@ def trim_time_bins(dense: DataFrame, observed_max, bin_column: str = "time_bin")
     return dense.filter(F.col(bin_column) <= last)
 
 
-@summary(
+def weighed_person_tours(run: Run, weights: dict[str, str]) -> DataFrame:
+    return attach_person_travel_weights(run, run.tours, "NUMBER_HH", weights)
+
+
+def weighed_tours_of_category(run: Run, weights: dict[str, str]) -> DataFrame:
+    return with_household_tour_weights(
+        run.tours.filter(F.col("tour_category").isNotNull()), weights
+    )
+
+
+def weighed_tours_of_purpose(run: Run, weights: dict[str, str]) -> DataFrame:
+    purpose = purpose_column(run.tours)
+    return with_household_tour_weights(run.tours.filter(F.col(purpose).isNotNull()), weights)
+
+
+PERSON_TOURS = Source("tours", weighed_person_tours)
+TOURS_OF_CATEGORY = Source("tours", weighed_tours_of_category)
+TOURS_OF_PURPOSE = Source("tours", weighed_tours_of_purpose)
+
+
+@count_summary(
     "tour_category_distribution",
     "tour_category string, tour_count double",
     {"tours": "tour_category finalweight"},
+    TOURS_OF_CATEGORY,
 )
-def tour_category(run: Run, config: Config) -> DataFrame:
-    tours = with_household_tour_weight(run.tours.filter(F.col("tour_category").isNotNull()))
-    return weighted_sum(tours, ["tour_category"], "_tour_weight", "tour_count")
+def tour_category(tours: DataFrame) -> Counted:
+    return Counted(F.lit(True), {"tour_category": F.col("tour_category")}, {"tour_count": None})
 
 
-@summary(
+@count_summary(
     "tour_purpose_distribution",
     "tour_purpose string, tour_count double",
     {"tours": "tour_purpose finalweight"},
+    TOURS_OF_PURPOSE,
 )
-def tour_purpose(run: Run, config: Config) -> DataFrame:
-    purpose = purpose_column(run.tours)
-    tours = with_household_tour_weight(run.tours.filter(F.col(purpose).isNotNull()))
-    return tours.groupBy(F.col(purpose).cast("string").alias("tour_purpose")).agg(
-        total("_tour_weight").alias("tour_count")
-    )
+def tour_purpose(tours: DataFrame) -> Counted:
+    purpose = F.col(purpose_column(tours)).cast("string")
+    return Counted(F.lit(True), {"tour_purpose": purpose}, {"tour_count": None})
 
 
-@summary(
+SUFFICIENCY_COUNTS = {
+    0: "tour_count_zero_auto",
+    1: "tour_count_auto_deficient",
+    2: "tour_count_auto_sufficient",
+}
+
+
+def with_all_households(counts: DataFrame, extra: list[str]) -> DataFrame:
+    overall = sum((F.col(n) for n in SUFFICIENCY_COUNTS.values()), F.lit(0.0))
+    return counts.withColumn("tour_count_all_households", overall)
+
+
+@count_summary(
     "tour_mode_by_tour_purpose_and_auto_sufficiency",
     "tour_mode string, tour_purpose string, tour_count_zero_auto double, "
     "tour_count_auto_deficient double, tour_count_auto_sufficient double, "
     "tour_count_all_households double",
     {"tours": "tour_mode tour_purpose tour_category NUMBER_HH finalweight AUTOSUFF"},
+    PERSON_TOURS,
+    ALL_PURPOSES,
+    with_all_households,
 )
-def tour_mode(run: Run, config: Config) -> DataFrame:
-    purpose = purpose_column(run.tours)
-    tours = attach_person_travel_weight(
-        run,
-        run.tours.filter(
-            F.col(purpose).isNotNull()
-            & F.col("tour_mode").isNotNull()
-            & F.col("AUTOSUFF").isNotNull()
-        ),
-        "NUMBER_HH",
-        "_w",
+def tour_mode(tours: DataFrame) -> Counted:
+    purpose = F.col(purpose_column(tours))
+    return Counted(
+        purpose.isNotNull() & F.col("tour_mode").isNotNull() & F.col("AUTOSUFF").isNotNull(),
+        {"tour_mode": F.col("tour_mode"), "tour_purpose": purpose.cast("string")},
+        {name: F.col("AUTOSUFF") == k for k, name in SUFFICIENCY_COUNTS.items()},
     )
-    by_class = {
-        0: "tour_count_zero_auto",
-        1: "tour_count_auto_deficient",
-        2: "tour_count_auto_sufficient",
-    }
-    detail = tours.groupBy("tour_mode", F.col(purpose).cast("string").alias("tour_purpose")).agg(
-        *[total(F.when(F.col("AUTOSUFF") == k, F.col("_w"))).alias(n) for k, n in by_class.items()]
-    )
-    counts = add_totals(
-        detail, ALL_PURPOSES, ["tour_mode", "tour_purpose"], list(by_class.values())
-    )
-    overall = sum((F.col(n) for n in by_class.values()), F.lit(0.0))
-    return counts.withColumn("tour_count_all_households", overall)
 
 
 @summary(

@@ -13,80 +13,70 @@ from tripweave.operators.aggregate import (
     densify,
     ensure_zero_bin,
     geography_dimensions,
-    weighted_sum,
-    weighted_sum_with_totals,
 )
-from tripweave.operators.travel_weights import attach_person_travel_weight
+from tripweave.operators.travel_weights import attach_person_travel_weights
+from tripweave.plans.counts import Counted, Source, count_summary
 from tripweave.plans.registry import summary
 from tripweave.plans.summaries.activity import purpose_column
 from tripweave.plans.summaries.tours import ALL_PURPOSES, HALF_HOUR_PERIODS, trim_time_bins
 
 
-def person_trips(run: Run, trips: DataFrame) -> DataFrame:
-    """Trips with their person-travel weight ``_w`` and text ``tour_purpose``."""
-    weighted = attach_person_travel_weight(run, trips, "num_participants", "_w")
-    return weighted.withColumn("tour_purpose", F.col(purpose_column(trips)).cast("string"))
+def weighed_trips(run: Run, weights: dict[str, str]) -> DataFrame:
+    """Trips with person-travel weights and text ``tour_purpose``."""
+    trips = attach_person_travel_weights(run, run.trips, "num_participants", weights)
+    return trips.withColumn("tour_purpose", F.col(purpose_column(trips)).cast("string"))
+
+
+PERSON_TRIPS = Source("trips", weighed_trips)
 
 
 def is_stop():
     return F.col("stops") == 1
 
 
-@summary(
+@count_summary(
     "trip_purpose_distribution",
     "tour_purpose string, trip_purpose string, trip_count double",
     {"trips": "tour_purpose trip_purpose finalweight"},
+    PERSON_TRIPS,
+    ALL_PURPOSES,
 )
-def trip_purpose(run: Run, config: Config) -> DataFrame:
-    purpose = F.col(purpose_column(run.trips))
-    trips = person_trips(
-        run, run.trips.filter(F.col("trip_purpose").isNotNull() & purpose.isNotNull())
-    )
-    return weighted_sum_with_totals(
-        trips, ["tour_purpose", "trip_purpose"], "_w", "trip_count", ALL_PURPOSES
+def trip_purpose(trips: DataFrame) -> Counted:
+    return Counted(
+        F.col("trip_purpose").isNotNull() & F.col("tour_purpose").isNotNull(),
+        {"tour_purpose": F.col("tour_purpose"), "trip_purpose": F.col("trip_purpose")},
+        {"trip_count": None},
     )
 
 
-@summary(
+@count_summary(
     "stop_destination_purpose_by_tour_purpose",
     "stop_destination_purpose string, tour_purpose string, stop_count double",
     {"trips": "stops tour_purpose trip_purpose finalweight"},
+    PERSON_TRIPS,
 )
-def stop_purpose(run: Run, config: Config) -> DataFrame:
-    purpose = F.col(purpose_column(run.trips))
-    trips = person_trips(
-        run,
-        run.trips.filter(is_stop() & purpose.isNotNull() & F.col("trip_purpose").isNotNull()),
-    )
-    return weighted_sum(
-        trips.withColumn("stop_destination_purpose", F.col("trip_purpose").cast("string")),
-        ["stop_destination_purpose", "tour_purpose"],
-        "_w",
-        "stop_count",
+def stop_purpose(trips: DataFrame) -> Counted:
+    purpose = F.col("trip_purpose").cast("string")
+    return Counted(
+        is_stop() & F.col("tour_purpose").isNotNull() & F.col("trip_purpose").isNotNull(),
+        {"stop_destination_purpose": purpose, "tour_purpose": F.col("tour_purpose")},
+        {"stop_count": None},
     )
 
 
-@summary(
+@count_summary(
     "trip_mode_by_tour_purpose_and_tour_mode",
     "tour_purpose string, tour_mode string, trip_mode string, trip_count double",
     {"trips": "tour_purpose tour_mode trip_mode finalweight"},
+    PERSON_TRIPS,
+    {"tour_purpose": ALL_TOUR_PURPOSES, "tour_mode": ALL_TOUR_MODES},
 )
-def trip_mode(run: Run, config: Config) -> DataFrame:
-    trips = person_trips(
-        run,
-        run.trips.filter(
-            F.col(purpose_column(run.trips)).isNotNull()
-            & F.col("tour_mode").isNotNull()
-            & F.col("trip_mode").isNotNull()
-        ),
-    )
-    return weighted_sum_with_totals(
-        trips,
-        ["tour_purpose", "tour_mode", "trip_mode"],
-        "_w",
-        "trip_count",
-        {"tour_purpose": ALL_TOUR_PURPOSES, "tour_mode": ALL_TOUR_MODES},
-    )
+def trip_mode(trips: DataFrame) -> Counted:
+    keys = {name: F.col(name) for name in ("tour_purpose", "tour_mode", "trip_mode")}
+    present = F.lit(True)
+    for key in keys.values():
+        present = present & key.isNotNull()
+    return Counted(present, keys, {"trip_count": None})
 
 
 @summary(
@@ -117,7 +107,7 @@ def trip_departures(run: Run, config: Config) -> DataFrame | None:
         return None
     measures = ["departure_trip_count", "departure_stop_count"]
     detail = (
-        person_trips(run, run.trips)
+        weighed_trips(run, {"finalweight": "_w"})
         .groupBy("tour_purpose", F.col(departure).cast("int").alias("time_bin"))
         .agg(
             total("_w").alias(measures[0]),
@@ -134,40 +124,46 @@ def trip_departures(run: Run, config: Config) -> DataFrame | None:
     return trim_time_bins(dense, run.trips.agg(F.max(departure)).scalar())
 
 
-@summary(
+@count_summary(
     "trip_distance_by_purpose",
     "distance_bin string, tour_purpose string, trip_count double",
     {"trips": "tour_purpose od_dist num_participants finalweight"},
+    PERSON_TRIPS,
+    ALL_PURPOSES,
+    lambda counts, extra: ensure_zero_bin(counts, ["tour_purpose", *extra], "trip_count"),
 )
-def trip_distance(run: Run, config: Config) -> DataFrame:
-    trips = person_trips(
-        run,
-        run.trips.filter(
-            F.col(purpose_column(run.trips)).isNotNull() & F.col("od_dist").isNotNull()
-        ),
-    )
-    rows = trips.withColumn("distance_bin", distance_bin("od_dist")).filter(
-        F.col("distance_bin").isNotNull()
+def trip_distance(trips: DataFrame) -> Counted:
+    own = distance_bin("od_dist")
+    return Counted(
+        F.col("tour_purpose").isNotNull() & F.col("od_dist").isNotNull() & own.isNotNull(),
+        {"distance_bin": own, "tour_purpose": F.col("tour_purpose")},
+        {"trip_count": None},
     )
-    counts = weighted_sum_with_totals(
-        rows, ["distance_bin", "tour_purpose"], "_w", "trip_count", ALL_PURPOSES
+
+
+def dense_stop_bins(counts: DataFrame, extra: list[str]) -> DataFrame:
+    """All bins of each purpose; stops without a purpose count in the total only."""
+    return densify(
+        counts.filter(F.col("tour_purpose").isNotNull()),
+        ["tour_purpose", *extra],
+        "distance_bin",
+        distance_bin_labels(),
+        ["stop_count"],
     )
-    return ensure_zero_bin(counts, ["tour_purpose"], "trip_count")
 
 
-@summary(
+@count_summary(
     "stop_out_of_direction_distance_by_tour_purpose",
     "distance_bin string, tour_purpose string, stop_count double",
     {"trips": "stops out_dir_dist tour_purpose finalweight"},
+    PERSON_TRIPS,
+    ALL_PURPOSES,
+    dense_stop_bins,
 )
-def stop_out_of_direction(run: Run, config: Config) -> DataFrame:
-    stops = person_trips(run, run.trips.filter(is_stop() & F.col("out_dir_dist").isNotNull()))
-    rows = stops.withColumn("distance_bin", distance_bin("out_dir_dist")).filter(
-        F.col("distance_bin").isNotNull()
-    )
-    counts = weighted_sum_with_totals(
-        rows, ["distance_bin", "tour_purpose"], "_w", "stop_count", ALL_PURPOSES
-    ).filter(F.col("tour_purpose").isNotNull())
-    return densify(
-        counts, ["tour_purpose"], "distance_bin", distance_bin_labels(), ["stop_count"]
+def stop_out_of_direction(trips: DataFrame) -> Counted:
+    own = distance_bin("out_dir_dist")
+    return Counted(
+        is_stop() & F.col("out_dir_dist").isNotNull() & own.isNotNull(),
+        {"distance_bin": own, "tour_purpose": F.col("tour_purpose")},
+        {"stop_count": None},
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.model import Config, Run
 from tripweave.operators.weights import column_weights, unweighted
+from tripweave.plans.counts import CountedTogether, sharing, weights_of_modes
 from tripweave.plans.registry import get_summary
 
 
@@ -20,13 +21,18 @@ class WeightingError(ValueError):
 
 @dataclass(frozen=True)
 class WeightingMode:
-    """A mode id, its label, the transform, and the columns it needs per table."""
+    """A mode id, its label, the transform, and the columns it needs per table.
+
+    ``weights_only``: the transform keeps all rows and changes nothing but weights, so that its
+    weights can stand beside those of other modes.
+    """
 
     mode_id: str
     label: str
     transform: Callable[[Run, Config], Run]
     required: dict[str, tuple[str, ...]] = field(default_factory=dict)
     copies_external: bool = True
+    weights_only: bool = False
 
     def validate(self, run: Run) -> None:
         for table, columns in self.required.items():
@@ -70,6 +76,7 @@ class WeightingModes:
                 label,
                 lambda run, config: column_weights(run, columns),
                 {names[t]: (c,) for t, c in columns.items()},
+                weights_only=True,
             )
         )
 
@@ -85,11 +92,28 @@ class WeightingModes:
 
 def default_modes() -> WeightingModes:
     modes = WeightingModes()
-    modes.register(WeightingMode("weighted", "Weighted", lambda run, config: run))
-    modes.register(WeightingMode("unweighted", "Unweighted", lambda run, config: unweighted(run)))
+    for mode_id, label, change in (
+        ("weighted", "Weighted", lambda run, config: run),
+        ("unweighted", "Unweighted", lambda run, config: unweighted(run)),
+    ):
+        modes.register(WeightingMode(mode_id, label, change, weights_only=True))
     return modes
 
 
+def counted_together(
+    run: Run, config: Config, ids: Sequence[str], mode_ids: Sequence[str], modes: WeightingModes
+) -> list[CountedTogether]:
+    """Summaries that share a scan over all modes; those not in the result are built one by one."""
+    chosen = {m: modes.get(m) for m in mode_ids}
+    if not all(mode.weights_only for mode in chosen.values()):
+        return []
+    weighed = weights_of_modes(
+        run, {m: partial(mode.apply, config=config) for m, mode in chosen.items()}
+    )
+    groups = sharing(weighed, ids, mode_ids)
+    return [CountedTogether(weighed, source, own, mode_ids) for source, own in groups.items()]
+
+
 def summaries_by_mode(
     run: Run,
     config: Config,
@@ -97,13 +121,20 @@ def summaries_by_mode(
     mode_ids: Sequence[str] | None = None,
     modes: WeightingModes | None = None,
 ) -> DataFrame:
-    """One summary for every enabled mode, with a ``weighting_mode`` column."""
+    """One summary for every enabled mode, with a ``weighting_mode`` column.
+
+    Declared counts take all modes from one aggregation.
+    """
     modes = modes or default_modes()
+    mode_ids = list(mode_ids or config.weighting_modes)
     definition = get_summary(summary_id)
+    for together in counted_together(run, config, [summary_id], mode_ids, modes):
+        if summary_id in together.counted:
+            return together.table(summary_id)
     parts = [
         definition.build(modes.get(m).apply(run, config), config).withColumn(
             "weighting_mode", F.lit(m)
         )
-        for m in (mode_ids or config.weighting_modes)
+        for m in mode_ids
     ]
     return reduce(DataFrame.unionByName, parts)

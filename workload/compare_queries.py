@@ -256,6 +256,40 @@ add("compare_escort_event_stops", "run string, stop_count string, tour_count dou
     lambda ctx: compare.escort_event_stops(
         base(ctx, "adult_escort_event_stop_distribution"), "outbound_before_dropoff"))
 
+def unit_weight(summary_id):
+    """Rows of a summary of weight sums, as SQL text, in the run whose weights are all 1."""
+    body = {**SUMMARY_SQL, **VALIDATION_SQL}[summary_id]
+    counted = body.replace("SUM(finalweight)", "CAST(COUNT(*) AS DOUBLE)")
+    return f"(SELECT *, 'unit' AS run FROM ({counted}))"
+
+
+def of_both_runs(summary_id):
+    return f"(FROM {both(summary_id)} UNION ALL BY NAME FROM {unit_weight(summary_id)})"
+
+
+add("compare_escort_person_types", "run string, person_type string, tour_count double",
+    "SELECT run, person_type, tour_count FROM "
+    f"{of_both_runs('adult_escorted_tours_by_person_type_and_direction')} WHERE direction = 'inbound'",
+    lambda ctx: compare.escort_person_types(
+        pair(ctx, "adult_escorted_tours_by_person_type_and_direction"), "inbound"))
+
+add("compare_student_escort_status", "run string, escort_type string, tour_count double",
+    "SELECT run, escort_type, tour_count FROM "
+    f"{of_both_runs('student_school_escort_status_by_direction')} WHERE direction = 'outbound'",
+    lambda ctx: compare.student_escort_status(
+        pair(ctx, "student_school_escort_status_by_direction"), "outbound"))
+
+# The last value occurs in no run.
+FREQUENCIES = ["never", "1_day", "every_day"]
+add("compare_telecommute_distribution", "run string, telecommute_frequency string, "
+    "person_count double",
+    f"WITH f AS (SELECT UNNEST({FREQUENCIES}) AS telecommute_frequency), r AS (SELECT * FROM "
+    f"{of_both_runs('telecommute_frequency_distribution')} WHERE geography_type = 'all_geographies') "
+    "SELECT run, telecommute_frequency, COALESCE(person_count, 0) AS person_count FROM (SELECT * FROM "
+    "f, (SELECT DISTINCT run FROM r)) LEFT JOIN r USING (run, telecommute_frequency)",
+    lambda ctx: compare.telecommute_distribution(
+        pair(ctx, "telecommute_frequency_distribution"), FREQUENCIES, star.CONFIG))
+
 add("compare_escort_distances", "run string, distance_bin string, tour_count double",
     "SELECT 'base' AS run, distance_bin, COALESCE(tour_count, 0) AS tour_count FROM (SELECT CAST(x AS "
     "VARCHAR) AS distance_bin FROM generate_series(0, 39) g(x) UNION ALL SELECT '>0-<1' UNION ALL "

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oracle.summaries_sql import SUMMARY_SQL
 from tripweave.operators import quality, segments
 from tripweave.plans.registry import contract_violations, get_summary
-from tripweave.plans.weighting import summaries_by_mode
+from tripweave.plans.weighting import counted_together, default_modes, summaries_by_mode
 from tripweave.sources import star, tables
+from tripweave.sources.lineage import cut_lineage
 from workload.context import Registry
 
 # A run with orphans in every relation: table, key, row identifier, its remainder zero, foreign key.
@@ -254,3 +259,79 @@ def by_person(ctx):
 )
 def modes(ctx):
     return summaries_by_mode(ctx.run, star.CONFIG, "tour_category_distribution")
+
+
+# Trips with their person-travel weight in each mode: all weights 1, or the household's size.
+MODE_WEIGHTS = {"unweighted": "1.0", "by_size": "CAST(HHSIZE AS DOUBLE)"}
+
+
+def mode_expressions() -> dict[str, str]:
+    found = {}
+    for mode, weight in MODE_WEIGHTS.items():
+        found[f"persons_{mode}"] = (
+            f"SELECT person_id, {weight} AS w FROM per JOIN (SELECT household_id, HHSIZE FROM hh) h "
+            "USING (household_id)"
+        )
+        found[f"party_{mode}"] = (
+            f"SELECT tour_id, SUM(w) AS pw FROM participants JOIN persons_{mode} USING (person_id) "
+            "GROUP BY 1"
+        )
+        found[f"trips_{mode}"] = (
+            "SELECT t.*, CASE WHEN tour_category <> 'joint' THEN w ELSE COALESCE(pw, w * CASE WHEN "
+            "num_participants > 0 AND num_participants < 995 THEN num_participants ELSE 1 END) END AS "
+            f"ptw FROM trips t LEFT JOIN persons_{mode} USING (person_id) LEFT JOIN party_{mode} USING "
+            "(tour_id)"
+        )
+    return found
+
+
+CTES.update(mode_expressions())
+
+# Summary: its other keys as one text, and its measure.
+TRIP_COUNTS = {
+    "trip_purpose_distribution": (("trip_purpose",), "trip_count"),
+    "stop_destination_purpose_by_tour_purpose": (("stop_destination_purpose",), "stop_count"),
+    "trip_mode_by_tour_purpose_and_tour_mode": (("tour_mode", "trip_mode"), "trip_count"),
+    "trip_distance_by_purpose": (("distance_bin",), "trip_count"),
+    "stop_out_of_direction_distance_by_tour_purpose": (("distance_bin",), "stop_count"),
+}
+
+
+def trip_counts_sql() -> str:
+    parts = []
+    for mode in ("weighted", *MODE_WEIGHTS):
+        for sid, (keys, measure) in TRIP_COUNTS.items():
+            body = SUMMARY_SQL[sid]
+            if mode != "weighted":
+                body = body.replace("person_trips", f"trips_{mode}")
+            names = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+            parts.append(
+                f"SELECT '{sid}' AS summary_id, '{mode}' AS weighting_mode, tour_purpose, "
+                f"CONCAT_WS('/', {names}) AS category, {measure} AS value FROM ({body})"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "weighting_trip_counts_of_one_scan",
+    "summary_id string, weighting_mode string, tour_purpose string, category string, value double",
+    trip_counts_sql(),
+)
+def trip_counts(ctx):
+    modes = default_modes()
+    modes.register_columns("by_size", "By household size", {"households": "HHSIZE"})
+    (trips,) = counted_together(
+        ctx.run, star.CONFIG, list(TRIP_COUNTS), ["weighted", *MODE_WEIGHTS], modes
+    )
+    trips.grouped = cut_lineage(trips.grouped)
+    parts = [
+        trips.table(sid).select(
+            F.lit(sid).alias("summary_id"),
+            "weighting_mode",
+            "tour_purpose",
+            F.concat_ws("/", *keys).alias("category"),
+            F.col(measure).alias("value"),
+        )
+        for sid, (keys, measure) in TRIP_COUNTS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
