@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALLEST, rows
 from tripweave.model import Config, Run
+from tripweave.operators.segments import SEGMENT, Segmentation, analysis_units
 from tripweave.operators.weights import side_by_side, unweighted
 from tripweave.plans import build
 from tripweave.plans.build import store_summaries, stored_run
@@ -15,6 +16,7 @@ from tripweave.plans.weighting import (
     counted_together,
     default_modes,
     summaries_by_mode,
+    summaries_by_segment,
 )
 from tripweave.sources import star, tables
 
@@ -141,3 +143,74 @@ def test_stored_counts_equal_those_built_one_by_one(spark, stored, tmp_path, mon
     for sid in ids:
         one, other = (tables.read_summary(spark, folder, sid) for folder in (shared, apart))
         assert one.columns == other.columns and rounded(one) == rounded(other)
+
+
+SEGMENTATIONS = {
+    "hh": Segmentation("s", {"one": (1,), "some": (1, 2, 3), "none": (99,)}, "HHSIZE", "hh"),
+    # Joint tours lose the participants that are not in the segment.
+    "per": Segmentation("s", {"some": (1, 2, 4), "more": (2, 3, 4, 5)}, "person_type", "per"),
+    "tours": Segmentation("s", {"a": ("WALK",), "b": ("WALK", "BIKE")}, "tour_mode", "tours"),
+}
+
+
+@pytest.mark.parametrize("anchor", SEGMENTATIONS)
+def test_segments_together_equal_segments_one_by_one(stored, modes, anchor):
+    """One summary of each kind of weight: of trips, of joint tours, of tour participants."""
+    spec, chosen = SEGMENTATIONS[anchor], ["size"]
+    ids = [
+        "trip_purpose_distribution",
+        "tour_category_distribution",
+        "tour_mode_by_tour_purpose_and_auto_sufficiency",
+    ]
+    found = summaries_by_segment(stored, star.CONFIG, ids, spec, chosen, modes)
+    assert sorted(found) == sorted(ids)
+    units = {unit.segment_id: unit.run for unit in analysis_units(stored, spec)[1:]}
+    for sid in ids:
+        got = rounded(found[sid])
+        want = []
+        for segment, cut in units.items():
+            for m in chosen:
+                built = get_summary(sid).build(modes.get(m).apply(cut, star.CONFIG), star.CONFIG)
+                want += rounded(built.withColumns({
+                    "segment_id": F.lit(segment), "weighting_mode": F.lit(m)
+                }))
+        assert sorted(got, key=str) == sorted(want, key=str), sid
+
+
+def test_scans_do_not_depend_on_the_number_of_segments(stored, modes):
+    def trip_scans(segments):
+        spec = Segmentation("s", segments, "HHSIZE", "hh")
+        (together,) = counted_together(stored, star.CONFIG, TRIPS, ["weighted"], modes, spec)
+        assert together.by == [SEGMENT]
+        return scans(together.grouped, "trips")
+
+    one = get_summary(TRIPS[0]).build(stored, star.CONFIG)
+    many = {f"s{k}": tuple(range(1, k + 1)) for k in range(1, 8)}
+    assert trip_scans(many) == trip_scans({"s1": (1,)}) == scans(one, "trips") > 0
+
+
+def test_modes_from_trip_weights_are_not_shared_by_segments_of_trips(stored, modes):
+    modes.register_columns("trip", "Trip", {"trips": "od_dist"})
+    spec = Segmentation("s", {"walk": ("WALK",)}, "trip_mode", "trips")
+    for mode, shared in (("trip", 0), ("weighted", 1)):
+        assert len(counted_together(stored, star.CONFIG, TRIPS, [mode], modes, spec)) == shared
+    found = summaries_by_segment(stored, star.CONFIG, TRIPS[:1], spec, ["trip"], modes)
+    assert {r[0] for r in rows(found[TRIPS[0]], "segment_id")} == {"walk"}
+
+
+def test_stored_segments_equal_those_built_one_by_one(spark, stored, tmp_path, monkeypatch):
+    shared, apart = str(tmp_path / "shared"), str(tmp_path / "apart")
+    ids, spec = [*TRIPS[:2], "household_size_distribution"], SEGMENTATIONS["hh"]
+    first = store_summaries(stored, star.CONFIG, shared, ids, spec)
+    monkeypatch.setattr(build, "counted_together", lambda *_: [])
+    second = store_summaries(stored, star.CONFIG, apart, ids, spec)
+    assert rows(first, "id", "state") == rows(second, "id", "state")
+    for sid in ids:
+        for segment in spec.segments:
+            one, other = (
+                spark.read.parquet(
+                    tables.summary_path(folder, sid, stored.label, "weighted", "s", segment)
+                )
+                for folder in (shared, apart)
+            )
+            assert one.columns == other.columns and rounded(one) == rounded(other)

@@ -1,8 +1,16 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tripweave.model import Run
-from tripweave.operators.segments import SegmentError, Segmentation, analysis_units, slice_run
+from tripweave.operators.segments import (
+    SEGMENT,
+    SegmentError,
+    Segmentation,
+    analysis_units,
+    segments_together,
+    slice_run,
+)
 
 
 @pytest.fixture
@@ -103,3 +111,34 @@ def test_empty_segment_policies(run):
     assert [u.segment_id for u in analysis_units(run, spec("skip"))] == ["full"]
     with pytest.raises(SegmentError, match="empty"):
         analysis_units(run, spec("error"))
+
+
+@pytest.mark.parametrize("table", CASES)
+def test_all_segments_together_equal_their_slices(run, table):
+    """With a segment that overlaps another one, one of all rows and one of none."""
+    column, values, _ = CASES[table]
+    everything = {r[0] for r in rows(run.tables[table], column)}
+    spec = Segmentation("s", {"part": values, "all": tuple(everything), "none": ("zz",)},
+                        column=column, table=table)
+    together, units = segments_together(run, spec), analysis_units(run, spec)[1:]
+    for name, got in together.tables.items():
+        if SEGMENT not in got.columns:
+            assert name == "land_use" != table
+            continue
+        slices = [u.run.tables[name].withColumn(SEGMENT, F.lit(u.segment_id)) for u in units]
+        want = slices[0].unionByName(slices[1]).unionByName(slices[2])
+        assert rows(got.select(want.columns)) == rows(want), name
+
+
+def test_rows_without_key_or_value_are_in_no_segment(frame):
+    run = Run("r", {
+        "hh": frame("household_id bigint, market string", (1, "n"), (None, "n"), (2, None)),
+        "trips": frame("trip_id bigint, tour_id bigint, person_id bigint, household_id bigint",
+                       (10, 1, 1, 1), (11, 1, 1, None), (12, 1, 1, 2)),
+    })
+    spec = Segmentation("s", {"n": ("n",), "again": ("n", "s")}, column="market")
+    got = segments_together(run, spec)
+    assert rows(got.trips, "trip_id", SEGMENT) == [(10, "again"), (10, "n")]
+    assert rows(got.hh, "household_id", SEGMENT) == [(1, "again"), (1, "n")]
+    none = segments_together(run.with_tables(hh=run.hh.limit(0)), spec)
+    assert rows(none.trips) == []

@@ -156,12 +156,17 @@ class Config:
 
 @dataclass
 class Run:
-    """One model run or survey. Tables are lazy DataFrames; an absent table is ``None``."""
+    """One model run or survey. Tables are lazy DataFrames; an absent table is ``None``.
+
+    ``by`` names columns that tell several cuts of one run apart, whose rows stand in the same
+    tables: joins and groups inside the run use them as well.
+    """
 
     label: str
     tables: dict[str, DataFrame | None]
     states: dict[str, tuple[str, str]] = field(default_factory=dict)
     facts: dict[str, Any] = field(default_factory=dict)
+    by: tuple[str, ...] = ()
 
     def __getattr__(self, name: str):
         if name.startswith("_") or "tables" not in self.__dict__:

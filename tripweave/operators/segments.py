@@ -1,13 +1,14 @@
 """Segments: slices of a run by a column of one of its tables or by a lookup table.
 
-Slices use semi joins, so a related row appears once however many matching rows point to it.
+Slices use semi joins, so a related row appears once however many matching rows point to it. Segments
+can also be taken together: their rows stand in the same tables with the segment as a key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.model import TABLES, Run
@@ -23,6 +24,9 @@ ANCHOR_KEYS = {
 }
 
 
+SEGMENT = "_segment_id"
+
+
 class SegmentError(ValueError):
     """A segmentation cannot be applied to a run."""
 
@@ -77,9 +81,32 @@ def anchor_table(run: Run, spec: Segmentation) -> DataFrame:
     return anchor.drop(spec.column).join(rows, spec.key, "left")
 
 
+def segment_columns(spec: Segmentation) -> list[Column]:
+    """For each segment its id where the row belongs to it, else null."""
+    value = F.col(spec.column).cast("string")
+    return [
+        F.when(value.isin(*[str(v) for v in values]), F.lit(segment_id))
+        for segment_id, values in spec.segments.items()
+    ]
+
+
 def _ids(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    return df.select(F.col(column).alias(name or column)).filter(
-        F.col(name or column).isNotNull()
+    """Keys of the rows, with the segment where rows have one."""
+    name = name or column
+    by = [SEGMENT] if SEGMENT in df.columns else []
+    return df.select(F.col(column).alias(name), *by).filter(F.col(name).isNotNull())
+
+
+def _related(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the ids, once, or once for each segment that has the key.
+
+    A key meets the rows with an array of its segments, so each table is shuffled at its own size.
+    """
+    if SEGMENT not in ids.columns:
+        return df.join(ids, key, "left_semi")
+    members = ids.groupBy(key).agg(F.collect_set(SEGMENT).alias("_segments"))
+    return df.join(members, key).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.explode("_segments").alias(SEGMENT)
     )
 
 
@@ -89,11 +116,15 @@ def _keep(name: str, df: DataFrame | None, ids: DataFrame, key: str) -> DataFram
         return None
     if key not in df.columns:
         raise SegmentError(f"segments need {key} in table {name}")
-    return df.join(ids, key, "left_semi")
+    return _related(df, ids, key)
 
 
 def slice_run(run: Run, table: str, matched: DataFrame) -> Run:
-    """The run cut to what relates to the matched rows of one table."""
+    """The run cut to what relates to the matched rows of one table.
+
+    Where matched rows carry a segment (one row for each segment they belong to), the result holds
+    all cuts: a row comes once for each segment, with the segment as a column.
+    """
     t = dict(run.tables)
 
     def keep(names: str, ids: DataFrame, key: str) -> None:
@@ -143,7 +174,7 @@ def slice_run(run: Run, table: str, matched: DataFrame) -> Run:
     elif table == "joint_participants":
         if not {"tour_id", "person_id"} <= set(matched.columns):
             raise SegmentError("participant segments need tour_id and person_id")
-        t["joint_participants"] = matched.select(run.joint_participants.columns)
+        t["joint_participants"] = _own_columns(run.joint_participants, matched)
         keep("tours trips", _ids(matched, "tour_id"), "tour_id")
         people = _ids(matched, "person_id").unionByName(_ids(t["tours"], "person_id"))
         keep("per day", people, "person_id")
@@ -166,8 +197,26 @@ def slice_run(run: Run, table: str, matched: DataFrame) -> Run:
 def _matched_rows(run: Run, table: str, matched: DataFrame) -> DataFrame:
     own, key = run.tables[table], ANCHOR_KEYS[table]
     if key in own.columns and key in matched.columns:
-        return own.join(_ids(matched, key), key, "left_semi")
-    return matched.select(*[F.col(f"`{c}`") for c in own.columns])
+        return _related(own, _ids(matched, key), key)
+    return _own_columns(own, matched)
+
+
+def _own_columns(own: DataFrame, matched: DataFrame) -> DataFrame:
+    by = [SEGMENT] if SEGMENT in matched.columns else []
+    return matched.select(*[F.col(f"`{c}`") for c in own.columns], *by)
+
+
+def segments_together(run: Run, spec: Segmentation) -> Run:
+    """All segments of a run in one: each row once for every segment it belongs to.
+
+    Membership is a relation of (segment, key) that each table meets once, so the number of scans
+    does not depend on the number of segments, and segments may overlap. Tables that no segment
+    cuts (land use, but where it is the anchor) stay without a segment.
+    """
+    table, anchor = resolve_table(run, spec), anchor_table(run, spec)
+    member = F.array_compact(F.array(*segment_columns(spec)))
+    sliced = slice_run(run, table, anchor.withColumn(SEGMENT, F.explode(member)))
+    return replace(sliced, by=(SEGMENT,))
 
 
 @dataclass(frozen=True)
@@ -189,10 +238,12 @@ def analysis_units(run: Run, spec: Segmentation | None = None) -> list[AnalysisU
     if spec is None:
         return units
     table, anchor = resolve_table(run, spec), anchor_table(run, spec)
-    for segment_id, values in spec.segments.items():
-        wanted = [str(v) for v in values]
-        matched = anchor.filter(F.col(spec.column).cast("string").isin(*wanted))
-        if spec.on_empty != "keep" and matched.limit(1).isEmpty():
+    conditions = dict(zip(spec.segments, segment_columns(spec)))
+    if spec.on_empty != "keep":
+        counts = anchor.agg(*[F.count(c).alias(s) for s, c in conditions.items()]).first()
+    for segment_id, condition in conditions.items():
+        matched = anchor.filter(condition.isNotNull())
+        if spec.on_empty != "keep" and not counts[segment_id]:
             if spec.on_empty == "error":
                 raise SegmentError(f"segment {segment_id!r} is empty")
             continue

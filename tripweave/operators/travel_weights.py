@@ -39,13 +39,15 @@ def participant_weights(run: Run, weights: dict[str, str]) -> DataFrame:
     ``weights`` maps weight columns of persons to output columns.
     """
     persons = run.per.filter(F.col("person_id").isNotNull()).select(
-        "person_id", *[F.col(w).cast("double").alias(name) for w, name in weights.items()]
+        "person_id",
+        *run.by,
+        *[F.col(w).cast("double").alias(name) for w, name in weights.items()],
     )
     return (
         run.joint_participants.filter(F.col("tour_id").isNotNull())
-        .select("tour_id", "person_id")
-        .join(persons, "person_id")
-        .groupBy("tour_id")
+        .select("tour_id", "person_id", *run.by)
+        .join(persons, ["person_id", *run.by])
+        .groupBy("tour_id", *run.by)
         .agg(*[F.sum(name).alias(name) for name in weights.values()])
     )
 
@@ -76,7 +78,7 @@ def attach_person_travel_weights(
     sums = participant_weights(run, {w: attributed[name] for w, name in weights.items()})
     joint = (
         activity.filter(is_joint(category))
-        .join(sums, "tour_id", "left")
+        .join(sums, ["tour_id", *run.by], "left")
         .withColumns({n: F.coalesce(F.col(attributed[n]), w) for n, w in stated.items()})
         .drop(*attributed.values())
     )
@@ -100,9 +102,12 @@ def with_household_tour_weights(
     weights: dict[str, str],
     category: str = "tour_category",
     joint_id: str = "joint_tour_id",
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add household-tour weights, one output per weight column: a joint tour stored as one row
     per participant counts once, by dividing the weight by the rows of a complete group.
+
+    Groups are told apart by ``by`` columns as well.
     """
     own = {name: F.col(w).cast("double") for w, name in weights.items()}
     if not {category, joint_id} <= set(tours.columns):
@@ -110,20 +115,20 @@ def with_household_tour_weights(
     party = joint_party_size(tours.columns)
     grouped = tours.filter(valid_identifier(joint_id))
     complete = (
-        grouped.groupBy(joint_id)
+        grouped.groupBy(joint_id, *by)
         .agg(
             F.sum(F.when(is_joint(category), 1.0).otherwise(0.0)).alias("_rows"),
             F.min(party).alias("_smallest"),
             F.max(party).alias("_largest"),
         )
         .filter("_rows > 1 AND _smallest = _rows AND _largest = _rows")
-        .select(joint_id, "_rows")
+        .select(joint_id, *by, "_rows")
     )
     in_scope = is_joint(category) & valid_identifier(joint_id)
     members = F.coalesce(F.col("_rows"), F.lit(1.0))
     shared = (
         tours.filter(in_scope)
-        .join(complete, joint_id, "left")
+        .join(complete, [joint_id, *by], "left")
         .withColumns({name: w / members for name, w in own.items()})
         .drop("_rows")
     )

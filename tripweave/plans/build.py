@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tripweave.model import Config, Run
-from tripweave.operators.segments import Segmentation, analysis_units
+from tripweave.operators.segments import SEGMENT, Segmentation, analysis_units
 from tripweave.plans.counts import MODE, CountedTogether
 from tripweave.plans.registry import get_summary, session_of, summary_ids
 from tripweave.plans.weighting import WeightingModes, counted_together, default_modes
@@ -64,7 +65,8 @@ def store_summaries(
 ) -> DataFrame:
     """Write every summary under run, segment and mode; returns the availability ledger.
 
-    The run's tables are written first and summaries are built from the stored ones.
+    The run's tables are written first and summaries are built from the stored ones. Declared counts
+    are taken in two aggregations of each source: of the full run, and of all segments at once.
 
     A summary that fails is recorded and the others go on, unless errors are to be raised.
     """
@@ -72,8 +74,10 @@ def store_summaries(
     run = stored_run(run, folder)
     states: dict[str, tuple[str, str]] = {}
     ids = list(ids or summary_ids(default_only=True))
+    whole = shared_counts(run, config, ids, modes)
+    parts = shared_counts(run, config, ids, modes, segmentation) if segmentation else {}
     for unit in analysis_units(run, segmentation):
-        shared = shared_counts(unit.run, config, ids, modes)
+        shared = whole if unit.is_full else parts
         for mode in config.weighting_modes:
             weighted = modes.get(mode).apply(unit.run, config)
             for sid in ids:
@@ -82,6 +86,9 @@ def store_summaries(
                 try:
                     if sid in shared:
                         df = shared[sid].table(sid, [mode]).drop(MODE)
+                        if not unit.is_full:
+                            own = F.col(SEGMENT) == unit.segment_id
+                            df = df.filter(own).drop(SEGMENT)
                     else:
                         df = definition.build(weighted, config, spark)
                     path = summary_path(
@@ -97,14 +104,20 @@ def store_summaries(
 
 
 def shared_counts(
-    run: Run, config: Config, ids: Sequence[str], modes: WeightingModes
+    run: Run,
+    config: Config,
+    ids: Sequence[str],
+    modes: WeightingModes,
+    segmentation: Segmentation | None = None,
 ) -> dict[str, CountedTogether]:
     """Declared counts of all modes by summary; each source is aggregated once and cut off there.
 
+    With a segmentation they are those of all its segments.
+
     What cannot be aggregated together is left to its own build, which reports its error.
     """
     try:
-        groups = counted_together(run, config, ids, config.weighting_modes, modes)
+        groups = counted_together(run, config, ids, config.weighting_modes, modes, segmentation)
         for together in groups:
             if together.grouped is not None:
                 together.grouped = cut_lineage(together.grouped)

@@ -125,7 +125,7 @@ class CountedTogether:
     """Sums of several summaries of one source and several modes, from one aggregation."""
 
     def __init__(self, run: Run, source: Source, ids: Sequence[str], modes: Sequence[str]):
-        self.modes = list(modes)
+        self.modes, self.by = list(modes), list(run.by)
         weights = {m: f"_w{i}" for i, m in enumerate(self.modes)}
         rows = source.weigh(run, {mode_column(m): w for m, w in weights.items()})
         self.counted = {sid: COUNTS[sid].define(rows) for sid in ids}
@@ -135,7 +135,7 @@ class CountedTogether:
         sums: dict[str, Column] = {}
         self.sum_of: dict[tuple[str, str, str], str] = {}
         for i, (sid, counted) in enumerate(self.counted.items()):
-            self.sets[sid] = [f"_counts{i}"]
+            self.sets[sid] = [*self.by, f"_counts{i}"]
             keys[f"_counts{i}"] = F.coalesce(counted.where, F.lit(False))
             for key, value in counted.keys.items():
                 self.sets[sid].append(f"_k{i}_{key}")
@@ -146,8 +146,9 @@ class CountedTogether:
                     name = f"_s{weight}" if condition is None else f"_s{i}_{measure}{weight}"
                     sums[name] = F.col(weight) if condition is None else _when(condition, weight)
                     self.sum_of[sid, measure, mode] = name
-        self.columns = list(keys)
+        self.columns = [*self.by, *keys]
         values = rows.select(
+            *self.by,
             *[value.alias(name) for name, value in keys.items()],
             *[value.alias(name) for name, value in sums.items()],
         )
@@ -166,9 +167,9 @@ class CountedTogether:
         return int("".join("0" if c in self.sets[sid] else "1" for c in self.columns), 2)
 
     def table(self, sid: str, modes: Sequence[str] | None = None) -> DataFrame:
-        """Columns of the summary and ``weighting_mode``."""
+        """Columns of the summary, ``weighting_mode``, and those that tell cuts of the run apart."""
         counted = self.counted[sid]
-        flag, *key_names = self.sets[sid]
+        flag, *key_names = self.sets[sid][len(self.by) :]
         sums = F.array(
             *[
                 F.struct(
@@ -182,12 +183,13 @@ class CountedTogether:
             self.grouped.filter((F.col("_set") == self.set_number(sid)) & F.col(flag))
             .select(
                 *[F.col(n).alias(key) for n, key in zip(key_names, counted.keys)],
+                *self.by,
                 F.explode(sums).alias("_m"),
             )
-            .select(*counted.keys, f"_m.{MODE}", *[f"_m.{m}" for m in counted.measures])
+            .select(*counted.keys, *self.by, f"_m.{MODE}", *[f"_m.{m}" for m in counted.measures])
         )
-        laid_out = COUNTS[sid].laid_out(detail, counted, [MODE])
+        laid_out = COUNTS[sid].laid_out(detail, counted, [MODE, *self.by])
         shape = get_summary(sid)
         return laid_out.select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.schema], MODE
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.schema], MODE, *self.by
         )

@@ -40,13 +40,14 @@ def weighed_person_tours(run: Run, weights: dict[str, str]) -> DataFrame:
 
 def weighed_tours_of_category(run: Run, weights: dict[str, str]) -> DataFrame:
     return with_household_tour_weights(
-        run.tours.filter(F.col("tour_category").isNotNull()), weights
+        run.tours.filter(F.col("tour_category").isNotNull()), weights, by=run.by
     )
 
 
 def weighed_tours_of_purpose(run: Run, weights: dict[str, str]) -> DataFrame:
     purpose = purpose_column(run.tours)
-    return with_household_tour_weights(run.tours.filter(F.col(purpose).isNotNull()), weights)
+    tours = run.tours.filter(F.col(purpose).isNotNull())
+    return with_household_tour_weights(tours, weights, by=run.by)
 
 
 PERSON_TOURS = Source("tours", weighed_person_tours)

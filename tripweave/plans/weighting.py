@@ -10,9 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.model import Config, Run
+from tripweave.operators.segments import (
+    SEGMENT,
+    Segmentation,
+    analysis_units,
+    resolve_table,
+    segments_together,
+)
 from tripweave.operators.weights import column_weights, unweighted
 from tripweave.plans.counts import CountedTogether, sharing, weights_of_modes
 from tripweave.plans.registry import get_summary
+from tripweave.sources.lineage import cut_lineage
 
 
 class WeightingError(ValueError):
@@ -101,15 +109,33 @@ def default_modes() -> WeightingModes:
 
 
 def counted_together(
-    run: Run, config: Config, ids: Sequence[str], mode_ids: Sequence[str], modes: WeightingModes
+    run: Run,
+    config: Config,
+    ids: Sequence[str],
+    mode_ids: Sequence[str],
+    modes: WeightingModes,
+    segmentation: Segmentation | None = None,
 ) -> list[CountedTogether]:
-    """Summaries that share a scan over all modes; those not in the result are built one by one."""
+    """Summaries that share a scan over all modes; those not in the result are built one by one.
+
+    With a segmentation they are counted for all its segments instead of the full run, and weights
+    are those of the full run. Where cutting trips would change weights (tours take the mean of
+    their trips), nothing is shared.
+    """
     chosen = {m: modes.get(m) for m in mode_ids}
     if not all(mode.weights_only for mode in chosen.values()):
         return []
+    if (
+        segmentation is not None
+        and resolve_table(run, segmentation) == "trips"
+        and any("trips" in mode.required for mode in chosen.values())
+    ):
+        return []
     weighed = weights_of_modes(
         run, {m: partial(mode.apply, config=config) for m, mode in chosen.items()}
     )
+    if segmentation is not None:
+        weighed = segments_together(weighed, segmentation)
     groups = sharing(weighed, ids, mode_ids)
     return [CountedTogether(weighed, source, own, mode_ids) for source, own in groups.items()]
 
@@ -138,3 +164,37 @@ def summaries_by_mode(
         for m in mode_ids
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def summaries_by_segment(
+    run: Run,
+    config: Config,
+    ids: Sequence[str],
+    segmentation: Segmentation,
+    mode_ids: Sequence[str] | None = None,
+    modes: WeightingModes | None = None,
+) -> dict[str, DataFrame]:
+    """Summaries of every segment and mode by id, with ``segment_id`` and ``weighting_mode``.
+
+    Declared counts of one source take all segments and modes from one aggregation, in which the
+    segment is a key; a row in two segments counts in both. Others are built segment by segment.
+    """
+    modes = modes or default_modes()
+    mode_ids = list(mode_ids or config.weighting_modes)
+    found = {}
+    for together in counted_together(run, config, ids, mode_ids, modes, segmentation):
+        if together.grouped is not None:
+            together.grouped = cut_lineage(together.grouped)
+        for sid in together.counted:
+            found[sid] = together.table(sid).withColumnRenamed(SEGMENT, "segment_id")
+    left = [sid for sid in ids if sid not in found]
+    units = analysis_units(run, segmentation)[1:] if left else []
+    for sid in left:
+        parts = [
+            summaries_by_mode(unit.run, config, sid, mode_ids, modes).withColumn(
+                "segment_id", F.lit(unit.segment_id)
+            )
+            for unit in units
+        ]
+        found[sid] = reduce(DataFrame.unionByName, parts)
+    return found

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from oracle.summaries_sql import SUMMARY_SQL
 from tripweave.operators import quality, segments
 from tripweave.plans.registry import contract_violations, get_summary
-from tripweave.plans.weighting import counted_together, default_modes, summaries_by_mode
+from tripweave.plans.weighting import (
+    counted_together,
+    default_modes,
+    summaries_by_mode,
+    summaries_by_segment,
+)
 from tripweave.sources import star, tables
 from tripweave.sources.lineage import cut_lineage
 from workload.context import Registry
@@ -251,6 +256,34 @@ def by_person(ctx):
     return parts[0].unionByName(parts[1])
 
 
+# Segments that overlap: a household of five is also one of three or more.
+SIZES = segments.Segmentation(
+    "size",
+    {"single": (1,), "three_or_more": tuple(range(3, 20)), "five_or_more": tuple(range(5, 20))},
+    column="HHSIZE",
+    table="hh",
+)
+SIZE_CONDITIONS = {"single": "HHSIZE = 1", "three_or_more": "HHSIZE >= 3", "five_or_more": "HHSIZE >= 5"}
+
+
+@query(
+    "segments_as_membership",
+    SEGMENT_SCHEMA,
+    segment_sql({name: in_hh(condition) for name, condition in SIZE_CONDITIONS.items()}),
+)
+def membership(ctx):
+    """Rows of every table by segment, each table read once for all of them."""
+    together = segments.segments_together(ctx.run, SIZES)
+    parts = [
+        together.tables[t]
+        .groupBy(F.col(segments.SEGMENT).alias("segment_id"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("table_name", F.lit(t))
+        for t in COUNTED
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "weighting_modes_of_one_summary",
     "tour_category string, tour_count double, weighting_mode string",
@@ -335,3 +368,44 @@ def trip_counts(ctx):
         for sid, (keys, measure) in TRIP_COUNTS.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def segment_counts_sql() -> str:
+    """Trip counts of each segment: the run's trips cut to its households, or its tours' people."""
+    parts = []
+    for segment, condition in SIZE_CONDITIONS.items():
+        own = f"(SELECT * FROM {{}} WHERE household_id IN (SELECT household_id FROM hh WHERE {condition}))"
+        for mode in ("weighted", "unweighted"):
+            table = "person_trips" if mode == "weighted" else "trips_unweighted"
+            for sid, (keys, measure) in TRIP_COUNTS.items():
+                body = SUMMARY_SQL[sid].replace("person_trips", own.format(table))
+                names = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+                parts.append(
+                    f"SELECT '{segment}' AS segment_id, '{sid}' AS summary_id, '{mode}' AS "
+                    f"weighting_mode, tour_purpose, CONCAT_WS('/', {names}) AS category, {measure} AS "
+                    f"value FROM ({body})"
+                )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "segments_trip_counts_of_one_scan",
+    "segment_id string, summary_id string, weighting_mode string, tour_purpose string, "
+    "category string, value double",
+    segment_counts_sql(),
+)
+def segment_counts(ctx):
+    """Five trip summaries in two modes for three overlapping segments from one aggregation."""
+    found = summaries_by_segment(ctx.run, star.CONFIG, list(TRIP_COUNTS), SIZES)
+    parts = [
+        found[sid].select(
+            "segment_id",
+            F.lit(sid).alias("summary_id"),
+            "weighting_mode",
+            "tour_purpose",
+            F.concat_ws("/", *keys).alias("category"),
+            F.col(measure).alias("value"),
+        )
+        for sid, (keys, measure) in TRIP_COUNTS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
