@@ -174,6 +174,30 @@ def test_every_relation_is_counted_in_one_pass_over_each_table(frame, spark, tmp
     assert plan.count("parquet") == len(tables) and "Join" not in plan
 
 
+def test_keys_are_dealt_before_they_are_counted(spark, frame):
+    """No task that reads a table holds its keys: their number may be far above its file's size."""
+    tables = {
+        "hh": frame("household_id int", (1,), (1,), (2,), (None,)),
+        "per": frame("person_id bigint, household_id bigint", (1, 1), (2, 2), (2, 9), (None, 9), (3, None)),
+        "day": frame("person_id bigint, household_id bigint", (2, 1), (4, 9), (4, 2), (None, None)),
+    }
+    got = {
+        (r.source_table, r.key): r.orphan_count
+        for r in relationship_report(Run("r", tables)).collect() if r.state != "skipped"
+    }
+    whole = {("per", "household_id"): 2, ("day", "household_id"): 1, ("day", "person_id"): 2}
+    assert got == whole
+    tables["day"] = tables["day"].withColumns({c: tables["day"][c].cast("string") for c in tables["day"].columns})
+    report = relationship_report(Run("r", tables))
+    got = {(r.source_table, r.key): r.orphan_count for r in report.collect() if r.state != "skipped"}
+    assert got == whole
+    many = spark.range(20_000).selectExpr("id AS person_id", "id AS household_id").coalesce(1)
+    read = relationship_report(Run("r", {"hh": many, "per": many}))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_COL") :]  # what runs before keys are dealt
+    assert "Aggregate" not in below and "Range" in below
+
+
 def test_telecommute_and_escort_comparisons(frame):
     table = frame(
         "run string, geography_type string, geography_id string, telecommute_frequency string, "

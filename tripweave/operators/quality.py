@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from tripweave.model import Run
 from tripweave.operators.aggregate import least_squares
@@ -36,8 +36,10 @@ def relationship_report(run: Run) -> DataFrame:
     """Rows whose non-null key has no match, for every foreign key: passed, failed or skipped.
 
     Every table is read once and gives its keys as entries: as a child of each relation and as a
-    parent of the relations that point to it. One aggregation by key, combined before its only
-    shuffle, counts children and tells whether there is a parent; nothing is joined.
+    parent of the relations that point to it. One aggregation by key counts children and tells
+    whether there is a parent; nothing is joined. Entries are dealt by key before they meet a hash
+    table: a task that reads a table passes them on, however many keys its part of the file has,
+    and a task that counts holds the keys of one shuffle partition.
     """
     rows, checked = [], []
     for relation in RELATIONSHIPS:
@@ -55,28 +57,31 @@ def relationship_report(run: Run) -> DataFrame:
 
 
 def _orphans(run: Run, relations: list[tuple[str, str, str]]) -> DataFrame:
-    kinds = {
-        (table, key): isinstance(run.tables[table].schema[key].dataType, NumericType)
+    types = {
+        (table, key): run.tables[table].schema[key].dataType
         for source, key, target in relations
         for table in (source, target)
     }
+    whole = all(isinstance(t, IntegralType) for t in types.values())
     entries: dict[str, list[Column]] = {}
 
-    def entry(table: str, key: str, tag: str, numeric: bool, relation: int | None) -> None:
+    def entry(table: str, key: str, tag: int, numeric: bool, slot: int | None) -> None:
         made = F.struct(
-            F.lit(tag).alias("tag"),
-            _key_text(key, numeric).alias("key"),
-            F.lit(relation).cast("int").alias("relation"),
+            F.lit(tag).cast("byte").alias("tag"),
+            (F.col(key).cast("long") if whole else _key_text(key, numeric)).alias("key"),
+            F.lit(slot).cast("byte").alias("slot"),
         )
         entries.setdefault(table, []).append(made)
 
-    tags = {}
+    sought: dict[tuple[str, str, bool], list[int]] = {}
     for i, (source, key, target) in enumerate(relations):
-        numeric = kinds[source, key] or kinds[target, key]
-        tag = f"{target}.{key}" + ("" if numeric else " as text")
-        tags[tag] = (target, key, numeric)
-        entry(source, key, tag, numeric, i)
-    for tag, (target, key, numeric) in tags.items():
+        numeric = any(isinstance(types[table, key], NumericType) for table in (source, target))
+        sought.setdefault((target, key, numeric), []).append(i)
+    place = {}
+    for tag, ((target, key, numeric), own) in enumerate(sought.items()):
+        for slot, i in enumerate(own):
+            place[i] = tag, slot
+            entry(relations[i][0], key, tag, numeric, slot)
         entry(target, key, tag, numeric, None)
     keys = reduce(
         DataFrame.unionByName,
@@ -85,16 +90,16 @@ def _orphans(run: Run, relations: list[tuple[str, str, str]]) -> DataFrame:
             for table, made in entries.items()
         ],
     ).filter(F.col("key").isNotNull())
-    relation = F.col("relation")
-    by_key = keys.groupBy("tag", "key").agg(
-        F.bool_or(relation.isNull()).alias("_parent"),
-        *[F.count_if(relation == i).alias(f"_n{i}") for i in range(len(relations))],
+    slot = F.col("slot")
+    by_key = keys.repartition("tag", "key").groupBy("tag", "key").agg(
+        F.bool_or(slot.isNull()).alias("_parent"),
+        *[F.count_if(slot == k).alias(f"_s{k}") for k in range(max(map(len, sought.values())))],
     )
-    alone = ~F.col("_parent")
-    sums = by_key.agg(
+    alone = by_key.filter(~F.col("_parent"))
+    sums = alone.agg(
         *[
-            F.coalesce(F.sum(F.when(alone, F.col(f"_n{i}"))), F.lit(0)).alias(f"_n{i}")
-            for i in range(len(relations))
+            F.coalesce(F.sum(F.when(F.col("tag") == tag, F.col(f"_s{k}"))), F.lit(0)).alias(f"_n{i}")
+            for i, (tag, k) in place.items()
         ]
     )
     told = F.array(
