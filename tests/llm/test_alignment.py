@@ -75,6 +75,22 @@ def test_a_long_run_is_one_entry():
     assert len(links_a) == 5000
 
 
+def test_links_of_runs_are_not_listed_token_by_token(pair):
+    """A document's runs become text and links as whole arrays; the walk lists irregular groups only."""
+    ends = list(range(1, 5001))
+    groups, links_a, links_b = align(packed(ends), packed(ends[:2500] + ends[2501:]), of_runs=False)
+    assert len(groups) == 3 and (links_a, links_b) == ([2500, 2501], [2500, 2500])
+    for text in [*filter(None, odd_texts()[::9]), "x", "plain words in a row", "naïve 東京 \t\t 12345  67"]:
+        ((a, b),) = pair.encode([text])
+        if len(a) == 0:
+            continue
+        wanted, links = brute(*(np.cumsum(s[x]).tolist() for s, x in zip(pair.sizes, (a, b))))
+        told, n_groups, linked_a, linked_b = pair.document(a, b)
+        assert told == ";".join("|".join(",".join(str(x[k]) for k in ks) for x, ks in zip((a, b), g)) for g in wanted)
+        assert n_groups == len(wanted)
+        assert Counter(zip(linked_a.tolist(), linked_b.tolist())) == Counter((int(a[i]), int(b[j])) for i, j in links)
+
+
 def expected(pair, table):
     """Rows of link_counts, by counting links in Python."""
     made, pairs = [], Counter()

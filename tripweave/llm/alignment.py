@@ -48,33 +48,42 @@ ALIGNED = "doc_id long, block string, n_a long, n_b long, n_groups long, n_links
 ALIGNED += "pair_places binary, pair_links binary, block_pairs array<long>, block_docs array<int>"
 
 
-def align(ends_a: bytes, ends_b: bytes) -> tuple[list, list[int], list[int]]:
+def align(ends_a: bytes, ends_b: bytes, of_runs: bool = True) -> tuple[list, list[int], list[int]]:
     """Groups and links of two arrays of token ends (int32 as bytes) that end at the same byte.
 
     Groups are (first A token, first B token, A tokens, B tokens, groups): one entry for a run of
-    one-to-one groups, one for each irregular group. Links are two lists of token positions.
+    one-to-one groups, one for each irregular group. Links are two lists of token positions; without
+    `of_runs` those of irregular groups only.
     """
     a, b = memoryview(ends_a).cast("i"), memoryview(ends_b).cast("i")
     n, m = len(a), len(b)
     groups, links_a, links_b = [], [], []
     i = shift = 0
     while i < n:
-        begin, step, equal = i, FIRST_PROBE, True
-        while i < n and equal and i + shift < m:
-            to = min(i + step, n, m - shift)
-            equal = ends_a[4 * i : 4 * to] == ends_b[4 * (i + shift) : 4 * (to + shift)]
+        begin, step, equal, last, moved = i, FIRST_PROBE, True, min(n, m - shift), 4 * shift
+        while i < last and equal:
+            to = i + step
+            if to > last:
+                to = last
+            at, end = 4 * i, 4 * to
+            equal = ends_a[at:end] == ends_b[at + moved : end + moved]
             if equal:
                 i, step = to, 2 * step
-            while not equal and step > 1:  # the difference is inside: halve down to it
+                continue
+            while step > 1:  # the difference is inside: halve down to it
                 step //= 2
-                half = min(i + step, to)
-                if ends_a[4 * i : 4 * half] == ends_b[4 * (i + shift) : 4 * (half + shift)]:
+                half = i + step
+                if half > to:
+                    half = to
+                at, end = 4 * i, 4 * half
+                if ends_a[at:end] == ends_b[at + moved : end + moved]:
                     i = half
         j = i + shift
         if i > begin:
             groups.append((begin, begin + shift, i - begin, i - begin, i - begin))
-            links_a.extend(range(begin, i))
-            links_b.extend(range(begin + shift, j))
+            if of_runs:
+                links_a.extend(range(begin, i))
+                links_b.extend(range(begin + shift, j))
             if i == n:
                 break
         first_a, first_b, x, y = i, j, a[i], b[j]
@@ -123,7 +132,11 @@ class Pair:
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
             raise ValueError("pieces with a blank behind another character are not supported")
         self.forget()
-        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.ids = max(map(len, self.bytes_of))
+        if self.ids > 10**7:
+            raise ValueError("vocabularies of more than ten million tokens are not supported")
+        names = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
+        self.names = np.array(names, "S8").view(np.int64)  # ids and the mark behind each, 8 bytes with zeros
 
     def forget(self) -> None:
         self.row_of: dict[str, int] = {}
@@ -208,17 +221,20 @@ class Pair:
     def document(self, a: np.ndarray, b: np.ndarray):
         """Groups as text, number of groups and links as two arrays of ids."""
         ends = [np.cumsum(s[x], dtype=np.int32).tobytes() for s, x in zip(self.sizes, (a, b))]
-        groups, links_a, links_b = align(*ends)
-        name_a = list(map(self.names.__getitem__, a.tolist()))
-        name_b = list(map(self.names.__getitem__, b.tolist()))
-        told, n_groups = [], 0
-        for i, j, n, m, count in groups:
-            n_groups += count
-            if count == n == m:
-                told.extend([f"{x}|{y}" for x, y in zip(name_a[i : i + n], name_b[j : j + m])])
-            else:
-                told.append(f"{','.join(name_a[i : i + n])}|{','.join(name_b[j : j + m])}")
-        return ";".join(told), n_groups, a[links_a], b[links_b]
+        groups, links_a, links_b = align(*ends, of_runs=False)
+        _, _, n, m, count = np.fromiter(chain.from_iterable(groups), np.int64, 5 * len(groups)).reshape(-1, 5).T
+        of_a, of_b = np.repeat(n // count, count), np.repeat(m // count, count)  # tokens of each group
+        end_a, end_b = np.cumsum(of_a), np.cumsum(of_b)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[end_a - 1], mark_b[end_b - 1] = self.ids, 2 * self.ids
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + np.repeat(end_b - of_b, of_a)] = self.names[a + mark_a]
+        names[np.arange(len(b)) + np.repeat(end_a, of_b)] = self.names[b + mark_b]
+        letters = names.view(np.uint8)
+        told = letters[letters != 0].tobytes()[:-1].decode()
+        one = (of_a == 1) & (of_b == 1)  # the groups of runs: an irregular one has three tokens or more
+        linked = [np.r_[x[e[one] - 1], x[np.array(at, np.int64)]] for x, e, at in ((a, end_a, links_a), (b, end_b, links_b))]
+        return told, len(of_a), *linked
 
 
 @lru_cache(maxsize=1)
