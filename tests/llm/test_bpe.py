@@ -1,11 +1,13 @@
 """Token ids and decoded texts against the tokenizers library."""
 
+import json
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
-from tripweave.llm.bpe import encode, encoder
+from tripweave.llm.bpe import Encoder, encode, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,3 +49,20 @@ def test_whole_table(docs, odd, library):
     want = {(i, tuple(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t in odd}
     assert got == want
     assert encode(docs(), PATH).count() == 0
+
+
+def test_a_worker_keeps_little_for_the_vocabulary():
+    with open(PATH, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    tracemalloc.start()
+    own = Encoder(tokenizer)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert own.encode_words([b" international"]) and kept < 60e6
+
+
+def test_batches_of_long_texts_are_small(docs, spark):
+    text = " ".join(f"word{k}" for k in range(10_000))
+    rows = encode(docs(*((k, text) for k in range(20))), PATH).collect()
+    assert len(rows) == 20 and {r.decoded for r in rows} == {text}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "256k"

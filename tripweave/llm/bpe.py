@@ -64,7 +64,6 @@ class Encoder:
             pair = vocabulary[left], vocabulary[right]
             self.rank[pair] = rank
             self.parts.setdefault(vocabulary[left + right], (rank, *pair))
-        self.edges = {i: (self._edge(i, 1), self._edge(i, 0)) for i in self.bytes_of}
         for i, (rank, left, right) in sorted(self.parts.items(), key=lambda x: x[1][0]):
             if self._crossed(left, right, rank) or not {left, right} <= self.reachable(i):
                 del self.id_of[self.bytes_of[i]]  # no text is ever encoded to it
@@ -140,8 +139,9 @@ class Encoder:
         Parts at the boundary merge with each other if that merge ranks before the ones that
         consume them; of equal ranks the one further left comes first.
         """
-        for x, x_end in self.edges[left][0]:
-            for y, y_end in self.edges[right][1]:
+        right_edge = self._edge(right, 0)
+        for x, x_end in self._edge(left, 1):
+            for y, y_end in right_edge:
                 rank = self.rank.get((x, y))
                 if rank is not None and rank < min(x_end, before) and rank <= y_end:
                     return True
@@ -266,7 +266,7 @@ def encode(
 ) -> DataFrame:
     """doc_id, token_ids (array of int) and decoded (the text decoded from these ids)."""
     spark = docs.sparkSession
-    bounded_batches(spark, rows=2000, size="4m")
+    bounded_batches(spark, size="256k")  # a batch's chunks, ids and decoded texts take many times its size
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
 
