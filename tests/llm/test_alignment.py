@@ -1,6 +1,7 @@
 """Alignment against all pairs of overlapping byte ranges, and counts of links against plain counting."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -132,6 +133,20 @@ def test_chunks_give_the_ids_of_whole_texts(pair, monkeypatch):
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
 
 
+def test_texts_of_a_batch_are_encoded_in_slices(pair):
+    """What is held at once follows a slice, not the batch; ids are those of each text alone."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(200)]
+    alone = [[x.tolist() for x in next(pair.encode([t]))] for t in texts[::20]]
+    tracemalloc.start()
+    found = pair.encode(texts)
+    some = [[x.tolist() for x in ids] for k, ids in enumerate(found) if k % 20 == 0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert some == alone and peak < 30e6
+
+
 def test_whole_table_against_brute_force(docs, spark, odd, prose, pair):
     table = [(i, t if t is None else t[:3000]) for i, t in odd]
     table += [(100 + k, t) for k, t in enumerate(odd_texts()[::12])]

@@ -40,7 +40,9 @@ FIRST_PROBE = 4
 """Tokens of the first slice that is compared at a shift."""
 JOINED = 4096
 """Chunks that are encoded as one text."""
-POOL_CHARACTERS = 8_000_000
+SLICE_CHARACTERS = 250_000
+"""Characters of texts that are cut into chunks at once, if they are several."""
+POOL_CHARACTERS = 4_000_000
 """Characters of chunks whose ids a worker remembers; beyond it, it begins anew."""
 SHIFT = 32
 """A pair is A's id in the high and B's id in the low bits of a long."""
@@ -141,7 +143,7 @@ class Pair:
     def forget(self) -> None:
         self.row_of: dict[str, int] = {}
         self.pools = [np.zeros(1 << 16, np.int32) for _ in range(2)]
-        self.begin, self.size = np.zeros((2, 1024), np.int64), np.zeros((2, 1024), np.int64)
+        self.begin, self.size = np.zeros((2, 1024), np.int32), np.zeros((2, 1024), np.int32)
         self.same = np.zeros(1024, bool)
         self.rows, self.used, self.characters = 0, [0, 0], 0
 
@@ -195,6 +197,20 @@ class Pair:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both tokenizers of each text; none where one does not give the text back.
 
+        Texts are encoded a slice at a time: their chunks and places take many times a text's size.
+        """
+        own, characters = [], 0
+        for text in texts:
+            if own and characters + len(text) > SLICE_CHARACTERS:
+                yield from self._encode(own)
+                own, characters = [], 0
+            own.append(text)
+            characters += len(text)
+        yield from self._encode(own)
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both tokenizers of each text of a slice.
+
         No token of either reaches over a single blank between two characters that are no white
         space, so texts are cut there and what lies between is encoded when it is met first.
         """
@@ -208,7 +224,7 @@ class Pair:
         sides = []
         for side in range(2):
             size = self.size[side, row]
-            end = np.cumsum(size)
+            end = np.cumsum(size, dtype=np.int64)
             place = np.arange(end[-1] if len(end) else 0) + np.repeat(self.begin[side, row] - (end - size), size)
             sides.append((self.pools[side][place], np.r_[0, end][first]))
         (ids_a, at_a), (ids_b, at_b) = sides
@@ -253,7 +269,7 @@ def align_texts(
     Blocks get new names whenever the rows are computed: store the result before reading it twice.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=2000, size="4m")
+    bounded_batches(spark, size="2m")
     with open(a_path, encoding="utf-8") as file_a, open(b_path, "rb") as file_b:
         shared = spark.sparkContext.broadcast((file_a.read(), file_b.read()))
 
